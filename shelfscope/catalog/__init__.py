@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from shelfscope.catalog import market
+from shelfscope.catalog import listings, market, matching
 
-MODULES = [market]
+MODULES = [listings, matching, market]
 
 
 def queries() -> dict:

@@ -48,11 +48,11 @@ def read_raw_listings(spark: SparkSession, folder: str, multi_line: bool = True)
     return _in_order(rows).na.fill("", RAW_FIELDS)
 
 
-def read_cleaned_listings(spark: SparkSession, folder: str, multi_line: bool = True) -> DataFrame:
-    """All ``*_cleaned.csv`` files of a folder, numbers and times typed (NULL when unreadable)."""
-    rows = _in_order(
-        _csv(spark, CLEANED_TEXT, multi_line).option("pathGlobFilter", "*_cleaned.csv").csv(folder)
-    )
+def read_cleaned_listings(
+    spark: SparkSession, folder: str, multi_line: bool = True, pattern: str = "*_cleaned.csv"
+) -> DataFrame:
+    """All cleaned listing files of a folder, numbers and times typed (NULL when unreadable)."""
+    rows = _in_order(_csv(spark, CLEANED_TEXT, multi_line).option("pathGlobFilter", pattern).csv(folder))
     typed = {c: F.col(c).try_cast("double") for c in CLEANED_NUMBERS}
     typed |= {c: F.col(c).try_cast("timestamp") for c in CLEANED_TIMES}
     words = [c for c in CLEANED_FIELDS if c not in typed]
