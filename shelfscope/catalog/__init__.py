@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from shelfscope.catalog import listings, market, matching
+from shelfscope.catalog import listings, market, matching, pages
 
-MODULES = [listings, matching, market]
+MODULES = [pages, listings, matching, market]
 
 
 def queries() -> dict:

@@ -442,8 +442,8 @@ def discover_leaf_categories(
     ``home_url`` is the start page's url, or a test over the pages.
     """
     link = F.col("href")
-    steps = F.size(F.split(F.trim(F.lit("/"), link), "/", -1))
-    target = F.concat(F.lit(site + "/"), F.ltrim(F.lit("/"), link))
+    steps = F.size(F.split(F.trim(link, F.lit("/")), "/", -1))
+    target = F.concat(F.lit(site + "/"), F.ltrim(link, F.lit("/")))
     links = anchors(pages).filter(link.contains(marker) & (F.col("label") != ""))
     links = links.select(PAGE, "pos", "label", steps.alias("depth"), target.alias("target"))
     is_home = (F.col("url") == home_url) if isinstance(home_url, str) else home_url
