@@ -45,6 +45,11 @@ def attach(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner")
     return df.join(materialise(table), keys, how)
 
 
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest group: one number to the driver, counted before the shuffle."""
+    return with_keys(df, *keys).groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
 def group_quantiles(
     df: DataFrame,
     keys: list[str],
@@ -53,12 +58,14 @@ def group_quantiles(
     *,
     weight: str | None = None,
     moments: dict[str, Column] | None = None,
+    largest: int | None = None,
     values_per_task: int = VALUES_PER_TASK,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles of ``value`` per group.
 
     ``weight`` names a column of repeat counts (rows are then distinct values).
-    ``moments`` are further aggregates of the same groups.
+    ``moments`` are further aggregates of the same groups, ``largest`` a known
+    bound on their sizes.
 
     One number, the size of the largest group, decides the plan: while every
     group fits in a task the quantiles are one aggregation; beyond that the
@@ -67,7 +74,8 @@ def group_quantiles(
     moments = moments or {}
     rows = with_keys(df, *keys)
     measured = rows.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    largest = measured.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest is None:
+        largest = largest_group(measured, keys)
     if largest <= values_per_task:
         args = [nan_to_null(F.col(value)), F.array(*[F.lit(float(p)) for p in probs.values()])]
         if weight:

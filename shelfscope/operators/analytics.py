@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfscope.functions.stats import attach, group_quantiles, nan_to_null, safe_corr, with_keys
+from shelfscope.functions.stats import attach, group_quantiles, largest_group, nan_to_null, safe_corr, with_keys
 from shelfscope.session import materialise
 
 PREMIUM_FACTOR = 1.5  # fixed value: a brand is premium above this multiple of the category median
@@ -168,13 +168,15 @@ def median_price_deviation(offers: DataFrame) -> DataFrame:
     """Median absolute deviation of the prices of each store and city."""
     keys = ["store", "city"]
     prices = offers.select(*keys, nan_to_null(F.col("price")).alias("price"))
-    # Both medians are taken over distinct prices with their counts.
+    # Both medians are taken over distinct prices with their counts; there are
+    # at most as many distinct gaps as prices.
     counted = materialise(with_keys(prices, *keys, "price").groupBy(*keys, "price").count())
-    centre = group_quantiles(counted, keys, "price", {"_median": 0.5}, weight="count")
-    gaps = attach(counted, centre, keys).select(
-        *keys, F.abs(F.col("price") - F.col("_median")).alias("gap"), "count"
+    largest = largest_group(counted, keys)
+    centre = group_quantiles(counted, keys, "price", {"_median": 0.5}, weight="count", largest=largest)
+    gaps = counted.join(centre, keys).select(*keys, F.abs(F.col("price") - F.col("_median")).alias("gap"), "count")
+    return group_quantiles(
+        gaps, keys, "gap", {"median_price_deviation": 0.5}, weight="count", largest=largest
     )
-    return group_quantiles(gaps, keys, "gap", {"median_price_deviation": 0.5}, weight="count")
 
 
 def dominance_index(flagged: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfscope.operators.matching import assemble_gold, best_offer
+from shelfscope.session import dealt_out
 
 # Sizes written after the part names, by key modulo 6.
 LISTING_UNITS = ["kg", "g", "ml", "L", " pcs", " per dozen"]
@@ -18,26 +19,32 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def offers_view(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as offers: a part is a product, a supplier's region the store,
     a customer's nation the city."""
-    lines = table(spark, folder, "lineitem")
+    lines = dealt_out(
+        table(spark, folder, "lineitem").select(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"
+        ),
+        "l_orderkey",
+        "l_partkey",
+    )
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
     suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
-    nations = table(spark, folder, "nation")
-    regions = table(spark, folder, "region")
+    nations = table(spark, folder, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    regions = table(spark, folder, "region").select("r_regionkey", F.col("r_name").alias("store"))
     parts = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    # The small dimensions meet first, so each line item is joined once per axis.
-    cities = customers.join(
-        nations.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("city")), "c_nationkey"
-    )
-    stores = suppliers.join(
-        nations.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("r_regionkey")),
-        "s_nationkey",
-    ).join(regions.select("r_regionkey", F.col("r_name").alias("store")), "r_regionkey")
+    # Every dimension joins as a plain scan, so its file size decides by itself
+    # whether it is broadcast; a joined dimension would be guessed too large and
+    # have the line items shuffled for it.
+    homes = nations.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("r_regionkey"))
+    cities = nations.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("city"))
     return (
         lines.join(parts, lines.l_partkey == parts.p_partkey)
-        .join(stores, lines.l_suppkey == stores.s_suppkey)
+        .join(suppliers, lines.l_suppkey == suppliers.s_suppkey)
+        .join(homes, "s_nationkey")
+        .join(regions, "r_regionkey")
         .join(orders, lines.l_orderkey == orders.o_orderkey)
-        .join(cities, F.col("o_custkey") == F.col("c_custkey"))
+        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        .join(cities, "c_nationkey")
         .select(
             F.col("l_partkey").alias("product_id"),
             F.col("p_name").alias("title"),

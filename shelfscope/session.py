@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_SHUFFLE_PARTITIONS = 8
+MOST_FILES_DEALT = 64  # a table of this many files or more is never dealt out
 
 
 def local_session(cores: int | str = "*", app: str = "shelfscope") -> SparkSession:
@@ -58,3 +59,13 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a table that lies in fewer files than there are cores.
+
+    A single small file is often one row group and would keep one core busy;
+    a table of many files is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < min(cores, MOST_FILES_DEALT) else df
