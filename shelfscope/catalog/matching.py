@@ -167,10 +167,7 @@ rows AS (
 
 def _clusters(spark: SparkSession, folder: str, method: str, threshold: int) -> DataFrame:
     rows = M.block_key(_part_listings(spark, folder)).withColumn("form", M.compared_form(F.col("name"), method))
-    led = M.leader_clusters(rows.select(*M.BLOCK, "form", "ord"), threshold, method)
-    return rows.select(*M.BLOCK, "form", "ord").join(led.drop("ord", "leader_form"), [*M.BLOCK, "form"]).select(
-        "ord", "leader"
-    )
+    return M.assign_leaders(rows.select(*M.BLOCK, "form", "ord"), threshold, method).select("ord", "leader")
 
 
 for _method, _threshold in [("token_sort", 85), ("token_sort", 70), ("jaccard", 50)]:

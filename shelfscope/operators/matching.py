@@ -19,6 +19,8 @@ no sequential pass, and it is computed without pairing up whole blocks:
 from __future__ import annotations
 
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,7 @@ from shelfscope.functions.similarity import (
     token_set,
     tokens,
 )
+from shelfscope.functions.stats import attach
 from shelfscope.functions.text import normalize_title
 from shelfscope.session import materialise
 
@@ -182,17 +185,15 @@ def _file(forms: DataFrame, threshold: int, method: str) -> DataFrame:
     return forms.join(by_ord, "ord").select(*BLOCK, "form", "ord", "files", F.explode("files").alias("file"))
 
 
-def _decide(heads: DataFrame, edges: DataFrame) -> DataFrame:
-    """Status of the heads after every decision their known edges allow.
+def _decide(heads: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
+    """Status of the heads after every decision their known edges allow, and how many wait.
 
     A complete head with no earlier similar undecided head or leader leads; a
     head with an earlier similar leader is a member.
     """
-    nodes = materialise(
-        heads.groupBy("ord").agg(
-            (F.count(F.lit(1)) == F.max(F.size("files"))).alias("complete"),
-            F.lit(UNDECIDED).alias("status"),
-        )
+    nodes = heads.groupBy("ord").agg(
+        (F.count(F.lit(1)) == F.max(F.size("files"))).alias("complete"),
+        F.lit(UNDECIDED).alias("status"),
     )
     while True:
         blockers = (
@@ -212,8 +213,11 @@ def _decide(heads: DataFrame, edges: DataFrame) -> DataFrame:
             joined.select("ord", "complete", status.alias("status"), (status != F.col("status")).alias("_moved"))
         )
         nodes = step.drop("_moved")
-        if step.filter("_moved").isEmpty():
-            return nodes
+        moved, waiting = step.agg(
+            F.count_if(F.col("_moved")), F.count_if(F.col("status") == UNDECIDED)
+        ).first()
+        if moved == 0 or waiting == 0:
+            return nodes, waiting
 
 
 def _leaders_of_forms(forms: DataFrame, threshold: int, method: str, heads_per_file: int) -> DataFrame:
@@ -221,51 +225,56 @@ def _leaders_of_forms(forms: DataFrame, threshold: int, method: str, heads_per_f
     filed = materialise(_file(forms, threshold, method))
     key = [*BLOCK, "file"]
     active, others, status = filed, None, None
-    matches: DataFrame | None = None
+    leaders: list[DataFrame] = []
+    matches: list[DataFrame] = []
     m = heads_per_file
     while True:
         place = F.row_number().over(Window.partitionBy(*key).orderBy("ord"))
         # The rank limit is applied before the shuffle: a hot file sends at
         # most m rows per task.
-        heads = materialise(active.withColumn("_place", place).filter(F.col("_place") <= m))
+        heads = materialise(active.withColumn("_place", place).filter(F.col("_place") <= m).drop("_place"))
         edges = materialise(_similar(_candidates(heads, heads, method, threshold, key), method, threshold))
-        nodes = _decide(heads, edges)
+        nodes, waiting = _decide(heads, edges)
         new = nodes.filter(F.col("status") == LEADER).select("ord")
-
+        leaders.append(new)
         found = edges.join(new.withColumnRenamed("ord", "early"), "early", "left_semi")
+        whole = heads.count() == active.count()
+        if whole and waiting == 0 and others is None:
+            matches.append(found)  # every file fitted: the usual end, after one round
+            break
+
         rest = active.join(heads.select(*key, "ord"), [*key, "ord"], "left_anti")
         if others is not None:
             rest = rest.unionByName(others)
         rest = materialise(rest)
-        if not rest.isEmpty():
-            # New leaders against the forms that were not heads, a hot file
-            # shared out over several tasks.
-            lead = heads.join(new, "ord", "left_semi").drop("_place")
-            lead = lead.join(rest.select(*key).distinct(), key, "left_semi").withColumn(
-                "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-            )
-            rest = rest.withColumn("salt", F.pmod(F.xxhash64("ord"), F.lit(SALTS)).cast("int"))
-            found = found.unionByName(
-                _similar(_candidates(lead, rest, method, threshold, [*key, "salt"]), method, threshold)
-            )
-        found = materialise(found)
-        matches = found if matches is None else matches.unionByName(found)
+        # New leaders against the forms that were not heads, a hot file shared
+        # out over several tasks.
+        lead = heads.join(new, "ord", "left_semi")
+        lead = lead.join(rest.select(*key).distinct(), key, "left_semi").withColumn(
+            "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        )
+        rest = rest.withColumn("salt", F.pmod(F.xxhash64("ord"), F.lit(SALTS)).cast("int"))
+        later = _similar(_candidates(lead, rest, method, threshold, [*key, "salt"]), method, threshold)
+        found = materialise(found.unionByName(later))
+        matches.append(found)
 
         decided = nodes.filter(F.col("status") != UNDECIDED).select("ord", "status")
         joined_now = found.select(F.col("late").alias("ord")).distinct().withColumn("status", F.lit(MEMBER))
         decided = decided.unionByName(joined_now)
         status = decided if status is None else status.unionByName(decided)
         status = materialise(status.groupBy("ord").agg(F.min("status").alias("status")))
-        left = materialise(filed.join(status, "ord", "left_anti"))
-        if left.isEmpty():
+        active = materialise(filed.join(status, "ord", "left_anti"))
+        if active.isEmpty():
             break
         # Members stay in their files: a later leader may come before theirs.
         others = filed.join(status.filter(F.col("status") == MEMBER), "ord", "left_semi")
-        active, m = left, min(m * 4, MOST_HEADS)
+        m = min(m * 4, MOST_HEADS)
 
-    own = status.filter(F.col("status") == LEADER).select("ord", F.col("ord").alias("leader"))
-    joined = matches.groupBy(F.col("late").alias("ord")).agg(F.min("early").alias("leader"))
-    return own.unionByName(joined)
+    own = reduce(DataFrame.unionByName, leaders).select("ord", F.col("ord").alias("leader"))
+    first = reduce(DataFrame.unionByName, matches).groupBy(F.col("late").alias("ord")).agg(
+        F.min("early").alias("leader")
+    )
+    return own.unionByName(first)
 
 
 def leader_clusters(
@@ -292,6 +301,18 @@ def leader_clusters(
     )
 
 
+def assign_leaders(
+    rows: DataFrame,
+    threshold: int = THRESHOLD,
+    method: str = "token_sort",
+    heads_per_file: int = FIRST_HEADS,
+) -> DataFrame:
+    """Rows with the ``leader`` of their form; rows Jaccard leaves out lead themselves."""
+    led = leader_clusters(rows, threshold, method, heads_per_file)
+    placed = attach(rows, led.select(*BLOCK, "form", "leader"), [*BLOCK, "form"], "left")
+    return placed.withColumn("leader", F.coalesce("leader", "ord"))
+
+
 # --- products ------------------------------------------------------------------
 
 

@@ -7,9 +7,10 @@ tables, not files; the writers in ``shelfscope.sources`` land them.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfscope.operators import analytics, cleaning, matching, report
-from shelfscope.session import materialise
+from shelfscope.session import discard_materialised, materialise
 from shelfscope.sources import gold as gold_io
 from shelfscope.sources import listings as listing_io
 
@@ -36,8 +37,6 @@ def match_listings(
 
 def offers_of(gold: DataFrame) -> DataFrame:
     """Offer rows of gold products with an order of arrival."""
-    from pyspark.sql import functions as F
-
     return analytics.explode_offers(gold).withColumn("ord", F.struct("product_id", "offer_pos"))
 
 
@@ -85,3 +84,4 @@ def run_on_folders(spark: SparkSession, raw_folder: str, out_folder: str) -> Non
     gold_io.write_gold(gold, f"{out_folder}/matched/products")
     gold_io.write_flat_gold(gold, f"{out_folder}/matched/products_csv")
     gold_io.write_metric_tables(tables, f"{out_folder}/reports")
+    discard_materialised(spark)

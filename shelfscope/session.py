@@ -33,11 +33,14 @@ def local_session(cores: int | str = "*", app: str = "shelfscope") -> SparkSessi
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # No call-site capture for every column expression: plans here are long.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
 
 _local_folder: str | None = None
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -58,9 +61,18 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard_materialised(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this process once a job's results are written."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    while _written:
+        path = hadoop.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dealt_out(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a table that lies in fewer files than there are cores.
 

@@ -64,14 +64,13 @@ def random_forms(seed: int, n: int) -> list[tuple[int, str, str]]:
     return rows
 
 
-def clusters(spark, rows, threshold, method, heads) -> dict[int, int]:
+def clusters(spark, rows, threshold, method, heads):
     if method == "jaccard":
         rows = [(o, b, " ".join(sorted(set(f.split())))) for o, b, f in rows if f]
     frame = spark.createDataFrame(rows, "ord long, block_category string, form string").withColumns(
         {"block_quantity": F.lit(1.0), "block_unit": F.lit("kg")}
     )
-    led = M.leader_clusters(frame, threshold, method, heads).drop("ord")
-    got = frame.join(led, [*M.BLOCK, "form"]).select("ord", "leader").collect()
+    got = M.assign_leaders(frame, threshold, method, heads).select("ord", "leader").collect()
     return {r["ord"]: r["leader"] for r in got}, sequential(rows, threshold, method)
 
 
