@@ -38,7 +38,7 @@ from shelfscope.session import materialise
 THRESHOLD = 85  # fixed value: similarity from which two titles are one product
 
 BLOCK = ["block_category", "block_quantity", "block_unit"]
-FIRST_HEADS = 256  # undecided forms per file looked at in the first round
+FIRST_HEADS = 64  # undecided forms per file looked at in the first round
 MOST_HEADS = 4096  # bound on the forms of one file paired with each other in one task
 SALTS = 16  # tasks that share one file when leaders meet its remaining forms
 
@@ -95,7 +95,7 @@ def _file_under_grams(forms: DataFrame, threshold: int) -> DataFrame:
     padded = F.concat(pad, F.col("form"), pad)
     gram = F.expr(f"transform(sequence(1, length(padded) - {q - 1}), i -> substr(padded, i, {q}))")
     # Forms are spread by `ord` once; the steps below regroup by `ord` in place.
-    spread = forms.filter(F.col("form") != "").withColumn("padded", padded).repartition("ord")
+    spread = _shared_out(forms.filter(F.col("form") != "").withColumn("padded", padded), "ord")
     grams = spread.select("ord", F.length("form").alias("len"), F.explode(gram).alias("gram"))
     # Letters, digits, blank and the pad: at most 38**3 = 54,872 grams.
     rarity = F.broadcast(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")))
@@ -109,7 +109,7 @@ def _file_under_grams(forms: DataFrame, threshold: int) -> DataFrame:
     kept = F.size("_all") - _shared_grams_at_least(F.col("len"), threshold, q) + 1
     return ranked.select(
         "ord",
-        F.transform(F.slice("_all", F.lit(1), kept.cast("int")), lambda s: F.concat(s["gram"], s["_copy"])).alias(
+        F.transform(F.slice("_all", F.lit(1), kept.cast("int")), lambda s: F.xxhash64(s["gram"], s["_copy"])).alias(
             "files"
         ),
     )
@@ -125,7 +125,12 @@ def _file_under_words(forms: DataFrame, threshold: int) -> DataFrame:
     )
     shared = F.ceil(F.size("_all") * (threshold / 100) - 1e-9)
     kept = F.size("_all") - F.greatest(shared, F.lit(1)) + 1
-    return ranked.select("ord", F.slice("_all", F.lit(1), kept.cast("int"))["word"].alias("files"))
+    rarest = F.slice("_all", F.lit(1), kept.cast("int"))
+    return ranked.select("ord", F.transform(rarest, lambda s: F.xxhash64(s["word"])).alias("files"))
+
+
+def _shared_out(df: DataFrame, *keys: str) -> DataFrame:
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 # --- similar pairs -----------------------------------------------------------
@@ -144,15 +149,19 @@ def _similar(pairs: DataFrame, method: str, threshold: int) -> DataFrame:
 
 def _candidates(early: DataFrame, late: DataFrame, method: str, threshold: int, on: list[str]) -> DataFrame:
     """Pairs that share a file, each formed only under the first file they share."""
-    e, l = early.alias("e"), late.alias("l")
-    same_file = [F.col(f"e.{c}").eqNullSafe(F.col(f"l.{c}")) for c in on]
-    first_shared = F.try_element_at(F.array_intersect("e.files", "l.files"), F.lit(1)) == F.col("e.file")
-    test = (F.col("e.ord") < F.col("l.ord")) & first_shared
+    # Few bytes can hold many pairs: keep the partitions the session asks for
+    # instead of letting small ones be merged into one task.
+    e, l = _shared_out(early, *on).alias("e"), _shared_out(late, *on).alias("l")
+    test = F.col("e.ord") < F.col("l.ord")
+    for column in on:
+        test = test & (F.col(f"e.{column}") == F.col(f"l.{column}"))
     if method == "token_sort":
         a, b = F.length("e.form"), F.length("l.form")
         test = test & (200 * F.least(a, b) >= threshold * (a + b))
-    for equal in same_file:
-        test = test & equal
+    for column in BLOCK:
+        test = test & F.col(f"e.{column}").eqNullSafe(F.col(f"l.{column}"))
+    first_shared = F.try_element_at(F.array_intersect("e.files", "l.files"), F.lit(1))
+    test = test & (first_shared == F.col("e.file"))
     return e.join(l, test).select(
         F.col("e.ord").alias("early"),
         F.col("e.form").alias("early_form"),
@@ -168,7 +177,7 @@ def similar_titles(rows: DataFrame, threshold: int = THRESHOLD, method: str = "t
     clustering below never needs every pair.
     """
     filed = _file(_distinct_forms(rows), threshold, method)
-    return _similar(_candidates(filed, filed, method, threshold, [*BLOCK, "file"]), method, threshold)
+    return _similar(_candidates(filed, filed, method, threshold, ["file"]), method, threshold)
 
 
 # --- leader clusters ----------------------------------------------------------
@@ -182,7 +191,11 @@ def _distinct_forms(rows: DataFrame) -> DataFrame:
 
 def _file(forms: DataFrame, threshold: int, method: str) -> DataFrame:
     by_ord = {"token_sort": _file_under_grams, "jaccard": _file_under_words}[method](forms, threshold)
-    return forms.join(by_ord, "ord").select(*BLOCK, "form", "ord", "files", F.explode("files").alias("file"))
+    # A file is one number for block and gram.  Two grams of equal number only
+    # give some more candidates; the block is compared again for each pair.
+    numbered = F.transform("files", lambda f: F.xxhash64(*BLOCK, f))
+    filed = forms.join(by_ord, "ord").select(*BLOCK, "form", "ord", numbered.alias("files"))
+    return filed.withColumn("file", F.explode("files"))
 
 
 def _decide(heads: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
@@ -223,7 +236,7 @@ def _decide(heads: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
 def _leaders_of_forms(forms: DataFrame, threshold: int, method: str, heads_per_file: int) -> DataFrame:
     """(ord, leader) of every distinct form that is filed anywhere."""
     filed = materialise(_file(forms, threshold, method))
-    key = [*BLOCK, "file"]
+    key = ["file"]
     active, others, status = filed, None, None
     leaders: list[DataFrame] = []
     matches: list[DataFrame] = []
