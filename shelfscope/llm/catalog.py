@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm import byte_bpe, license_scan, pii, quality, token_counts
+from shelfscope.llm import byte_bpe, decontaminate, html_text, license_scan, line_dedup, near_dups, pii, quality, token_counts, toxicity
 from shelfscope.llm.base import documents
 
 QUERIES: dict = {}
@@ -17,12 +17,30 @@ def query(f):
     return f
 
 
+@query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    scored = toxicity.toxicity(documents(spark, folder), labels)
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts = token_counts.token_counts(documents(spark, folder))
     return counts.withColumn("over_limit", F.col("n_tokens") > token_counts.LIMIT)
 
 
+@query
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = line_dedup.line_dedup(documents(spark, folder))
+    return cleaned.select("doc_id", "text", F.col("__removed").alias("removed_lines"))
+
+
 @query
 def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = license_scan.license_scan(documents(spark, folder))
@@ -39,6 +57,16 @@ def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.benchmark_matches(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+@query
+def op6_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.html_text(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 @query
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     encoded = byte_bpe.encode(documents(spark, folder))
@@ -66,6 +94,50 @@ def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op9_near_dups(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_dups.near_duplicates(documents(spark, folder), ngram=2)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 @query
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_rules(documents(spark, folder))
+
+
+ORACLES["op3_line_dedup"] = f"""
+WITH split AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
+  FROM documents WHERE text IS NOT NULL
+), hashed AS (
+  SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h,
+         length(line) - length(replace(line, ' ', '')) >= {line_dedup.LONG - 1} AS long_line
+  FROM split
+), rolled AS (
+  SELECT *, (h + {line_dedup.BASE} * coalesce(lag(h) OVER w, 0)) % {line_dedup.MODULUS} AS r
+  FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), cut AS (
+  SELECT *, long_line OR coalesce(lead(long_line) OVER w, true)
+            OR coalesce(r < lag(r) OVER w AND r <= lead(r) OVER w, false) AS ends
+  FROM rolled WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), numbered AS (
+  SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
+  FROM cut
+), chunks AS (
+  SELECT doc_id, chunk, min(i) AS first, string_agg(line, chr(10) ORDER BY i) AS words
+  FROM numbered GROUP BY doc_id, chunk
+  HAVING sum(CASE WHEN trim(line) <> '' THEN 1 ELSE 0 END) >= 2 OR (count(*) = 1 AND bool_or(long_line))
+), gone AS (
+  SELECT doc_id, chunk FROM (
+    SELECT doc_id, chunk, row_number() OVER (PARTITION BY words ORDER BY doc_id, first) AS place FROM chunks)
+  WHERE place > 1
+), kept AS (
+  SELECT n.doc_id, coalesce(string_agg(CASE WHEN g.doc_id IS NULL THEN line END, chr(10) ORDER BY i), '') AS text,
+         count(g.doc_id) AS removed_lines
+  FROM numbered n LEFT JOIN gone g ON n.doc_id = g.doc_id AND n.chunk = g.chunk GROUP BY n.doc_id
+)
+SELECT d.doc_id, k.text, coalesce(k.removed_lines, 0) AS removed_lines
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
