@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +20,14 @@ SLICE_BYTES = 4 << 20  # text worked on at once by a task; a longer single text
 
 written = materialise
 
+def kept(name: str, build: Callable):
+    """What ``build`` gives, built once in the life of a worker process and found again by later tasks under ``name``."""
+    memory = sys.modules.setdefault("_shelfscope_kept", types.ModuleType("_shelfscope_kept")).__dict__
+    if name not in memory:
+        memory[name] = build()
+    return memory[name]
+
+
 Scan = Callable[[pa.Array], dict[str, pa.Array | np.ndarray | list]]
 
 

@@ -4,12 +4,13 @@ The tokenizers library merges; it works on characters, so every byte has a
 printable stand-in.  Merges are taken from a rank file: a token can be made
 from any two tokens it is the concatenation of, with the rank of the result.
 Texts are cut by the pattern of the rank file, and a distinct pre-token is
-encoded once per task and slice.
+encoded once and remembered.
 """
 
 from __future__ import annotations
 
 import base64
+from struct import pack
 
 import numpy as np
 import public_tokenizers
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, models
 
-from shelfscope.llm.base import scan, struct
+from shelfscope.llm.base import kept, scan, struct
 from shelfscope.llm.pretokens import Known, split
 
 FILE = "byte_bpe_50k.tiktoken"
@@ -38,8 +39,11 @@ SHOWN = stand_ins()
 BYTE_OF = {c: b for b, c in enumerate(SHOWN)}
 
 
+TO_SHOWN = dict(enumerate(SHOWN))
+
+
 def shown(piece: bytes) -> str:
-    return "".join(SHOWN[b] for b in piece)
+    return piece.decode("latin-1").translate(TO_SHOWN)
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -57,31 +61,28 @@ def merger(ranks: dict[bytes, int]) -> Tokenizer:
     return Tokenizer(models.BPE(vocab={shown(t): r for t, r in ranks.items()}, merges=merges))
 
 
-class Codec:
-    """Encodes and decodes with the ranks of one file; built once per task."""
+def packed(ids: list[int]) -> bytes:
+    return pack(f"<{len(ids)}I", *ids)
+
+
+def lengths_of(ranks: dict[bytes, int]) -> np.ndarray:
+    """The number of bytes of every token."""
+    lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+    lengths[list(ranks.values())] = [len(t) for t in ranks]
+    return lengths
 
+
+class Encoder:
     def __init__(self, path: str):
         self.ranks = ranks_of(path)
         self.merger = merger(self.ranks)
-        self.tokens = {i: bytes(BYTE_OF[c] for c in token) for token, i in self.merger.get_vocab().items()}
-        self.lengths = np.zeros(max(self.tokens) + 1, np.int64)
-        self.lengths[list(self.tokens)] = [len(t) for t in self.tokens.values()]
+        self.lengths = lengths_of(self.ranks)
         self.known = Known(self.encoded)
 
     def encoded(self, pieces: list[str]) -> list[bytes]:
         """Ids of pre-tokens, four bytes each."""
-        found: list = [None] * len(pieces)
-        rest = []
-        for i, piece in enumerate(pieces):
-            whole = self.ranks.get(piece.encode())
-            if whole is None:
-                rest.append(i)
-            else:
-                found[i] = np.array([whole], "<u4").tobytes()
-        batch = [shown(pieces[i].encode()) for i in rest]
-        for i, e in zip(rest, self.merger.encode_batch_fast(batch, add_special_tokens=False), strict=True):
-            found[i] = np.array(e.ids, "<u4").tobytes()
-        return found
+        merged = self.merger.encode_batch_fast([shown(p.encode()) for p in pieces], add_special_tokens=False)
+        return [packed(e.ids) for e in merged]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [split(text) for text in texts]
@@ -97,6 +98,13 @@ class Codec:
         first = (np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80
         return (np.cumsum(first)[at] - 1).astype("<u4")
 
+
+class Decoder:
+    def __init__(self, path: str):
+        ranks = ranks_of(path)
+        self.lengths = lengths_of(ranks)
+        self.tokens = {rank: bytes(BYTE_OF[c] for c in shown(token)) for token, rank in ranks.items()}
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -111,7 +119,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     path = path or public_tokenizers.path(FILE)
 
     def make():
-        codec = Codec(path)
+        codec = kept(f"encoder {path}", lambda: Encoder(path))
 
         def run(texts: pa.Array) -> dict:
             plain = [x or "" for x in texts.to_pylist()]
@@ -134,7 +142,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", kee
     path = path or public_tokenizers.path(FILE)
 
     def make():
-        codec = Codec(path)
+        codec = kept(f"decoder {path}", lambda: Decoder(path))
 
         def run(ids: pa.Array) -> dict:
             lists = [x or b"" for x in ids.to_pylist()]

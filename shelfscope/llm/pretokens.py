@@ -10,7 +10,7 @@ import regex
 PATTERN = regex.compile(public_tokenizers.PATTERN)
 split = PATTERN.findall
 
-MOST_KEPT = 500_000  # entries before a worker's memory is emptied; it then counts anew, with the same results
+MOST_KEPT = 300_000  # entries before a worker's memory is emptied; it then counts anew, with the same results
 
 
 class Known(dict):

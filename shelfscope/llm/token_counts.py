@@ -14,6 +14,7 @@ pre-token, frequency) rows would move several times the text.
 from __future__ import annotations
 
 from collections import Counter
+from operator import mul
 
 import public_tokenizers
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from shelfscope.llm.base import scan, struct
+from shelfscope.llm.base import kept, scan, struct
 from shelfscope.llm.pretokens import Known, split
 
 FILE = "byte_bpe_50k.json"
@@ -67,7 +68,7 @@ def counter(path: str):
             frequencies.append(frequency)
             specials.append(n)
         known.learn(set().union(*frequencies))
-        sums = [n + sum(known[piece] * k for piece, k in f.items()) for f, n in zip(frequencies, specials, strict=True)]
+        sums = [n + sum(map(mul, map(known.__getitem__, f), f.values())) for f, n in zip(frequencies, specials, strict=True)]
         return {"n_bytes": pc.fill_null(pc.binary_length(texts), 0), "n_tokens": sums}
 
     return run
@@ -83,4 +84,4 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     must lie there.  No shuffle.
     """
     path = path or public_tokenizers.path(FILE)
-    return scan(docs, [id_col], text_col, RESULTS, lambda: counter(path))
+    return scan(docs, [id_col], text_col, RESULTS, lambda: kept(f"counter {path}", lambda: counter(path)))
