@@ -38,7 +38,6 @@ _random = np.random.default_rng(7)
 FACTORS = _random.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 SHIFTS = _random.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32)
 
-SHINGLED = struct(n=T.LongType(), d1=T.LongType(), d2=T.LongType())
 SIGNED = struct(n=T.LongType(), d1=T.LongType(), d2=T.LongType(), signature=T.BinaryType(), bands=T.ArrayType(T.LongType()))
 SETS = struct(shingles=T.BinaryType())
 
@@ -288,3 +287,17 @@ def near_duplicates(
     return placed.select(
         "id", F.col("n").alias("n_shingles"), "d1", "d2", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
     )
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, **options) -> DataFrame:
+    """One document of each group (that of the smallest id), all columns as they were; what is linked with nothing stays."""
+    found = near_duplicates(docs, id_col, text_col, ngram, **options)
+    dropped = found.filter(~F.col("kept")).select(F.col("id").alias("__id"), F.col("d1").alias("__e1"), F.col("d2").alias("__e2")).distinct()
+    marks = struct(__n=T.LongType(), __d1=T.LongType(), __d2=T.LongType())
+
+    def run(texts: pa.Array) -> dict:
+        return {f"__{name}": values for name, values in shingled(texts, ngram).items()}
+
+    marked = scan(docs, docs.columns, text_col, marks, lambda: run)
+    copies = (marked[id_col].cast("long") == dropped["__id"]) & (marked["__d1"] == dropped["__e1"]) & (marked["__d2"] == dropped["__e2"])
+    return marked.join(dropped, copies, "left_anti").drop("__n", "__d1", "__d2")

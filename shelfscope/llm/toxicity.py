@@ -176,8 +176,9 @@ def toxicity(
     label_col: str = "toxic",
     keep: list[str] | None = None,
     calibration_rows: int = CALIBRATION_ROWS,
+    score: str = "toxic_score",
 ) -> DataFrame:
-    """``keep`` columns (the id by default) and ``toxic_score`` of every row, scored on its whole text.
+    """``keep`` columns (the id by default) and the ``score`` of every row, scored on its whole text.
 
     Labels are read from rows outside the held-out fold only; of several labels
     of an id the largest counts, null labels and ids are passed over.  A null or
@@ -186,8 +187,13 @@ def toxicity(
     fitted on ``calibration_rows`` rows at most, chosen by a hash of the id.
     """
     table, curve = fitted(docs, labels, id_col, text_col, label_col, calibration_rows)
-    result = struct(toxic_score=T.DoubleType())
-    return scan(docs, keep or [id_col], text_col, result, lambda: lambda texts: {"toxic_score": curve(features_of(texts, table.value))})
+    result = struct(**{score: T.DoubleType()})
+    return scan(docs, keep or [id_col], text_col, result, lambda: lambda texts: {score: curve(features_of(texts, table.value))})
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
+    """The rows scored below ``threshold``, all columns as they were."""
+    return toxicity(docs, labels, keep=docs.columns, score="__toxic", **options).filter(F.col("__toxic") < threshold).drop("__toxic")
 
 
 def held_out(key: Column) -> Column:
