@@ -43,7 +43,13 @@ def slices(batch: pa.RecordBatch, text: int, size: int = SLICE_BYTES) -> Iterato
 
 
 def scan(
-    df: DataFrame, keep: list[str], text: str, results: T.StructType, make: Callable[[], Scan], kind: str = "string"
+    df: DataFrame,
+    keep: list[str],
+    text: str,
+    results: T.StructType,
+    make: Callable[[], Scan],
+    kind: str = "string",
+    size: int = SLICE_BYTES,
 ) -> DataFrame:
     """``keep`` columns of every row next to what a scan of its text gives.
 
@@ -58,7 +64,7 @@ def scan(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = make()
         for batch in batches:
-            for part in slices(batch, last):
+            for part in slices(batch, last, size):
                 found = run(part.column(last))
                 columns = [part.column(i) for i in range(last)] + [found[f.name] for f in results.fields]
                 yield pa.RecordBatch.from_arrays(

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer, models
 
 from shelfscope.llm.base import kept, scan, struct
-from shelfscope.llm.pretokens import Known, split
+from shelfscope.llm.pretokens import SLICE_BYTES, Known, split
 
 FILE = "byte_bpe_50k.tiktoken"
 
@@ -109,9 +109,12 @@ class Decoder:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def encode(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, back: bool = False
+) -> DataFrame:
     """Ids (little-endian unsigned 32-bit numbers) of every text, and the character each token begins in.
 
+    With ``back`` the ids are decoded again in the same pass, into ``bytes``.
     One row per input row, repeated rows and null ids included; other columns
     are left out.  Null and empty texts have no ids.  Special tokens are not
     known: their strings are ordinary text.  No shuffle.
@@ -120,16 +123,19 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def make():
         codec = kept(f"encoder {path}", lambda: Encoder(path))
+        decoder = kept(f"decoder {path}", lambda: Decoder(path)) if back else None
 
         def run(texts: pa.Array) -> dict:
             plain = [x or "" for x in texts.to_pylist()]
             ids = codec.encode(plain)
             starts = [codec.starts(i, x).tobytes() for i, x in zip(ids, plain, strict=True)]
-            return {"ids": ids, "n_tokens": [len(i) // 4 for i in ids], "starts": starts}
+            found = {"ids": ids, "n_tokens": [len(i) // 4 for i in ids], "starts": starts}
+            return found | {"bytes": [decoder.decode(i) for i in ids]} if back else found
 
         return run
 
-    return scan(docs, [id_col], text_col, ENCODED, make)
+    results = T.StructType([*ENCODED.fields, DECODED["bytes"]]) if back else ENCODED
+    return scan(docs, [id_col], text_col, results, make, size=SLICE_BYTES)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", keep: list[str] | None = None, path: str | None = None) -> DataFrame:
@@ -156,4 +162,4 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", kee
 
         return run
 
-    return scan(encoded, [id_col, *(keep or [])], ids_col, DECODED, make, kind="binary")
+    return scan(encoded, [id_col, *(keep or [])], ids_col, DECODED, make, kind="binary", size=SLICE_BYTES)

@@ -69,9 +69,10 @@ def op6_html_text(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    encoded = byte_bpe.encode(documents(spark, folder))
-    decoded = byte_bpe.decode(encoded.withColumn("ids_sha256", F.sha2("ids", 256)), keep=["n_tokens", "ids_sha256"])
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+    encoded = byte_bpe.encode(documents(spark, folder), back=True)
+    return encoded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")
+    )
 
 
 @query

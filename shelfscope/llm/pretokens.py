@@ -10,7 +10,8 @@ import regex
 PATTERN = regex.compile(public_tokenizers.PATTERN)
 split = PATTERN.findall
 
-MOST_KEPT = 300_000  # entries before a worker's memory is emptied; it then counts anew, with the same results
+SLICE_BYTES = 1 << 20  # text cut at once; its pre-tokens take some forty times that
+MOST_KEPT = 200_000  # entries before a worker's memory is emptied; it then counts anew, with the same results
 
 
 class Known(dict):

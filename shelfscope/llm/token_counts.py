@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from shelfscope.llm.base import kept, scan, struct
-from shelfscope.llm.pretokens import Known, split
+from shelfscope.llm.pretokens import SLICE_BYTES, Known, split
 
 FILE = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -84,4 +84,4 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     must lie there.  No shuffle.
     """
     path = path or public_tokenizers.path(FILE)
-    return scan(docs, [id_col], text_col, RESULTS, lambda: kept(f"counter {path}", lambda: counter(path)))
+    return scan(docs, [id_col], text_col, RESULTS, lambda: kept(f"counter {path}", lambda: counter(path)), size=SLICE_BYTES)
