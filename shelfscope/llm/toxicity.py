@@ -151,7 +151,9 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     )
     for_curve = F.floor(fold(F.col("__id")) / FOLDS) % CALIBRATION_SHARE == 0
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__words")).filter(fold(F.col("__id")) % FOLDS != HELD_OUT)
-    counts = written(continuation_counts(texts.filter(~for_curve).join(known.filter(~for_curve), "__id"), "__words"))
+    # Labels grow with the corpus, so they meet the texts by a shuffle at every size.
+    labelled = texts.filter(~for_curve).join(known.filter(~for_curve).hint("merge"), "__id")
+    counts = written(continuation_counts(labelled, "__words"))
     table = texts.sparkSession.sparkContext.broadcast(log_ratios(counts))
 
     sample = known.filter(for_curve).orderBy(F.xxhash64("__id"), "__id").limit(calibration_rows)
