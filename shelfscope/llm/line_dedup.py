@@ -120,7 +120,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     whole = keyed.select("__id", "__hash", text.alias("__text"))
     occurrences = written(
-        candidates.join(whole, same(candidates, whole))
+        candidates.join(whole.hint("merge"), same(candidates, whole))  # both sides grow with the corpus
         .select(candidates["__id"], candidates["__hash"], lines_of(F.col("__text")).alias("lines"), F.explode("chunks").alias("chunk"))
         .select(
             "__id",
@@ -144,7 +144,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .groupBy("__id", "__hash")
         .agg(F.sort_array(F.collect_list(F.struct("first", "size"))).alias("__chunks"))
     )
-    joined = keyed.join(removed, same(keyed, removed), "left")
+    joined = keyed.join(removed.hint("merge"), same(keyed, removed), "left")
     gone = F.aggregate("__chunks", F.lit(0), lambda total, c: total + c["size"])
     cleaned = F.when(F.col("__chunks").isNull(), text).otherwise(without(lines_of(text), F.col("__chunks")))
     return joined.select(
