@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 from shelfscope.llm.base import written
 
 
-def _state(links: DataFrame) -> tuple:
-    """Tells whether two rounds have the same links: their number and an order-free checksum."""
-    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _settled(links: DataFrame) -> bool:
+    """Whether every node is tied to one root only and no root is tied to another: one row to the driver."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    loose = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1")
+    return loose.isEmpty()
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -24,8 +28,7 @@ def _both_ways(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest node) of every node of links (a, b); rows with a null or a = b are passed over."""
     links = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
-    state = _state(links)
-    while state[0]:
+    while not _settled(links):
         # Large star: the larger neighbours of a node are tied to its smallest neighbour.
         edges = _both_ways(links)
         smallest = edges.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -38,9 +41,6 @@ def components(links: DataFrame) -> DataFrame:
             .distinct()
         )
         links = written(small)
-        before, state = state, _state(links)
-        if state == before:
-            break
     roots = links.select(F.col("b").alias("node")).distinct()
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         roots.select("node", F.col("node").alias("component"))

@@ -3,18 +3,22 @@
 Texts with the same set of shingles form a class and are linked at once.
 Classes that share a band meet in a bucket.  In a bucket every class is first
 held against one pivot; what becomes one component needs no further comparison,
-so a bucket full of copies costs one pair a member.  After the pivots only pairs
-of different components are left, and all of those are compared: no link between
+so a bucket full of copies costs one pair a member.  What then lies outside the
+largest component of its bucket is compared with all of the bucket, in blocks of
+bounded size that put out only pairs close to the threshold: no link between
 different sets that the bands proposed is lost, and no bucket is multiplied out.
 
 The bands miss a pair at the threshold with probability (1 - 0.8**6)**48 < 1e-6.
 The test looks at the signatures a batch at a time and drops a pair when the
-posterior probability that it reaches the threshold is below ``MISS``.
+posterior probability that it reaches the threshold is below ``MISS``.  Then the
+sets' counts by ``BINS`` parts of the hash range bound the intersection from
+above, and full sets decide what is left.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 
 import numpy as np
@@ -30,16 +34,19 @@ from shelfscope.llm.spans import NOT_SPACE, Words, bytes_of, first_of, mixed, ro
 BANDS, ROWS = 48, 6
 HASHES = BANDS * ROWS
 BATCH = 48  # signature places looked at between two decisions
+BINS = 512  # parts of the hash range whose counts bound an intersection
+BLOCK = 256  # members of a bucket on either side of one comparison
 MISS = 1e-6  # posterior probability of reaching the threshold below which a pair is dropped
 THRESHOLD = (80, 100)  # intersection to union, as whole numbers
-SIMPLE_ROUNDS = 6  # pivot rounds at most before all that is left is compared
+FRUITFUL = 0.1  # share of a pivot round's pairs that must be links for another round
 
 _random = np.random.default_rng(7)
 FACTORS = _random.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 SHIFTS = _random.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32)
 
 SIGNED = struct(n=T.LongType(), d1=T.LongType(), d2=T.LongType(), signature=T.BinaryType(), bands=T.ArrayType(T.LongType()))
-SETS = struct(shingles=T.BinaryType())
+SETS = struct(shingles=T.BinaryType(), bins=T.BinaryType())
+PAIRS = struct(a=T.LongType(), b=T.LongType())
 
 
 def later(keys: np.ndarray) -> np.ndarray:
@@ -103,20 +110,21 @@ def signed(texts: pa.Array, ngram: int) -> dict:
         bands[:, b] = key
     low = np.ascontiguousarray(minima.T.astype(np.uint8))
     signatures: list = [b""] * len(texts)
-    counts = np.zeros(len(texts), np.int32)
+    counts = found["n"]
     for row, i in enumerate(filled):
         signatures[i] = low[row].tobytes()
-        counts[i] = BANDS
-    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    ends = np.concatenate([[0], np.cumsum(counts > 0)])
     found["signature"] = signatures
-    found["bands"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.ravel().view(np.int64)))
+    found["bands"] = pa.ListArray.from_arrays(pa.array((ends * BANDS).astype(np.int32)), pa.array(bands.ravel().view(np.int64)))
     return found
 
 
 def sets(texts: pa.Array, ngram: int) -> dict:
-    """The sorted hashes of each set, eight bytes each."""
+    """The sorted hashes of each set, eight bytes each, and their counts by parts of the hash range (255 means that or more)."""
     hashes, begins = shingle_sets(texts, ngram)
-    return {"shingles": [np.sort(hashes[a:b]).tobytes() for a, b in zip(begins[:-1], begins[1:], strict=True)]}
+    each = [hashes[a:b] for a, b in zip(begins[:-1], begins[1:], strict=True)]
+    parts = [np.bincount((h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=BINS) for h in each]
+    return {"shingles": [np.sort(h).tobytes() for h in each], "bins": [np.minimum(p, 255).astype(np.uint8).tobytes() for p in parts]}
 
 
 @functools.cache
@@ -148,27 +156,96 @@ def plausible(signatures_a: np.ndarray, signatures_b: np.ndarray, similarity: fl
     return found
 
 
-def surviving(pairs: DataFrame, nodes: DataFrame, threshold: tuple[int, int], miss: float) -> DataFrame:
-    """The pairs (a, b) whose sizes and signatures leave the threshold possible."""
-    part, whole = threshold
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
-    both = (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .filter(F.least("na", "nb") * whole >= F.greatest("na", "nb") * part)
-        .select("a", "b", "sa", "sb")
-    )
+class Facts:
+    """Sizes, signatures and counts of some sets, compared pair by pair with those of others."""
+
+    def __init__(self, n: np.ndarray, signatures: list[bytes], bins: list[bytes]):
+        self.n = n
+        self.signatures = np.frombuffer(b"".join(signatures), np.uint8).reshape(-1, HASHES)
+        self.bins = np.frombuffer(b"".join(bins), np.uint8).reshape(-1, BINS)
+
+    def close(self, i: np.ndarray, other: Facts, j: np.ndarray, threshold: tuple[int, int], miss: float) -> np.ndarray:
+        """Which of the pairs (i of these, j of those) may reach the threshold."""
+        part, whole = threshold
+        n, m = self.n[i], other.n[j]
+        left = np.flatnonzero(np.minimum(n, m) * whole >= np.maximum(n, m) * part)
+        left = left[plausible(self.signatures[i[left]], other.signatures[j[left]], part / whole, miss)]
+        a, b = self.bins[i[left]], other.bins[j[left]]
+        most = np.minimum(a, b).sum(1, dtype=np.int64)  # the intersection is no larger, where no count was cut at 255
+        cut = (a.max(1, initial=0) == 255) | (b.max(1, initial=0) == 255)
+        return left[cut | (most * whole >= (n[left] + m[left] - most) * part)]
+
+
+def facts_of(batch: pa.RecordBatch, columns: list[str]) -> Facts:
+    n, signatures, bins = (batch.column(c) for c in columns)
+    return Facts(n.to_numpy(), signatures.to_pylist(), bins.to_pylist())
+
+
+def surviving(pairs: DataFrame, facts: DataFrame, threshold: tuple[int, int], miss: float) -> DataFrame:
+    """The pairs (a, b) whose sizes, signatures and counts leave the threshold possible."""
+
+    def side(name: str) -> DataFrame:
+        return facts.select(*[F.col(c).alias(f"{c}_{name}" if c != "node" else name) for c in ("node", "n", "signature", "bins")])
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    columns = {name: [f"{c}_{name}" for c in ("n", "signature", "bins")] for name in ("a", "b")}
+
+    def work(batches):
+        for batch in batches:
+            every = np.arange(batch.num_rows)
+            keep = facts_of(batch, columns["a"]).close(every, facts_of(batch, columns["b"]), every, threshold, miss)
+            yield batch.select(["a", "b"]).take(pa.array(keep))
+
+    return both.select("a", "b", *columns["a"], *columns["b"]).mapInArrow(work, PAIRS)
+
+
+def close_in_buckets(open_members: DataFrame, facts: DataFrame, threshold: tuple[int, int], miss: float) -> DataFrame:
+    """The close pairs of each bucket between what lies outside its largest component and all other components.
+
+    Both sides are dealt into blocks by a hash of the node, and every two blocks
+    meet in a task: at most some 2 * BLOCK rows are together, and only close
+    pairs come out.
+    """
+    blocks = {"left": F.ceil(F.col("outside") / BLOCK), "right": F.ceil(F.col("size") / BLOCK)}
+    here = open_members.join(facts, "node")
+
+    def dealt(rows: DataFrame, side: str, other: str) -> DataFrame:
+        own = F.pmod(F.xxhash64("node", F.lit(side)), blocks[side]).cast("int").alias(side)
+        met = F.explode(F.sequence(F.lit(0), (blocks[other] - 1).cast("int"))).alias(other)
+        return rows.select("key", "node", "component", "major", "n", "signature", "bins", F.lit(side == "left").alias("first"), own, met)
+
+    right = dealt(here, "right", "left")
+    left = dealt(here.filter("component != major"), "left", "right")
+    meeting = right.unionByName(left).repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
+    names = ["key", "left", "right", "node", "component", "major", "first", "n", "signature", "bins"]
+
+    def compared(batch: pa.RecordBatch) -> pa.RecordBatch:
+        node, component, major, first = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "major", "first"))
+        own = facts_of(batch, ["n", "signature", "bins"])
+        left, right = np.flatnonzero(first), np.flatnonzero(~first)
+        i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+        # Two members outside the largest component meet twice; the one in order counts.
+        apart = (component[i] != component[j]) & ((component[j] == major[j]) | (node[i] < node[j]))
+        i, j = i[apart], j[apart]
+        keep = own.close(i, own, j, threshold, miss)
+        a, b = np.maximum(node[i[keep]], node[j[keep]]), np.minimum(node[i[keep]], node[j[keep]])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def work(batches):
+        rest = None  # the rows of a meeting that goes on in the next batch
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, HASHES) for i in (2, 3))
-            keep = plausible(a, b, part / whole, miss)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
+            whole = table.to_batches()[0] if table.num_rows else batch
+            keys = np.stack([whole.column(c).to_numpy().astype(np.int64) for c in ("key", "left", "right")])
+            edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            begins = np.concatenate([[0], edges])
+            for a, b in itertools.pairwise(begins):
+                yield compared(whole.slice(a, b - a))
+            rest = whole.slice(begins[-1])
+        if rest is not None and rest.num_rows:
+            yield compared(rest)
 
-    return both.mapInArrow(work, struct(a=T.LongType(), b=T.LongType()))
+    return meeting.select(*names).mapInArrow(work, PAIRS).distinct()
 
 
 def confirmed(pairs: DataFrame, full: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -193,7 +270,7 @@ def confirmed(pairs: DataFrame, full: DataFrame, threshold: tuple[int, int]) ->
                 keep = [linked(x, y) for x, y in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True)]
                 yield rows.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(work, struct(a=T.LongType(), b=T.LongType()))
+    return both.mapInArrow(work, PAIRS)
 
 
 def near_duplicates(
@@ -238,46 +315,47 @@ def near_duplicates(
             lambda: lambda t: sets(t, ngram),
         ).distinct()
     )
-
-    def links_of(pairs: DataFrame) -> DataFrame:
-        likely = surviving(pairs, nodes.select("node", "n", "signature"), threshold, miss)
-        return written(confirmed(likely, full, threshold).distinct())
+    facts = written(full.select("node", "bins").join(nodes.select("node", "n", "signature"), "node").distinct())
 
     tried = written(members.filter("node > pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
-    links = links_of(tried)
+    links = written(confirmed(surviving(tried, facts, threshold, miss), full, threshold).distinct())
     found = components(links)
-    for turn in range(SIMPLE_ROUNDS):
-        # Members of buckets that still hold different components.
-        open_members = members.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = open_members.groupBy("key").agg(
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-            F.count(F.lit(1)).alias("size"),
-            F.min_by("component", F.xxhash64("node", F.lit(turn))).alias("major"),
-            F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot"),
+    turn, fruitful = 0, True
+    while True:
+        # Buckets that still hold different components, with their largest one and a member of it.
+        placed = members.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        chance = F.xxhash64("node", F.lit(turn))
+        parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("part"), F.min_by("node", chance).alias("pivot"))
+        order = F.struct("part", "component")
+        several = parts.groupBy("key").agg(
+            F.max_by("component", order).alias("major"),
+            F.max_by("pivot", order).alias("pivot"),
+            F.sum("part").alias("size"),
+            (F.sum("part") - F.max("part")).alias("outside"),
         )
-        several = several.filter("low < high").drop("low", "high")
-        open_members = written(open_members.join(several, "key"))
-        outside = open_members.filter("component != major")
-        n_members, n_outside, most = open_members.agg(
-            F.count(F.lit(1)), F.count(F.when(F.col("component") != F.col("major"), 1)), F.sum(F.when(F.col("component") != F.col("major"), F.col("size")))
+        open_members = written(placed.join(several.filter("outside > 0"), "key"))
+        n_members, n_possible = open_members.agg(
+            F.count(F.lit(1)), F.sum(F.when(F.col("component") != F.col("major"), F.col("size")).otherwise(0))
         ).first()
         if not n_members:
             break
-        last = (most or 0) <= 20 * n_members or turn == SIMPLE_ROUNDS - 1
+        # Up to this, dealing into blocks sends a member to a few meetings; beyond, another pivot comes first.
+        last = n_possible <= BLOCK * n_members or not fruitful
         if last:
-            # Everything outside the pivot's component against all other components of its bucket.
-            other = open_members.select("key", F.col("node").alias("other"), F.col("component").alias("elsewhere"))
-            pairs = outside.join(other, "key").filter("component != elsewhere").select("node", "other")
+            pairs = close_in_buckets(open_members, facts, threshold, miss)
         else:
-            pairs = outside.select("node", F.col("pivot").alias("other"))
-        pairs = pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"))
-        links = written(links.union(links_of(pairs)))
+            pairs = open_members.filter("component != major").select(
+                F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")
+            )
+        pairs = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+        more = written(confirmed(pairs if last else surviving(pairs, facts, threshold, miss), full, threshold).distinct())
+        links = written(links.union(more))
         found = components(links)
         if last:
             break
+        fruitful = more.count() > FRUITFUL * pairs.count()
         tried = written(tried.union(pairs))
+        turn += 1
 
     named = written(classes.join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component")))
     own_rows = rows.select("id", "n", "d1", "d2")
