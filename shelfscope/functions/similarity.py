@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 # copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WORD = 64  # characters of the shorter string that fit one machine word
+WORD = 64  # characters in one machine word
+CELLS = 4_000_000  # cells of the grids worked on at once
 
 
 def tokens(title: Column) -> Column:
@@ -33,54 +34,61 @@ def token_set(title: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(tokens(title))), " ")
 
 
-def _subsequence_of_long_text(short: str, long: str) -> int:
-    full = (1 << len(short)) - 1
-    places: dict[str, int] = {}
-    for i, ch in enumerate(short):
-        places[ch] = places.get(ch, 0) | (1 << i)
-    open_bits = full
-    for ch in long:
-        hit = open_bits & places.get(ch, 0)
-        open_bits = ((open_bits + hit) | (open_bits - hit)) & full
-    return len(short) - open_bits.bit_count()
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _advance(short: list[np.ndarray], long: list[np.ndarray]) -> np.ndarray:
+    """Common subsequence lengths of pairs of like sizes, all advancing together one character of ``long`` at a time."""
+    rows = np.arange(len(short))
+    sizes = np.array([len(s) for s in short])
+    codes, coded = np.unique(np.concatenate(short), return_inverse=True)
+    words = -(-int(sizes.max()) // WORD)
+    if len(short) > 1 and len(short) * (len(codes) * words + max(map(len, long))) > CELLS:
+        half = len(short) // 2
+        return np.concatenate([_advance(short[:half], long[:half]), _advance(short[half:], long[half:])])
+    # Bit i of a character's row: the short text has it at place i.
+    places = np.zeros((words, len(short), len(codes) + 1), np.uint64)
+    at = np.concatenate([np.arange(n) for n in sizes])
+    np.bitwise_or.at(places, (at // WORD, np.repeat(rows, sizes), coded + 1), np.uint64(1) << (at % WORD).astype(np.uint64))
+    grid = np.zeros((max(map(len, long)), len(short)), np.int64)  # 0 matches nothing
+    for row, text in enumerate(long):
+        place = np.minimum(np.searchsorted(codes, text), len(codes) - 1)
+        grid[: len(text), row] = np.where(codes[place] == text, place + 1, 0)
+    open_bits = np.full((words, len(short)), ~np.uint64(0))
+    for column in grid:
+        carry = np.zeros(len(short), np.uint64)
+        for w in range(words):
+            bits = open_bits[w]
+            hit = bits & places[w][rows, column]
+            total = bits + hit
+            over = total < bits
+            total += carry
+            carry = (over | (total < carry)).astype(np.uint64)
+            open_bits[w] = total | (bits - hit)
+    return np.bitwise_count(~open_bits).sum(axis=0).astype(np.int64)
 
 
 def lcs_lengths(left: pd.Series, right: pd.Series) -> np.ndarray:
     """Length of the longest common subsequence of each pair, a batch at a time.
 
-    Bit-parallel dynamic programming: one 64-bit word per pair, all pairs of
-    the batch advance together.  Longer pairs use wide integers.
+    Bit-parallel dynamic programming over as many machine words as the shorter
+    text of a pair needs.  Pairs are put together by length, so that a long text
+    makes no grid of its length for the short ones of its batch.
     """
-    swap = left.str.len() > right.str.len()
-    short, long = left.where(~swap, right), right.where(~swap, left)
-    out = np.zeros(len(left), dtype=np.int64)
-
-    wide = (short.str.len() > WORD).to_numpy()
-    for i in np.flatnonzero(wide):
-        out[i] = _subsequence_of_long_text(short.iloc[i], long.iloc[i])
-
-    narrow = np.flatnonzero(~wide & (short.str.len() > 0).to_numpy())
-    if len(narrow) == 0:
-        return out
-    codes: dict[str, int] = {}
-
-    def encode(texts: list[str]) -> np.ndarray:
-        grid = np.zeros((len(texts), max(map(len, texts))), dtype=np.int64)
-        for row, text in enumerate(texts):
-            grid[row, : len(text)] = [codes.setdefault(ch, len(codes) + 1) for ch in text]
-        return grid
-
-    a, b = encode(short.iloc[narrow].tolist()), encode(long.iloc[narrow].tolist())
-    row = np.arange(len(narrow))
-    places = np.zeros((len(narrow), len(codes) + 1), dtype=np.uint64)
-    for i in range(a.shape[1]):
-        places[row, a[:, i]] |= np.uint64(1 << i)
-    places[:, 0] = 0  # padding matches nothing
-    open_bits = np.full(len(narrow), ~np.uint64(0))
-    for j in range(b.shape[1]):
-        hit = open_bits & places[row, b[:, j]]
-        open_bits = (open_bits + hit) | (open_bits - hit)
-    out[narrow] = np.bitwise_count(~open_bits)
+    pairs = [sorted((_code_points(a), _code_points(b)), key=len) for a, b in zip(left, right, strict=True)]
+    order = sorted((i for i, (a, _) in enumerate(pairs) if len(a)), key=lambda i: (-(-len(pairs[i][0]) // WORD), len(pairs[i][1])))
+    out = np.zeros(len(pairs), np.int64)
+    begin = 0
+    while begin < len(order):
+        words = -(-len(pairs[order[begin]][0]) // WORD)
+        most = 2 * len(pairs[order[begin]][1])
+        end = begin + 1
+        while end < len(order) and -(-len(pairs[order[end]][0]) // WORD) == words and len(pairs[order[end]][1]) <= most:
+            end += 1
+        group = order[begin:end]
+        out[group] = _advance([pairs[i][0] for i in group], [pairs[i][1] for i in group])
+        begin = end
     return out
 
 

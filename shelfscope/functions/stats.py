@@ -1,7 +1,7 @@
 """Grouped statistics that stay exact and stay spread out.
 
 A group may hold a third of all rows, so nothing here gathers a group's values
-into one task unless its size was measured first.
+into one task.
 """
 
 from __future__ import annotations
@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from shelfscope.session import materialise
 
-# Values of one group that one task may hold while it computes a percentile.
-VALUES_PER_TASK = 1_000_000
-
 
 def nan_to_null(value: Column) -> Column:
     return F.nanvl(value, F.lit(None).cast("double"))
@@ -45,11 +42,6 @@ def attach(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner")
     return df.join(materialise(table), keys, how)
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest group: one number to the driver, counted before the shuffle."""
-    return with_keys(df, *keys).groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
 def group_quantiles(
     df: DataFrame,
     keys: list[str],
@@ -58,37 +50,17 @@ def group_quantiles(
     *,
     weight: str | None = None,
     moments: dict[str, Column] | None = None,
-    largest: int | None = None,
-    values_per_task: int = VALUES_PER_TASK,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles of ``value`` per group.
 
     ``weight`` names a column of repeat counts (rows are then distinct values).
-    ``moments`` are further aggregates of the same groups, ``largest`` a known
-    bound on their sizes.
-
-    One number, the size of the largest group, decides the plan: while every
-    group fits in a task the quantiles are one aggregation; beyond that the
-    distinct values are sorted across the cluster and picked by rank.
+    ``moments`` are further aggregates of the same groups.  The distinct values
+    are sorted across the cluster and picked by rank, whatever the sizes of the
+    groups.
     """
     moments = moments or {}
     rows = with_keys(df, *keys)
     measured = rows.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    if largest is None:
-        largest = largest_group(measured, keys)
-    if largest <= values_per_task:
-        args = [nan_to_null(F.col(value)), F.array(*[F.lit(float(p)) for p in probs.values()])]
-        if weight:
-            args.append(F.col(weight))
-        out = rows.groupBy(*keys).agg(
-            F.percentile(*args).alias("_q"),
-            *[c.alias(name) for name, c in moments.items()],
-        )
-        return out.select(
-            *keys,
-            *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)],
-            *moments,
-        )
     ranked = _ranked_quantiles(measured, keys, value, probs, weight)
     if not moments:
         return ranked

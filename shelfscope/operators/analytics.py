@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfscope.functions.stats import attach, group_quantiles, largest_group, nan_to_null, safe_corr, with_keys
+from shelfscope.functions.stats import attach, group_quantiles, nan_to_null, safe_corr, with_keys
 from shelfscope.session import materialise
 
 PREMIUM_FACTOR = 1.5  # fixed value: a brand is premium above this multiple of the category median
@@ -35,7 +35,11 @@ CITY_MEASURES = [
 
 
 def explode_offers(gold: DataFrame) -> DataFrame:
-    """One row per offer with its product's columns; products without offers vanish."""
+    """One row per offer with its product's columns; products without offers vanish.
+
+    Missing words and quantities take their defaults.  A missing price stays
+    NULL: it is no price of 0 and wins nothing.
+    """
     rows = gold.select("*", F.posexplode("offers").alias("offer_pos", "offer"))
 
     def or_default(name: str, default) -> F.Column:
@@ -50,8 +54,8 @@ def explode_offers(gold: DataFrame) -> DataFrame:
         or_default("category", "Unknown"),
         or_default("offer.store", ""),
         or_default("offer.city", ""),
-        or_default("offer.price", 0.0),
-        or_default("offer.unit_price", 0.0),
+        F.col("offer.price").alias("price"),
+        F.col("offer.unit_price").alias("unit_price"),
         "offer_pos",
     )
 
@@ -171,12 +175,9 @@ def median_price_deviation(offers: DataFrame) -> DataFrame:
     # Both medians are taken over distinct prices with their counts; there are
     # at most as many distinct gaps as prices.
     counted = materialise(with_keys(prices, *keys, "price").groupBy(*keys, "price").count())
-    largest = largest_group(counted, keys)
-    centre = group_quantiles(counted, keys, "price", {"_median": 0.5}, weight="count", largest=largest)
+    centre = group_quantiles(counted, keys, "price", {"_median": 0.5}, weight="count")
     gaps = counted.join(centre, keys).select(*keys, F.abs(F.col("price") - F.col("_median")).alias("gap"), "count")
-    return group_quantiles(
-        gaps, keys, "gap", {"median_price_deviation": 0.5}, weight="count", largest=largest
-    )
+    return group_quantiles(gaps, keys, "gap", {"median_price_deviation": 0.5}, weight="count")
 
 
 def dominance_index(flagged: DataFrame) -> DataFrame:
@@ -184,7 +185,6 @@ def dominance_index(flagged: DataFrame) -> DataFrame:
 
     ``flagged`` is the result of :func:`is_lowest`.
     """
-    products = flagged.select("product_id").distinct().count()
     wins = F.sum(F.col("is_lowest").cast("long"))
     cells = materialise(
         with_keys(flagged, "category").groupBy("store", "city", "category").agg(
@@ -198,13 +198,18 @@ def dominance_index(flagged: DataFrame) -> DataFrame:
         F.sum("_rows").alias("_rows"),
         F.sum(F.col("_wins") * F.col("_size")).alias("_weight"),
     )
-    total = cells.agg(F.sum("_rows")).first()[0] or 0
+    # Both totals are one row each; stacked and folded they are one row beside each market.
+    totals = (
+        cells.agg(F.sum("_rows").alias("_total"))
+        .unionByName(flagged.agg(F.countDistinct("product_id").alias("_products")), allowMissingColumns=True)
+        .agg(F.max("_total").alias("_total"), F.max("_products").alias("_products"), F.lit(1).alias("_one"))
+    )
     none = F.lit(0.0)
-    return markets.select(
+    return markets.withColumn("_one", F.lit(1)).join(totals, "_one").select(
         "store",
         "city",
-        F.coalesce(F.try_divide("wins", F.lit(products)), none).alias("ldi"),
-        F.coalesce(F.try_divide("_weight", F.lit(total)), none).alias("weighted_ldi"),
+        F.coalesce(F.try_divide("wins", "_products"), none).alias("ldi"),
+        F.coalesce(F.try_divide("_weight", "_total"), none).alias("weighted_ldi"),
         F.coalesce(F.try_divide("wins", "_rows"), none).alias("leadership_frequency"),
         "wins",
     )
@@ -339,30 +344,19 @@ def city_correlation(profile: DataFrame) -> DataFrame:
 
     Undefined entries are 0, the diagonal of a constant measure included.
     """
-    measures = [F.col(m).cast("double") for m in CITY_MEASURES]
-    n = len(measures)
+    n = len(CITY_MEASURES)
     upper = [(i, j) for i in range(n) for j in range(i, n)]
-    pairs = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), measures[i].alias("x"), measures[j].alias("y"))
-            for i, j in upper
-        ]
-    )
-    corr = (
-        with_keys(profile, "city")
-        .select("city", F.inline(pairs))
-        .groupBy("city", "i", "j")
-        .agg(F.coalesce(safe_corr(F.col("x"), F.col("y")), F.lit(0.0)).alias("corr"))
-    )
-    names = F.array(*[F.lit(m) for m in CITY_MEASURES])
-
-    def entry(a: str, b: str) -> F.Column:
-        return F.struct(names[F.col(a)].alias("var_x"), names[F.col(b)].alias("var_y"), "corr")
-
-    both = F.when(F.col("i") == F.col("j"), F.array(entry("i", "j"))).otherwise(
-        F.array(entry("i", "j"), entry("j", "i"))
-    )
-    return corr.select("city", F.inline(both))
+    measures = [F.col(m) for m in CITY_MEASURES]
+    # One aggregation with a column per pair: a product is one row throughout.
+    wide = with_keys(profile, "city").groupBy("city").agg(
+        *[F.coalesce(safe_corr(measures[i], measures[j]), F.lit(0.0)).alias(f"_{i}_{j}") for i, j in upper]
+    )
+    entries = [
+        F.struct(F.lit(CITY_MEASURES[a]).alias("var_x"), F.lit(CITY_MEASURES[b]).alias("var_y"), F.col(f"_{i}_{j}").alias("corr"))
+        for i, j in upper
+        for a, b in dict.fromkeys([(i, j), (j, i)])
+    ]
+    return wide.select("city", F.inline(F.array(*entries)))
 
 
 def top_categories(cat_ldi: DataFrame, n: int = TOP_CATEGORIES) -> DataFrame:

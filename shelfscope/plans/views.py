@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfscope.operators.matching import assemble_gold, best_offer
-from shelfscope.session import dealt_out
 
 # Sizes written after the part names, by key modulo 6.
 LISTING_UNITS = ["kg", "g", "ml", "L", " pcs", " per dozen"]
@@ -19,12 +18,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def offers_view(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as offers: a part is a product, a supplier's region the store,
     a customer's nation the city."""
-    lines = dealt_out(
-        table(spark, folder, "lineitem").select(
-            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"
-        ),
-        "l_orderkey",
-        "l_partkey",
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"
     )
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey")

@@ -10,13 +10,15 @@ such a table only when its measured size is under
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_SHUFFLE_PARTITIONS = 8
-MOST_FILES_DEALT = 64  # a table of this many files or more is never dealt out
 
 
 def local_session(cores: int | str = "*", app: str = "shelfscope") -> SparkSession:
@@ -40,7 +42,7 @@ def local_session(cores: int | str = "*", app: str = "shelfscope") -> SparkSessi
 
 
 _local_folder: str | None = None
-_written: list[str] = []
+_open_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("open_scope", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,27 +59,34 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and return a scan of what was written."""
+    """Write ``df`` to the shared folder and return a scan of what was written.
+
+    Inside :func:`intermediates` the table is deleted when the block ends;
+    outside it stays as long as the folder does, because results that are still
+    lazy read it.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    paths = _open_scope.get()
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard_materialised(spark: SparkSession) -> None:
-    """Delete the intermediate tables of this process once a job's results are written."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    while _written:
-        path = hadoop.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def dealt_out(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a table that lies in fewer files than there are cores.
+@contextlib.contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """A job's own intermediate tables: deleted at its end, also when it fails.
 
-    A single small file is often one row group and would keep one core busy;
-    a table of many files is returned as it is.
+    Results must be written before the block ends.  Jobs side by side, and a job
+    within a job, each delete their own tables only.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < min(cores, MOST_FILES_DEALT) else df
+    paths: list[str] = []
+    token = _open_scope.set(paths)
+    try:
+        yield
+    finally:
+        _open_scope.reset(token)
+        for name in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

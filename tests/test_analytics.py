@@ -132,3 +132,14 @@ def test_analysis_job(spark):
     assert tables["product_dispersion_metrics"].count() == 2
     sections = {r["section"] for r in tables["report_tables"].select("section").distinct().collect()}
     assert sections == {"overview", "scorecard", "correlation", "city_matrix", "top_categories"}
+
+
+def test_an_offer_without_a_price_wins_nothing(spark):
+    gold = spark.createDataFrame(
+        [("1", "Tea", "B", 1.0, "kg", "Drinks", [("S", "X", None, None, ""), ("T", "X", 5.0, 5.0, "")])],
+        "product_id string, title string, brand string, quantity double, unit string, category string, "
+        "offers array<struct<store:string, city:string, price:double, unit_price:double, timestamp:string>>",
+    )
+    offers = A.explode_offers(gold)
+    rows = {r["store"]: (r["price"], r["is_lowest"]) for r in A.is_lowest(offers).collect()}
+    assert rows == {"S": (None, False), "T": (5.0, True)}
