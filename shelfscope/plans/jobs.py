@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfscope.operators import analytics, cleaning, matching, report
-from shelfscope.session import discard_materialised, materialise
+from shelfscope.session import intermediates, materialise
 from shelfscope.sources import gold as gold_io
 from shelfscope.sources import listings as listing_io
 
@@ -43,11 +43,11 @@ def offers_of(gold: DataFrame) -> DataFrame:
 def analyze_market(gold: DataFrame) -> dict[str, DataFrame]:
     """All metric tables of gold products.
 
-    The exploded offers, the flagged offers and the per-product table are each
-    written once and read by everything downstream.
+    The flagged offers hold all columns of the exploded ones, so they are the
+    one full copy that is written; it and the per-product table are read by
+    everything downstream.
     """
-    offers = materialise(offers_of(gold))
-    flagged = analytics.flag_lowest_once(offers)
+    offers = flagged = materialise(analytics.is_lowest(offers_of(gold)))
     dispersion = materialise(analytics.price_dispersion(offers))
     profile = materialise(analytics.product_profile(offers, dispersion))
     scorecard = materialise(analytics.store_scorecard(offers, flagged))
@@ -76,12 +76,38 @@ def end_to_end(raw: DataFrame, threshold: int = matching.THRESHOLD) -> dict[str,
     return {"cleaned": cleaned, "gold": gold} | analyze_market(gold)
 
 
+def clean_folder(spark: SparkSession, raw_folder: str, cleaned_folder: str, fmt: str = "parquet") -> None:
+    """Raw listing files to landed cleaned listings."""
+    with intermediates(spark):
+        listing_io.write_cleaned(clean_listings(listing_io.read_raw_listings(spark, raw_folder)), cleaned_folder, fmt)
+
+
+def match_folder(
+    spark: SparkSession,
+    cleaned_folder: str,
+    gold_folder: str,
+    fmt: str = "parquet",
+    legacy_folder: str | None = None,
+    threshold: int = matching.THRESHOLD,
+    method: str = "token_sort",
+) -> None:
+    """Landed cleaned listings, older files in ``legacy_folder`` included, to gold products."""
+    with intermediates(spark):
+        cleaned = listing_io.read_landed_cleaned(spark, cleaned_folder, fmt)
+        if legacy_folder:
+            cleaned = listing_io.union_listings(cleaned, listing_io.read_legacy_cleaned(spark, legacy_folder))
+        gold_io.write_gold(match_listings(cleaned, threshold, method), gold_folder)
+
+
+def analyze_folder(spark: SparkSession, gold_folder: str, report_folder: str, fmt: str = "parquet") -> None:
+    """Landed gold products to metric tables and the report's numbers."""
+    with intermediates(spark):
+        gold_io.write_metric_tables(analyze_market(gold_io.read_gold(spark, gold_folder, fmt)), report_folder)
+
+
 def run_on_folders(spark: SparkSession, raw_folder: str, out_folder: str) -> None:
-    """Raw listing files in, cleaned listings, gold products and reports out."""
-    tables = end_to_end(listing_io.read_raw_listings(spark, raw_folder))
-    listing_io.write_cleaned(tables.pop("cleaned"), f"{out_folder}/processed")
-    gold = tables.pop("gold")
-    gold_io.write_gold(gold, f"{out_folder}/matched/products")
-    gold_io.write_flat_gold(gold, f"{out_folder}/matched/products_csv")
-    gold_io.write_metric_tables(tables, f"{out_folder}/reports")
-    discard_materialised(spark)
+    """Raw listing files in; cleaned listings, gold products and reports out, each stage reading what the last one landed."""
+    clean_folder(spark, raw_folder, f"{out_folder}/processed")
+    match_folder(spark, f"{out_folder}/processed", f"{out_folder}/matched/products")
+    gold_io.write_flat_gold(gold_io.read_gold(spark, f"{out_folder}/matched/products", "parquet"), f"{out_folder}/matched/products_csv")
+    analyze_folder(spark, f"{out_folder}/matched/products", f"{out_folder}/reports")

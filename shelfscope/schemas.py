@@ -42,8 +42,16 @@ CLEANED_FIELDS = [
 CLEANED_NUMBERS = ["price", "quantity", "unit_price"]
 CLEANED_TIMES = ["scrape_timestamp", "processed_timestamp"]
 
-# As it lies in text files: numbers and times are parsed after the read.
-CLEANED_TEXT = T.StructType([T.StructField(name, T.StringType()) for name in CLEANED_FIELDS])
+
+def _cleaned_type(name: str) -> T.DataType:
+    return T.DoubleType() if name in CLEANED_NUMBERS else T.TimestampType() if name in CLEANED_TIMES else T.StringType()
+
+
+# As we land it: typed, with the feed and the place in it.
+LANDED_CLEANED = T.StructType(
+    [T.StructField(name, _cleaned_type(name)) for name in CLEANED_FIELDS]
+    + [T.StructField(name, T.StringType()) for name in ("file_name", "row_pos")]
+)
 
 # The older cleaned form: `title` for the name, JSON lines, 11 fields.
 LEGACY_CLEANED = T.StructType(

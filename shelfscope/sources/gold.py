@@ -9,25 +9,27 @@ from pyspark.sql import functions as F
 from shelfscope.schemas import GOLD, GOLD_FLAT, STORE_METRICS
 
 
-def _is_json_array(spark: SparkSession, path: str) -> bool:
-    """Whether the first non-blank character of the data is ``[``; one character is fetched."""
-    first = (
-        spark.read.text(path)
-        .select(F.substring(F.ltrim("value"), 1, 1).alias("c"))
-        .filter(F.col("c") != "")
-        .first()
-    )
-    return first is not None and first["c"] == "["
+def _array_files(spark: SparkSession, path: str) -> list[str]:
+    """The names of the files whose first character that is not blank is ``[``."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("place"))
+    first = lines.filter(F.ltrim("value") != "").groupBy("file").agg(F.min_by(F.substring(F.ltrim("value"), 1, 1), "place").alias("c"))
+    return [r.file for r in first.filter("c = '['").collect()]
 
 
 def read_gold(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Gold products from JSON lines, a JSON array (told by its first character) or parquet."""
+    """Gold products from parquet, or from JSON: each file is lines or one array, told by its first character.
+
+    A folder may hold both.  A file that is an array is read by one task.
+    """
     if fmt == "parquet":
         return spark.read.schema(GOLD).parquet(path)
-    reader = spark.read.schema(GOLD)
-    if _is_json_array(spark, path):
-        reader = reader.option("multiLine", True)
-    return reader.json(path)
+    arrays = _array_files(spark, path)
+    lines = spark.read.schema(GOLD).json(path)
+    if not arrays:
+        return lines
+    whole = spark.read.schema(GOLD).option("multiLine", True).json(path)
+    in_array = F.col("_metadata.file_name").isin(arrays)
+    return lines.filter(~in_array).unionByName(whole.filter(in_array))
 
 
 def write_gold(gold: DataFrame, folder: str, fmt: str = "parquet") -> None:

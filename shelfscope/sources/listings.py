@@ -2,66 +2,111 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from shelfscope.functions.stats import attach
 from shelfscope.schemas import (
     CLEANED_FIELDS,
     CLEANED_NUMBERS,
-    CLEANED_TEXT,
     CLEANED_TIMES,
+    LANDED_CLEANED,
     LEGACY_CLEANED,
     RAW_FIELDS,
     RAW_LISTING,
 )
 
 MARKET = ["store", "city"]
+MOST_COLUMNS = 64  # cells of a line that are read; listings have 16 columns at most
+CLEANED_FILES = "{*_cleaned,part-*}.csv"  # single files of a feed, and what :func:`write_cleaned` writes
 
 
-def _csv(spark: SparkSession, schema, multi_line: bool):
-    """CSV with a header, doubled quotes and, if asked, cells over several lines.
+def _cells(spark: SparkSession, folder: str, pattern: str, multi_line: bool) -> DataFrame:
+    """The lines of CSV files as arrays of cells, with their file and a number that grows with the position in it.
 
-    A file with such cells is read by one task; a feed known to have none can
-    be read with ``multi_line=False`` and is then split.
+    Quotes are doubled inside quoted cells; with ``multi_line`` a cell may go
+    over several lines.  A file with such cells is read by one task; a feed
+    known to have none can be read with ``multi_line=False`` and is then split.
     """
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
+    names = [f"_c{i}" for i in range(MOST_COLUMNS)]
+    rows = (
+        spark.read.schema(", ".join(f"{name} string" for name in names))
+        .option("header", False)
         .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("encoding", "UTF-8")
         .option("mode", "PERMISSIVE")
+        .option("pathGlobFilter", pattern)
+        .option("recursiveFileLookup", True)
+        .csv(folder)
     )
+    return rows.select(
+        F.array(*names).alias("_cells"),
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_name").alias("file_name"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("row_pos"),
+    )
+
 
+def _by_name(rows: DataFrame, fields: list[str], renamed: dict[str, str] | None = None) -> DataFrame:
+    """Cells under the names in the first line of their own file.
 
-def _in_order(rows: DataFrame) -> DataFrame:
-    """Add the file and a number that grows with the position in it."""
-    return rows.select("*", F.col("_metadata.file_name").alias("file_name")).withColumn(
-        "row_pos", F.monotonically_increasing_id()
+    Files may order their columns as they like, lack some (empty text) and have
+    others (left out).  The first lines are one row per file; the rest of the
+    data is read once more than that and never grouped.
+    """
+    first = rows.filter("_block = 0").groupBy("_path").agg(
+        F.min_by("_cells", "row_pos").alias("_header"), F.min("row_pos").alias("_first")
     )
+    names = F.transform("_header", lambda name: F.trim(F.replace(name, F.lit("\ufeff"), F.lit(""))))
+    placed = attach(rows, first.select("_path", names.alias("_header"), "_first"), ["_path"])
+
+    def cell(name: str) -> Column:
+        place = F.array_position("_header", F.lit(name)).cast("int")
+        return F.coalesce(F.when(place > 0, F.get("_cells", place - 1)), F.lit("")).alias((renamed or {}).get(name, name))
+
+    return placed.filter("row_pos != _first").select(*map(cell, fields), "file_name", "row_pos")
+
+
+def _sortable(place: Column) -> Column:
+    """A whole number as text of equal order."""
+    return F.lpad(place.cast("string"), 20, "0")
 
 
 def read_raw_listings(spark: SparkSession, folder: str, multi_line: bool = True) -> DataFrame:
-    """All raw listing files of a folder; empty cells are empty text, as in the feed."""
-    rows = _csv(spark, RAW_LISTING, multi_line).option("pathGlobFilter", "*.csv").csv(folder)
-    return _in_order(rows).na.fill("", RAW_FIELDS)
+    """All raw listing files of a folder, by column name; empty and missing cells are empty text, as in the feed."""
+    return _by_name(_cells(spark, folder, "*.csv", multi_line), RAW_FIELDS)
 
 
 def read_cleaned_listings(
-    spark: SparkSession, folder: str, multi_line: bool = True, pattern: str = "*_cleaned.csv"
+    spark: SparkSession, folder: str, multi_line: bool = True, pattern: str = CLEANED_FILES
 ) -> DataFrame:
-    """All cleaned listing files of a folder, numbers and times typed (NULL when unreadable)."""
-    rows = _in_order(_csv(spark, CLEANED_TEXT, multi_line).option("pathGlobFilter", pattern).csv(folder))
+    """All cleaned listing files of a folder, by column name, numbers and times typed (NULL when unreadable).
+
+    Files that carry ``file_name`` and ``row_pos`` columns, as ours do, keep
+    them: rows are then in the order of the feeds they came from.
+    """
+    kept = {"file_name": "_kept_file", "row_pos": "_kept_place"}
+    rows = _by_name(_cells(spark, folder, pattern, multi_line), [*CLEANED_FIELDS, *kept], kept)
+    rows = rows.select(
+        *CLEANED_FIELDS,
+        F.coalesce(F.nullif("_kept_file", F.lit("")), "file_name").alias("file_name"),
+        F.coalesce(F.nullif("_kept_place", F.lit("")), _sortable(F.col("row_pos"))).alias("row_pos"),
+    )
     typed = {c: F.col(c).try_cast("double") for c in CLEANED_NUMBERS}
     typed |= {c: F.col(c).try_cast("timestamp") for c in CLEANED_TIMES}
-    words = [c for c in CLEANED_FIELDS if c not in typed]
-    return rows.withColumns(typed).na.fill("", words)
+    return rows.withColumns(typed)
 
 
 def read_legacy_cleaned(spark: SparkSession, path: str) -> DataFrame:
     """Older cleaned listings (JSON lines with ``title``) in the present form."""
-    rows = _in_order(spark.read.schema(LEGACY_CLEANED).json(path))
+    rows = spark.read.schema(LEGACY_CLEANED).option("pathGlobFilter", "*.json*").json(path)
+    rows = rows.select("*", F.col("_metadata.file_name").alias("file_name")).withColumn(
+        "row_pos", _sortable(F.monotonically_increasing_id())
+    )
     return rows.withColumnRenamed("title", "name").withColumns(
         {c: F.col(c).try_cast("timestamp") for c in CLEANED_TIMES}
     )
@@ -78,9 +123,14 @@ def arrival_order(listings: DataFrame) -> DataFrame:
 
 
 def append_raw_listings(raw: DataFrame, folder: str) -> None:
-    """Append raw listings to their store and city; writes nothing when there are none."""
+    """Append raw listings to their store and city; writes nothing when there are none.
+
+    Rows are gathered by market first, a large market in several parts, so that
+    a market gets few files of good size.
+    """
     if not raw.isEmpty():
-        raw.select(*RAW_FIELDS).write.mode("append").partitionBy(*MARKET).parquet(folder)
+        rows = raw.select(*RAW_FIELDS).hint("rebalance", *MARKET)
+        rows.write.mode("append").partitionBy(*MARKET).parquet(folder)
 
 
 def read_landed_listings(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,15 +142,36 @@ def read_landed_listings(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(
         *RAW_FIELDS,
         F.concat_ws("_", *MARKET).alias("file_name"),
-        F.struct("timestamp", F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("row_pos"),
+        F.concat_ws(
+            "|", F.coalesce("timestamp", F.lit("")), F.col("_metadata.file_path"), _sortable(F.col("_metadata.row_index"))
+        ).alias("row_pos"),
     )
 
 
 def write_cleaned(cleaned: DataFrame, folder: str, fmt: str = "parquet") -> None:
-    """Replace the cleaned listings, one folder per store and city; nothing when empty."""
+    """Replace the cleaned listings, one folder per store and city; nothing when empty.
+
+    The feed and the place in it go along (as text in sortable form), so that
+    the landed table can be matched later in the order of arrival.
+    """
     if cleaned.isEmpty():
         return
-    out = cleaned.select(*CLEANED_FIELDS).write.mode("overwrite").partitionBy(*MARKET)
+    place = F.col("row_pos")
+    if not isinstance(cleaned.schema["row_pos"].dataType, T.StringType):
+        place = _sortable(place)
+    rows = cleaned.select(*CLEANED_FIELDS, "file_name", place.alias("row_pos"))
     if fmt == "csv":
-        out = out.option("header", True).option("quote", '"').option("escape", '"')
+        # Text files carry all columns themselves; the folders are for people.
+        rows = rows.withColumns({f"_{c}": F.col(c) for c in MARKET})
+        out = rows.hint("rebalance", *MARKET).write.mode("overwrite").partitionBy(*[f"_{c}" for c in MARKET])
+        out = out.option("header", True).option("quote", '"').option("escape", '"').option("nullValue", "")
+    else:
+        out = rows.hint("rebalance", *MARKET).write.mode("overwrite").partitionBy(*MARKET)
     out.format(fmt).save(folder)
+
+
+def read_landed_cleaned(spark: SparkSession, folder: str, fmt: str = "parquet") -> DataFrame:
+    """Cleaned listings written by :func:`write_cleaned`, in the order of their feeds."""
+    if fmt == "csv":
+        return read_cleaned_listings(spark, folder)
+    return spark.read.schema(LANDED_CLEANED).parquet(folder).select(*CLEANED_FIELDS, "file_name", "row_pos")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfscope.plans import jobs
@@ -15,8 +16,8 @@ from shelfscope.streaming import feed
 
 HEADER = ",".join(RAW_FIELDS)
 LINES = [
-    'Metro,Lahore,,"Tomatoes 250GM\n\nRs. 55",Generic,Grocery,,"Rs. 1,049.00",In Stock,,,2026-03-13T07:42:20.588982',
-    'Metro,Lahore,,"Say ""cheese""",Generic,Grocery,,Rs. 5,In Stock,,,2026-03-13T07:42:21.588982',
+    'Metro,Lahore,,"Tomatoes 250GM\n\nRs. 55",Generic,Grocery,,"Rs. 1,049.00",In Stock,,,2025-01-02T03:04:05.678901',
+    'Metro,Lahore,,"Say ""cheese""",Generic,Grocery,,Rs. 5,In Stock,,,2025-01-02T03:04:06.678901',
 ]
 
 
@@ -48,11 +49,77 @@ def test_cleaned_files(spark, tmp_path):
     named.mkdir()
     text = "name,price,quantity\nTea,12.5,x\n"
     head = "product_id,name,brand,category,subcategory,price,quantity,unit,unit_price,availability,store,city,product_url,image_url,scrape_timestamp,processed_timestamp"
-    (named / "A_cleaned.csv").write_text(f"{head}\n,Tea,Tapal,Drinks,,12.5,bad,kg,,In Stock,S,X,,,2026-03-13T07:42:20.588982,\n")
+    (named / "A_cleaned.csv").write_text(f"{head}\n,Tea,Tapal,Drinks,,12.5,bad,kg,,In Stock,S,X,,,2025-01-02T03:04:05.678901,\n")
     (named / "B.csv").write_text(text)
     row = L.read_cleaned_listings(spark, str(named)).collect()
     assert [(r["name"], r["price"], r["quantity"], r["subcategory"]) for r in row] == [("Tea", 12.5, None, "")]
-    assert row[0]["scrape_timestamp"].microsecond == 588982
+    assert row[0]["scrape_timestamp"].microsecond == 678901
+
+
+def test_columns_go_by_name(spark, tmp_path):
+    """Files of one folder in different orders, with missing and with other columns, one of them with a byte-order mark."""
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    (folder / "a.csv").write_text("city,store,name,price\nLahore,Metro,Rice 1kg,Rs. 50\n")
+    (folder / "b.csv").write_text('\ufeffname,colour,store,price,city\n"Tea, ""green""\n500g",red,Metro,Rs. 60,Multan\nSalt,blue,Metro,,Multan\n')
+    (folder / "c.csv").write_text(",".join(RAW_FIELDS) + "\n")
+    for multi_line in (True, False):
+        rows = L.read_raw_listings(spark, str(folder), multi_line).orderBy("file_name", "row_pos").collect()
+        assert (rows[0]["store"], rows[0]["city"], rows[0]["name"], rows[0]["price"], rows[0]["category"]) == ("Metro", "Lahore", "Rice 1kg", "Rs. 50", "")
+        if multi_line:
+            assert [(r["name"], r["price"], r["city"]) for r in rows[1:]] == [('Tea, "green"\n500g', "Rs. 60", "Multan"), ("Salt", "", "Multan")]
+    feed.land_raw_feed(feed.raw_feed(spark, str(folder)), str(tmp_path / "landed"), str(tmp_path / "state")).awaitTermination(120)
+    landed = {(r["name"], r["price"], r["store"], r["city"]) for r in L.read_landed_listings(spark, str(tmp_path / "landed")).collect()}
+    assert landed == {("Rice 1kg", "Rs. 50", "Metro", "Lahore"), ('Tea, "green"\n500g', "Rs. 60", "Metro", "Multan"), ("Salt", "", "Metro", "Multan")}
+
+
+def test_landed_cleaned_listings_keep_their_order(spark, tmp_path):
+    lines = [f"Metro,Lahore,,Rice {i} 1kg,Generic,Grocery,,Rs. {i + 10},In Stock,,,2026-01-01T00:00:00" for i in range(12)]
+    folder = raw_folder(tmp_path, lines=lines)
+    cleaned = jobs.clean_listings(L.read_raw_listings(spark, folder))
+    want = [r["name"] for r in cleaned.orderBy("file_name", "row_pos").collect()]
+    for fmt in ("parquet", "csv"):
+        out = str(tmp_path / fmt)
+        L.write_cleaned(cleaned, out, fmt)
+        back = L.read_landed_cleaned(spark, out, fmt)
+        rows = back.orderBy("file_name", "row_pos").collect()
+        assert [r["name"] for r in rows] == want and {r["file_name"] for r in rows} == {"Metro_Lahore.csv"}
+        assert [r["price"] for r in rows] == [float(i + 10) for i in range(12)]
+
+
+def test_older_listings_are_matched_too(spark, tmp_path):
+    jobs.clean_folder(spark, raw_folder(tmp_path), str(tmp_path / "processed"))
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "a.jsonl").write_text(json.dumps({"title": "Tea", "price": 5.0, "quantity": 1.0, "unit": "kg", "store": "S", "city": "X", "category": "Drinks"}) + "\n")
+    jobs.match_folder(spark, str(tmp_path / "processed"), str(tmp_path / "gold"), legacy_folder=str(tmp_path / "old"))
+    assert G.read_gold(spark, str(tmp_path / "gold"), "parquet").count() == 3
+    jobs.analyze_folder(spark, str(tmp_path / "gold"), str(tmp_path / "reports"))
+    assert G.read_metrics(spark, str(tmp_path / "reports/store_market_metrics")).count() == 2
+
+
+def test_intermediate_tables_go_with_their_job(spark):
+    import os
+
+    from shelfscope import session
+
+    def tables():
+        return set(os.listdir(session.shared_folder(spark)))
+
+    outer = session.materialise(spark.range(3))
+    before = tables()
+    with pytest.raises(ZeroDivisionError), session.intermediates(spark):
+        session.materialise(spark.range(5))
+        assert len(tables()) == len(before) + 1
+        raise ZeroDivisionError
+    assert tables() == before and outer.count() == 3
+
+
+def test_a_folder_of_lines_and_arrays(spark, tmp_path):
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "a.json").write_text("\n  " + json.dumps([PRODUCT, PRODUCT], indent=2))
+    (tmp_path / "g" / "b.json").write_text(json.dumps(PRODUCT) + "\n")
+    gold = G.read_gold(spark, str(tmp_path / "g"))
+    assert [r["offers"][0]["price"] for r in gold.collect()] == [5.0] * 3
 
 
 def _plan(df) -> str:
