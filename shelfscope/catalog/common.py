@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,28 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
+def long_form(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """Tables of one kind of row: table, key (its key columns as one text), measure and value."""
+    parts = []
+    for name, (table, keys) in tables.items():
+        measures = [c for c in table.columns if c not in keys]
+        key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+        pairs = F.array(
+            *[F.struct(F.lit(m).alias("measure"), F.col(f"`{m}`").cast("double").alias("value")) for m in measures]
+        )
+        parts.append(table.select(F.lit(name).alias("table"), key.alias("key"), F.inline(pairs)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def long_sql(name: str, table: str, keys: list[str], measures: list[str]) -> str:
+    """The SELECT that puts a table expression into the form of :func:`long_form`."""
+    key = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    return " UNION ALL ".join(
+        f"""SELECT '{name}' AS "table", {key} AS key, '{m}' AS measure, {r(f'CAST("{m}" AS DOUBLE)')} AS value FROM {table}"""
+        for m in measures
+    )
+
+
 def with_ctes(*parts: str, select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n" + select
 
@@ -49,6 +72,7 @@ offers AS (
          CAST(p_size AS DOUBLE) AS quantity, 'unit' AS unit, p_type AS category,
          r_name AS store, cn.n_name AS city, l_extendedprice AS price,
          {cents("l_extendedprice / l_quantity")} AS unit_price,
+         strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS "timestamp",
          l_orderkey, l_linenumber,
          row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS ord
   FROM lineitem
@@ -64,7 +88,7 @@ offers AS (
 BEST = """
 best AS (
   SELECT product_id, store, city,
-         arg_min(struct_pack(price := price, unit_price := unit_price), (price, ord)) AS o,
+         arg_min(struct_pack(price := price, unit_price := unit_price, "timestamp" := "timestamp"), (price, ord)) AS o,
          min(ord) AS first_ord, count(*) AS n
   FROM offers GROUP BY product_id, store, city
 )"""
@@ -75,7 +99,8 @@ GOLD = (
 gold AS (
   SELECT b.product_id, p_name AS title, p_brand AS brand, CAST(p_size AS DOUBLE) AS quantity,
          'unit' AS unit, p_type AS category,
-         list(struct_pack(store := store, city := city, price := o.price, unit_price := o.unit_price)
+         list(struct_pack(store := store, city := city, price := o.price, unit_price := o.unit_price,
+                          "timestamp" := o."timestamp")
               ORDER BY first_ord) AS offers,
          min(o.price) AS min_price, max(o.price) AS max_price,
          count(*) AS match_count, CAST(sum(n) AS BIGINT) AS cluster_size

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfscope.catalog.common import BEST, GOLD, LISTINGS, OFFERS, cents, r, scratch, tidied, with_ctes
+from shelfscope.catalog import market
 from shelfscope.catalog.market import CAT_LDI, FLAGGED, SCORECARD, _SCORE, rounded
 from shelfscope.functions import text
 from shelfscope.operators import analytics, cleaning
@@ -368,6 +369,17 @@ def read_raw_listings(spark, folder):
     return listing_io.read_raw_listings(spark, path).select(*RAW_FIELDS)
 
 
+@query(with_ctes(AWKWARD_SQL, select=f"SELECT {RAW_COLUMNS} FROM awkward"))
+def read_raw_in_any_order(spark, folder):
+    """Files of one folder with different orders of columns, one lacking some that are empty, one with another."""
+    path = scratch(spark)
+    rows = _awkward(spark, folder)
+    _write_csv(rows.filter("row_pos % 2 = 0").select(*RAW_FIELDS[::-1]), f"{path}/a")
+    lacking = [c for c in RAW_FIELDS if c not in ("subcategory", "image_url")]
+    _write_csv(rows.filter("row_pos % 2 = 1").select("price", F.lit("x").alias("colour"), *[c for c in lacking if c != "price"]), f"{path}/b")
+    return listing_io.read_raw_listings(spark, path).select(*RAW_FIELDS)
+
+
 _PARSED_LISTINGS = (LISTINGS, _parsed("listings", "parsed"))
 
 
@@ -470,7 +482,7 @@ def read_metrics(spark, folder):
     return gold_io.read_metrics(spark, f"{path}/store_market_metrics")
 
 
-@query(rounded("cat_ldi", "category, store", ["cat_ldi"], OFFERS, FLAGGED, CAT_LDI))
+@query(with_ctes(OFFERS, market.DISPERSION, SCORECARD, CAT_LDI, select=market.METRICS_IN_LONG_FORM))
 def write_metric_tables(spark, folder):
     path = scratch(spark)
     offers = materialise(offers_view(spark, folder))
@@ -483,7 +495,18 @@ def write_metric_tables(spark, folder):
         },
         path,
     )
-    return gold_io.read_metrics(spark, f"{path}/category_ldi_stats", "category string, store string, cat_ldi double")
+    measures = ", ".join(f"`{m}` double" for m in market._DISPERSION_COLUMNS)
+    return market.metrics_in_long_form(
+        {
+            "product_dispersion_metrics": gold_io.read_metrics(
+                spark, f"{path}/product_dispersion_metrics", f"product_id long, {measures}"
+            ),
+            "store_market_metrics": gold_io.read_metrics(spark, f"{path}/store_market_metrics"),
+            "category_ldi_stats": gold_io.read_metrics(
+                spark, f"{path}/category_ldi_stats", "category string, store string, cat_ldi double"
+            ),
+        }
+    )
 
 
 # --- the analysis job over gold: offers are the best ones ---
@@ -500,6 +523,6 @@ offers AS (
 )
 
 
-@query(rounded("scorecard", "store, city, wins", _SCORE, _BEST_OFFERS, SCORECARD))
+@query(with_ctes(_BEST_OFFERS, market.DISPERSION, SCORECARD, CAT_LDI, select=market.METRICS_IN_LONG_FORM))
 def analyze_market(spark, folder):
-    return jobs.analyze_market(materialise(_text_gold(spark, folder)))["store_market_metrics"]
+    return market.metrics_in_long_form(jobs.analyze_market(materialise(_text_gold(spark, folder))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.catalog.common import BEST, GOLD, OFFERS, r, tidied, with_ctes
+from shelfscope.catalog.common import BEST, GOLD, OFFERS, long_form, long_sql, r, tidied, with_ctes
 from shelfscope.operators import analytics as A
 from shelfscope.operators import explore as X
 from shelfscope.operators import report
@@ -37,7 +37,7 @@ position AS (
 )"""
 FLAGGED = """
 flagged AS (
-  SELECT *, price = min(price) OVER (PARTITION BY product_id) AS is_lowest,
+  SELECT *, coalesce(price = min(price) OVER (PARTITION BY product_id), false) AS is_lowest,
          count(*) OVER (PARTITION BY category) AS cat_size
   FROM offers
 )"""
@@ -162,6 +162,50 @@ def explode_offers(spark, folder):
     return A.explode_offers(gold_view(spark, folder)).drop("offer_pos")
 
 
+# Gold whose offers in one store have no prices: they are no offers at 0 and win nothing.
+_PRICELESS = "ASIA"
+_PRICELESS_SQL = (
+    OFFERS,
+    GOLD,
+    f"""
+unpriced AS (
+  SELECT product_id, title, category, o.store AS store, o.city AS city,
+         CASE WHEN o.store <> '{_PRICELESS}' THEN o.price END AS price,
+         CASE WHEN o.store <> '{_PRICELESS}' THEN o.unit_price END AS unit_price
+  FROM (SELECT *, unnest(offers) AS o FROM gold)
+)""",
+    FLAGGED.replace("FROM offers", "FROM unpriced"),
+)
+
+
+def _priceless(spark: SparkSession, folder: str) -> DataFrame:
+    def offer(o):
+        price = {name: F.when(o["store"] != _PRICELESS, o[name]) for name in ("price", "unit_price")}
+        return F.struct(*[price.get(name, o[name]).alias(name) for name in ("store", "city", "price", "unit_price", "timestamp")])
+
+    return A.explode_offers(gold_view(spark, folder).withColumn("offers", F.transform("offers", offer)))
+
+
+@query(with_ctes(*_PRICELESS_SQL, select="SELECT product_id, title, store, city, price, unit_price, is_lowest FROM flagged"))
+def is_lowest_without_prices(spark, folder):
+    return A.is_lowest(_priceless(spark, folder)).select(
+        "product_id", "title", "store", "city", "price", "unit_price", "is_lowest"
+    )
+
+
+@query(
+    rounded(
+        "dominance",
+        "store, city, wins",
+        ["ldi", "weighted_ldi", "leadership_frequency"],
+        *_PRICELESS_SQL,
+        DOMINANCE.replace("FROM offers", "FROM unpriced"),
+    )
+)
+def dominance_without_prices(spark, folder):
+    return A.dominance_index(A.flag_lowest_once(_priceless(spark, folder)))
+
+
 @query(rounded("dispersion", "product_id", _DISPERSION_COLUMNS, OFFERS, DISPERSION))
 def price_dispersion(spark, folder):
     return A.price_dispersion(_offers(spark, folder, "product_id", "price"))
@@ -223,6 +267,25 @@ _LDI = ["ldi", "weighted_ldi", "leadership_frequency"]
 _SCORE = ["avg_category_price_index", "price_volatility_score", "median_price_deviation", *_LDI]
 
 
+METRICS_IN_LONG_FORM = " UNION ALL ".join(
+    [
+        long_sql("product_dispersion_metrics", "dispersion", ["product_id"], _DISPERSION_COLUMNS),
+        long_sql("store_market_metrics", "scorecard", ["store", "city"], [*_SCORE, "wins"]),
+        long_sql("category_ldi_stats", "cat_ldi", ["category", "store"], ["cat_ldi"]),
+    ]
+)
+
+
+def metrics_in_long_form(tables: dict[str, DataFrame]) -> DataFrame:
+    return long_form(
+        {
+            "product_dispersion_metrics": (tables["product_dispersion_metrics"], ["product_id"]),
+            "store_market_metrics": (tables["store_market_metrics"], ["store", "city"]),
+            "category_ldi_stats": (tables["category_ldi_stats"], ["category", "store"]),
+        }
+    )
+
+
 @query(rounded("dominance", "store, city, wins", _LDI, OFFERS, FLAGGED, DOMINANCE))
 def dominance_index(spark, folder):
     return A.dominance_index(A.flag_lowest_once(offers_view(spark, folder)))
@@ -429,6 +492,17 @@ def dominance_ranking(spark, folder):
     return X.dominance_ranking(A.store_scorecard(offers_view(spark, folder)))
 
 
+_IN_CITIES_ROWS = f"city IN ({', '.join(repr(c) for c in CITIES)})"
+
+
+@query(
+    rounded("(SELECT * FROM scorecard WHERE " + _IN_CITIES_ROWS + ")", "store, city, wins", _SCORE, OFFERS, SCORECARD)
+    + " ORDER BY ldi DESC, store, city"
+)
+def dominance_ranking_in_region(spark, folder):
+    return X.dominance_ranking(A.store_scorecard(offers_view(spark, folder)), CITIES)
+
+
 @query(
     with_ctes(
         OFFERS,
@@ -497,3 +571,87 @@ def product_search(spark, folder):
 )
 def ranked_offers(spark, folder):
     return X.ranked_offers(gold_view(spark, folder))
+
+
+# --- the unfiltered defaults, and a choice of cities ---
+
+_ALL_PRICES = """
+prices AS (SELECT category, offers[1].city AS city, min_price AS p FROM gold)"""
+_REGION_PRICES = _ALL_PRICES.replace("FROM gold", f"FROM gold WHERE {_IN_CITIES}")
+
+
+def _boxes(prices: str) -> str:
+    return rounded(
+        "boxes",
+        "category, city, products",
+        ["min", "q1", "median", "q3", "max"],
+        OFFERS,
+        GOLD,
+        prices,
+        f"""boxes AS (SELECT category, city, count(*) AS products, min(p) AS "min", {PERCENTILES.format('p')},
+            max(p) AS "max" FROM prices GROUP BY category, city)""",
+    )
+
+
+def _volatility(prices: str) -> str:
+    return with_ctes(
+        OFFERS, GOLD, prices, select=f"SELECT category, {r('stddev_samp(p)')} AS price_volatility FROM prices GROUP BY category"
+    )
+
+
+@query(_boxes(_ALL_PRICES))
+def category_price_distribution_of_all(spark, folder):
+    return X.category_price_distribution(gold_view(spark, folder))
+
+
+@query(_boxes(_REGION_PRICES))
+def category_price_distribution_in_region(spark, folder):
+    return X.category_price_distribution(gold_view(spark, folder), cities=CITIES)
+
+
+@query(_volatility(_ALL_PRICES))
+def category_volatility_of_all(spark, folder):
+    return X.category_volatility(gold_view(spark, folder))
+
+
+@query(_volatility(_REGION_PRICES))
+def category_volatility_in_region(spark, folder):
+    return X.category_volatility(gold_view(spark, folder), cities=CITIES)
+
+
+@query(
+    with_ctes(
+        OFFERS,
+        BEST,
+        select=f"""SELECT store, count(*) AS offers, {r("count(*) / sum(count(*)) OVER ()")} AS share
+                   FROM best WHERE {_IN_CITIES_ROWS} GROUP BY store""",
+    )
+)
+def market_share_in_region(spark, folder):
+    return X.market_share(gold_view(spark, folder), CITIES)
+
+
+@query(
+    with_ctes(
+        OFFERS,
+        GOLD,
+        select=f"""SELECT product_id, title, min_price FROM gold
+                   WHERE (contains(lower(title), 'anvil') OR contains(lower(brand), 'anvil')) AND {_IN_CITIES}
+                   ORDER BY product_id LIMIT 15""",
+    )
+)
+def product_search_in_region(spark, folder):
+    return X.product_search(gold_view(spark, folder), "Anvil", cities=CITIES).select("product_id", "title", "min_price")
+
+
+@query(
+    with_ctes(
+        OFFERS,
+        BEST,
+        select=f"""SELECT product_id, store, city, o.price AS price,
+                   CAST(row_number() OVER (PARTITION BY product_id ORDER BY o.price, first_ord) AS INT) AS rank
+                   FROM best WHERE product_id IN (SELECT product_id FROM best WHERE {_IN_CITIES_ROWS})""",
+    )
+)
+def ranked_offers_in_region(spark, folder):
+    return X.ranked_offers(gold_view(spark, folder), CITIES).select("product_id", "store", "city", "price", "rank")

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.catalog.common import BEST, GOLD, LCS, OFFERS, r, tidied, with_ctes
+from shelfscope.catalog import market
+from shelfscope.catalog.common import BEST, GOLD, LCS, OFFERS, cents, r, scratch, tidied, with_ctes
 from shelfscope.catalog.listings import CLEAN_SQL, DEDUP_SQL, FEEDS_SQL, _parsed, feeds
-from shelfscope.catalog.market import FLAGGED, SCORECARD, _SCORE, rounded
 from shelfscope.functions import similarity as S
 from shelfscope.functions.text import normalize_title as normalized
 from shelfscope.operators import matching as M
 from shelfscope.plans import jobs
 from shelfscope.plans.views import gold_view, listing_view, offers_view, table
-from shelfscope.session import materialise
+from shelfscope.session import intermediates, materialise
+from shelfscope.sources import gold as gold_io
+from shelfscope.sources import listings as listing_io
 
 QUERIES, ORACLES = {}, {}
 
@@ -156,10 +158,11 @@ walk AS (
 )"""
 
 
-PART_ROWS = """
+PART_ROWS = f"""
 rows AS (
   SELECT p_partkey AS ord, p_name AS name, p_brand AS brand, p_type AS category, CAST(p_size AS DOUBLE) AS quantity,
-         'unit' AS unit, p_retailprice AS price, p_brand AS store, 'City ' || CAST(p_partkey % 3 AS VARCHAR) AS city,
+         'unit' AS unit, p_retailprice AS price, {cents('p_retailprice / p_size')} AS unit_price,
+         p_brand AS store, 'City ' || CAST(p_partkey % 3 AS VARCHAR) AS city,
          lower(p_type) AS block_category, CAST(p_size AS DOUBLE) AS block_quantity, 'unit' AS block_unit
   FROM part
 )"""
@@ -209,6 +212,20 @@ def _flat(gold: DataFrame) -> DataFrame:
     return gold.select("product_id", *_GOLD_COLUMNS, spelled.alias("offers"))
 
 
+def _spelled_in_full(gold: DataFrame) -> DataFrame:
+    """As :func:`_flat`, with the unit price and the time of every offer."""
+    spelled = F.array_join(
+        F.transform(
+            "offers",
+            lambda o: F.concat_ws(
+                "@", F.format_string("%.2f", o["price"]), F.format_string("%.2f", o["unit_price"]), o["timestamp"], o["store"], o["city"]
+            ),
+        ),
+        ", ",
+    )
+    return gold.select("product_id", *_GOLD_COLUMNS, spelled.alias("offers"))
+
+
 def resolved(method: str, threshold: int) -> str:
     """Gold products of ``rows`` (with name, brand, category, quantity, unit, price, store, city)."""
     return (
@@ -216,7 +233,8 @@ def resolved(method: str, threshold: int) -> str:
         + """,
 assigned AS (SELECT formed.*, leader FROM formed JOIN walk USING (b, ord)),
 cells AS (
-  SELECT b, leader, store, city, min(price) AS price, min(ord) AS first_ord, count(*) AS n
+  SELECT b, leader, store, city, min(price) AS price, arg_min(unit_price, (price, ord)) AS unit_price,
+         min(ord) AS first_ord, count(*) AS n
   FROM assigned GROUP BY b, leader, store, city
 ),
 shortest AS (
@@ -230,7 +248,8 @@ products AS (
          min(price) AS min_price, max(price) AS max_price, count(*) AS match_count,
          CAST(sum(n) AS BIGINT) AS cluster_size,
          string_agg(printf('%.2f', price) || '@' || store || '@' || city, ', ' ORDER BY first_ord) AS offers,
-         list(struct_pack(store := store, city := city, price := price) ORDER BY first_ord) AS offer_list
+         list(struct_pack(store := store, city := city, price := price, unit_price := unit_price)
+              ORDER BY first_ord) AS offer_list
   FROM cells JOIN shortest USING (b, leader) JOIN (SELECT b, ord AS leader, form FROM formed) USING (b, leader)
   GROUP BY b, leader, form, s
 )"""
@@ -273,12 +292,12 @@ def product_id(spark, folder):
     with_ctes(
         OFFERS,
         BEST,
-        select="""SELECT product_id, store, city, o.price AS price, o.unit_price AS unit_price, n AS rows FROM best""",
+        select="""SELECT product_id, store, city, o.price AS price, o.unit_price AS unit_price, o."timestamp" AS "timestamp", n AS rows FROM best""",
     )
 )
 def best_offer(spark, folder):
     cells = M.best_offer(offers_view(spark, folder).withColumn("name", F.col("title")), ["product_id"])
-    return cells.select("product_id", "store", "city", "best.price", "best.unit_price", "rows")
+    return cells.select("product_id", "store", "city", "best.price", "best.unit_price", "best.timestamp", "rows")
 
 
 # The shortest title among the parts of one brand and type stands for them.
@@ -299,11 +318,12 @@ def canonical_item(spark, folder):
         GOLD,
         select="""SELECT product_id, title, brand, quantity, unit, category, min_price, max_price, match_count,
                   cluster_size, array_to_string(list_transform(offers,
-                    lambda o: printf('%.2f', o.price) || '@' || o.store || '@' || o.city), ', ') AS offers FROM gold""",
+                    lambda o: printf('%.2f', o.price) || '@' || printf('%.2f', o.unit_price) || '@' || o."timestamp"
+                      || '@' || o.store || '@' || o.city), ', ') AS offers FROM gold""",
     )
 )
 def assemble_gold(spark, folder):
-    return _flat(gold_view(spark, folder))
+    return _spelled_in_full(gold_view(spark, folder))
 
 
 # --- the matching job, and clean > match > analyse in a row ---
@@ -316,7 +336,7 @@ rows AS (
   FROM cleaned
 )"""
 _CLEAN = (FEEDS_SQL, DEDUP_SQL, _parsed("firsts", "parsed"), CLEAN_SQL, CLEANED_ROWS)
-_LISTED = "title, brand, unit, category, match_count, cluster_size, offers"
+_LISTED = "product_id, title, brand, unit, category, match_count, cluster_size, offers"
 
 
 @query(
@@ -328,30 +348,44 @@ _LISTED = "title, brand, unit, category, match_count, cluster_size, offers"
     )
 )
 def match_listings(spark, folder):
-    gold = jobs.match_listings(jobs.clean_listings(feeds(spark, folder)))
-    return _flat(gold).drop("product_id")
+    return _flat(jobs.match_listings(jobs.clean_listings(feeds(spark, folder))))
+
+
+def _through_files(fmt: str):
+    """Clean, land, read back, match: the stages started from what the one before landed."""
+
+    def run(spark, folder):
+        cleaned, gold = scratch(spark), scratch(spark)
+        with intermediates(spark):
+            listing_io.write_cleaned(jobs.clean_listings(feeds(spark, folder)), cleaned, fmt)
+        jobs.match_folder(spark, cleaned, gold, fmt)
+        return tidied(_flat(gold_io.read_gold(spark, gold, "parquet")))
+
+    return run
+
+
+QUERIES |= {"match_landed_listings": _through_files("parquet"), "match_landed_csv": _through_files("csv")}
+ORACLES |= dict.fromkeys(["match_landed_listings", "match_landed_csv"], ORACLES["match_listings"])
 
 
 _GOLD_OFFERS = """
 offers AS (
-  SELECT product_id, category, o.store AS store, o.city AS city, o.price AS price, o.price AS unit_price
+  SELECT product_id, category, o.store AS store, o.city AS city, o.price AS price, o.unit_price AS unit_price
   FROM (SELECT *, unnest(offer_list) AS o FROM products)
 )"""
 
 
 @query(
-    rounded(
-        "cat_ldi",
-        "category, store",
-        ["cat_ldi"],
+    with_ctes(
         *_CLEAN,
         resolved("token_sort", 85),
         _GOLD_OFFERS,
-        FLAGGED,
-        """cat_ldi AS (
-             SELECT category, store, sum(CAST(is_lowest AS INT)) / count(DISTINCT product_id) AS cat_ldi
-             FROM flagged GROUP BY category, store)""",
-    ).replace("WITH ", "WITH RECURSIVE ", 1)
+        market.DISPERSION,
+        market.SCORECARD,
+        market.CAT_LDI,
+        select=market.METRICS_IN_LONG_FORM,
+        recursive=True,
+    )
 )
 def end_to_end(spark, folder):
-    return jobs.end_to_end(feeds(spark, folder))["category_ldi_stats"]
+    return market.metrics_in_long_form(jobs.end_to_end(feeds(spark, folder)))

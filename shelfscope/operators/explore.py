@@ -1,4 +1,9 @@
-"""Interactive queries over gold products, each for all cities or a chosen few."""
+"""Interactive queries over gold products, each for all cities or a chosen few.
+
+A choice of cities means the same everywhere: products with an offer in one of
+them, with all of their offers.  Only the market share, a count of offers, and
+the ranking of markets look at the offers and markets of those cities alone.
+"""
 
 from __future__ import annotations
 
@@ -25,7 +30,7 @@ def region_filter(gold: DataFrame, cities: Sequence[str] | None = None) -> DataF
 
 def city_values(gold: DataFrame) -> DataFrame:
     """Distinct cities of all offers."""
-    return gold.select(F.explode("offers.city").alias("city")).distinct().orderBy("city")
+    return gold.select(F.explode("offers.city").alias("city")).distinct()
 
 
 def category_values(gold: DataFrame, preselected: int = DEFAULT_CATEGORIES) -> DataFrame:
@@ -60,8 +65,10 @@ def kpis(gold: DataFrame, cities: Sequence[str] | None = None) -> DataFrame:
     )
 
 
-def dominance_ranking(scorecard: DataFrame) -> DataFrame:
+def dominance_ranking(scorecard: DataFrame, cities: Sequence[str] | None = None) -> DataFrame:
     """Stores and cities by dominance, highest first; ties by name."""
+    if cities is not None:
+        scorecard = scorecard.filter(F.col("city").isin(*cities))
     return scorecard.orderBy(F.desc("ldi"), "store", "city")
 
 
@@ -77,17 +84,22 @@ def market_share(gold: DataFrame, cities: Sequence[str] | None = None) -> DataFr
     ).orderBy(F.desc("offers"), "store")
 
 
-def category_prices(gold: DataFrame, categories: Sequence[str] | None = None) -> DataFrame:
+def category_prices(
+    gold: DataFrame, categories: Sequence[str] | None = None, cities: Sequence[str] | None = None
+) -> DataFrame:
     """Lowest price of each product with its category and the city of its first offer."""
+    gold = region_filter(gold, cities)
     if categories is not None:
         gold = gold.filter(F.col("category").isin(*categories))
     return gold.select("category", F.col("offers")[0]["city"].alias("city"), F.col("min_price").alias("price"))
 
 
-def category_price_distribution(gold: DataFrame, categories: Sequence[str] | None = None) -> DataFrame:
+def category_price_distribution(
+    gold: DataFrame, categories: Sequence[str] | None = None, cities: Sequence[str] | None = None
+) -> DataFrame:
     """Box summary of product prices per category and city."""
     keys = ["category", "city"]
-    prices = category_prices(gold, categories)
+    prices = category_prices(gold, categories, cities)
     counted = materialise(
         prices.filter(F.col("price").isNotNull()).groupBy(*keys, "price").agg(F.count(F.lit(1)).alias("_copies"))
     )
@@ -101,28 +113,34 @@ def category_price_distribution(gold: DataFrame, categories: Sequence[str] | Non
     ).select(*keys, "products", "min", "q1", "median", "q3", "max")
 
 
-def category_volatility(gold: DataFrame, categories: Sequence[str] | None = None) -> DataFrame:
+def category_volatility(
+    gold: DataFrame, categories: Sequence[str] | None = None, cities: Sequence[str] | None = None
+) -> DataFrame:
     """Sample deviation of product prices per category, highest first."""
     return (
-        category_prices(gold, categories)
+        category_prices(gold, categories, cities)
         .groupBy("category")
         .agg(F.stddev_samp("price").alias("price_volatility"))
         .orderBy(F.desc_nulls_last("price_volatility"), "category")
     )
 
 
-def product_search(gold: DataFrame, query: str, n: int = SEARCH_RESULTS, order: str = "product_id") -> DataFrame:
+def product_search(
+    gold: DataFrame, query: str, n: int = SEARCH_RESULTS, order: str = "product_id", cities: Sequence[str] | None = None
+) -> DataFrame:
     """Products whose title or brand contains the query, ignoring case; the first few."""
+    gold = region_filter(gold, cities)
     needle = F.lower(F.lit(query))
     hit = F.lower("title").contains(needle) | F.lower("brand").contains(needle)
     return gold.filter(hit).orderBy(order).limit(n)
 
 
-def ranked_offers(gold: DataFrame) -> DataFrame:
+def ranked_offers(gold: DataFrame, cities: Sequence[str] | None = None) -> DataFrame:
     """Offers of each product, cheapest first, the cheapest flagged.
 
     The ranking happens inside the product's own list: nothing is shuffled.
     """
+    gold = region_filter(gold, cities)
     cheapest = F.array_min(F.transform("offers", lambda o: o["price"]))
     by_price = F.array_sort(
         F.transform(
