@@ -42,7 +42,7 @@ def local_session(cores: int | str = "*", app: str = "shelfscope") -> SparkSessi
 
 
 _local_folder: str | None = None
-_open_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("open_scope", default=None)
+_open_scopes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("open_scopes", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -58,18 +58,20 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, outlives: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written.
 
-    Inside :func:`intermediates` the table is deleted when the block ends;
-    outside it stays as long as the folder does, because results that are still
-    lazy read it.
+    Inside :func:`intermediates` the table is deleted when the block ends, or
+    with the block around it if it ``outlives`` the inner one; outside it stays
+    as long as the folder does, because results that are still lazy read it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    paths = _open_scope.get()
-    if paths is not None:
-        paths.append(path)
+    scopes = _open_scopes.get()
+    if outlives:
+        scopes = scopes[:-1]
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -82,11 +84,11 @@ def intermediates(spark: SparkSession) -> Iterator[None]:
     within a job, each delete their own tables only.
     """
     paths: list[str] = []
-    token = _open_scope.set(paths)
+    token = _open_scopes.set((*_open_scopes.get(), paths))
     try:
         yield
     finally:
-        _open_scope.reset(token)
+        _open_scopes.reset(token)
         for name in paths:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
