@@ -180,6 +180,21 @@ for _method, _threshold in [("token_sort", 85), ("token_sort", 70), ("jaccard",
         PART_ROWS, walk(_method, _threshold), select="SELECT ord, leader FROM walk", recursive=True
     )
 
+# Hundreds to thousands of different titles in one block: the type alone blocks, and a word made of the key is in each name.
+_WORDY_ROWS = PART_ROWS.replace(
+    "p_name AS name", "p_name || ' ' || p_brand || ' ' || translate(CAST(p_partkey AS VARCHAR), '0123456789', 'qwxzvkjybp') AS name"
+).replace("CAST(p_size AS DOUBLE) AS block_quantity", "1.0 AS block_quantity")
+
+
+@query(with_ctes(_WORDY_ROWS, walk("jaccard", 60), select="SELECT ord, leader FROM walk", recursive=True))
+def leader_clusters_many_titles(spark, folder):
+    word = F.translate(F.col("ord").cast("string"), "0123456789", "qwxzvkjybp")
+    rows = _part_listings(spark, folder).withColumn("name", F.concat_ws(" ", "name", "brand", word))
+    rows = M.block_key(rows).withColumn("block_quantity", F.lit(1.0))
+    rows = rows.withColumn("form", M.compared_form(F.col("name"), "jaccard"))
+    return M.assign_leaders(rows.select(*M.BLOCK, "form", "ord"), 60, "jaccard").select("ord", "leader")
+
+
 SIMILAR_SQL = with_ctes(
     PART_ROWS,
     f"""forms AS (

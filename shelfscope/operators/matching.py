@@ -8,17 +8,20 @@ no sequential pass, and it is computed without pairing up whole blocks:
 
 * titles are reduced to their distinct compared forms per block, so copies of
   a listing cost nothing;
-* each form is filed under its rarest character grams (or words): two similar
-  forms always share at least one file, by the prefix-filter argument;
-* a round looks at the earliest few hundred undecided forms of each file,
-  decides those whose earlier rivals are all known, and compares the new
-  leaders with the rest of the file.  A file full of near copies collapses
-  onto its first leader in the first round instead of being paired up.
+* each form is filed under pairs of its rarest character grams (or under its
+  rarest words): two similar forms always share at least one file, by the
+  prefix-filter argument, and unlike ones rarely do;
+* a round looks at the earliest undecided forms of each file, decides those
+  whose earlier rivals are all known, and compares the new leaders with the
+  rest of the file.  A file full of near copies collapses onto its first leader
+  in the first round instead of being paired up.
+
+A file has a row of three numbers per form; titles are fetched once for each
+pair that meets in any file and has fitting lengths.
 """
 
 from __future__ import annotations
 
-
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,9 +41,7 @@ from shelfscope.session import materialise
 THRESHOLD = 85  # fixed value: similarity from which two titles are one product
 
 BLOCK = ["block_category", "block_quantity", "block_unit"]
-FIRST_HEADS = 64  # undecided forms per file looked at in the first round
-MOST_HEADS = 4096  # bound on the forms of one file paired with each other in one task
-SALTS = 16  # tasks that share one file when leaders meet its remaining forms
+FIRST_HEADS = 64  # undecided forms per file looked at in the first round; results do not depend on it
 
 
 def block_key(listings: DataFrame) -> DataFrame:
@@ -90,29 +91,43 @@ def _shared_grams_at_least(length: Column, threshold: int, q: int) -> Column:
 
 
 def _file_under_grams(forms: DataFrame, threshold: int) -> DataFrame:
+    """Forms under pairs of their rarest grams.
+
+    Two similar forms share at least c grams, c the larger of their bounds.  If
+    c >= 2 the first two of the shared ones stand among the first n - bound + 2
+    of either form in the global order, so the forms share that pair.  If both
+    bounds are 1 they may share a single gram, under which such forms are filed
+    as well.
+    """
     q = gram_length(threshold)
     pad = F.lit("_" * (q - 1))
     padded = F.concat(pad, F.col("form"), pad)
     gram = F.expr(f"transform(sequence(1, length(padded) - {q - 1}), i -> substr(padded, i, {q}))")
-    # Forms are spread by `ord` once; the steps below regroup by `ord` in place.
-    spread = _shared_out(forms.filter(F.col("form") != "").withColumn("padded", padded), "ord")
+    spread = forms.filter(F.col("form") != "").withColumn("padded", padded)
     grams = spread.select("ord", F.length("form").alias("len"), F.explode(gram).alias("gram"))
-    # Letters, digits, blank and the pad: at most 38**3 = 54,872 grams.
-    rarity = F.broadcast(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")))
+    rarity = materialise(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")))
     counted = grams.groupBy("ord", "len", "gram").agg(F.count(F.lit(1)).alias("_copies"))
     ranked = (
         counted.join(rarity, "gram")
         .select("ord", "len", "_n", "gram", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
         .groupBy("ord", "len")
-        .agg(F.array_sort(F.collect_list(F.struct("_n", "gram", "_copy"))).alias("_all"))
+        .agg(F.array_sort(F.collect_list(F.struct("_n", "gram", "_copy"))).alias("_all"))  # of one title
     )
-    kept = F.size("_all") - _shared_grams_at_least(F.col("len"), threshold, q) + 1
-    return ranked.select(
+    bound = _shared_grams_at_least(F.col("len"), threshold, q)
+    first = F.slice("_all", F.lit(1), F.least(F.size("_all"), F.size("_all") - F.greatest(bound, F.lit(2)) + 2).cast("int"))
+    ranked = ranked.select(
         "ord",
-        F.transform(F.slice("_all", F.lit(1), kept.cast("int")), lambda s: F.xxhash64(s["gram"], s["_copy"])).alias(
-            "files"
-        ),
+        bound.alias("_bound"),
+        F.transform("_all", lambda s: F.xxhash64(s["gram"], s["_copy"])).alias("_every"),
+        F.transform(first, lambda s: F.xxhash64(s["gram"], s["_copy"])).alias("_rare"),
     )
+    rare = F.col("_rare")
+    pairs = F.flatten(
+        F.transform(rare, lambda x, i: F.transform(F.slice(rare, i + 2, F.size(rare)), lambda y: F.xxhash64(x, y)))
+    )
+    singles = F.when(F.col("_bound") < 2, F.col("_every")).otherwise(F.array().cast("array<bigint>"))
+    files = F.array_distinct(F.concat(pairs, singles))
+    return ranked.select("ord", files.alias("files"), F.col("_every").alias("grams"), F.col("_bound").alias("bound"))
 
 
 def _file_under_words(forms: DataFrame, threshold: int) -> DataFrame:
@@ -126,11 +141,8 @@ def _file_under_words(forms: DataFrame, threshold: int) -> DataFrame:
     shared = F.ceil(F.size("_all") * (threshold / 100) - 1e-9)
     kept = F.size("_all") - F.greatest(shared, F.lit(1)) + 1
     rarest = F.slice("_all", F.lit(1), kept.cast("int"))
-    return ranked.select("ord", F.transform(rarest, lambda s: F.xxhash64(s["word"])).alias("files"))
-
-
-def _shared_out(df: DataFrame, *keys: str) -> DataFrame:
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    none = [F.array().cast("array<bigint>").alias("grams"), F.lit(0).alias("bound")]
+    return ranked.select("ord", F.transform(rarest, lambda s: F.xxhash64(s["word"])).alias("files"), *none)
 
 
 # --- similar pairs -----------------------------------------------------------
@@ -147,26 +159,29 @@ def _similar(pairs: DataFrame, method: str, threshold: int) -> DataFrame:
     return scored.filter(ratio_reaches(F.col("_lcs"), a, b, threshold)).select("early", "late")
 
 
-def _candidates(early: DataFrame, late: DataFrame, method: str, threshold: int, on: list[str]) -> DataFrame:
-    """Pairs that share a file, each formed only under the first file they share."""
-    # Few bytes can hold many pairs: keep the partitions the session asks for
-    # instead of letting small ones be merged into one task.
-    e, l = _shared_out(early, *on).alias("e"), _shared_out(late, *on).alias("l")
-    test = F.col("e.ord") < F.col("l.ord")
-    for column in on:
-        test = test & (F.col(f"e.{column}") == F.col(f"l.{column}"))
+def _candidates(early: DataFrame, late: DataFrame, forms: DataFrame, method: str, threshold: int) -> DataFrame:
+    """Pairs (early, late) of a block that share a file, have fitting lengths and enough common grams, each once."""
+    e, l = early.alias("e"), late.alias("l")
+    test = (F.col("e.file") == F.col("l.file")) & (F.col("e.ord") < F.col("l.ord"))
     if method == "token_sort":
-        a, b = F.length("e.form"), F.length("l.form")
+        a, b = F.col("e.len"), F.col("l.len")
         test = test & (200 * F.least(a, b) >= threshold * (a + b))
-    for column in BLOCK:
-        test = test & F.col(f"e.{column}").eqNullSafe(F.col(f"l.{column}"))
-    first_shared = F.try_element_at(F.array_intersect("e.files", "l.files"), F.lit(1))
-    test = test & (first_shared == F.col("e.file"))
-    return e.join(l, test).select(
-        F.col("e.ord").alias("early"),
-        F.col("e.form").alias("early_form"),
-        F.col("l.ord").alias("late"),
-        F.col("l.form").alias("late_form"),
+    met = e.join(l, test).select(F.col("e.ord").alias("early"), F.col("l.ord").alias("late")).distinct()
+
+    def side(name: str) -> DataFrame:
+        return forms.select(
+            F.col("ord").alias(name), F.col("form").alias(f"{name}_form"), F.struct(*BLOCK).alias(f"{name}_block"),
+            F.col("grams").alias(f"{name}_grams"), F.col("bound").alias(f"{name}_bound"),
+        )
+
+    # A file is a hash of block and grams: the block itself is compared here.
+    common = F.size(F.array_intersect("early_grams", "late_grams"))
+    return (
+        met.join(side("early"), "early")
+        .join(side("late"), "late")
+        .filter(F.col("early_block").eqNullSafe(F.col("late_block")))
+        .filter(common >= F.greatest("early_bound", "late_bound"))
+        .select("early", "early_form", "late", "late_form")
     )
 
 
@@ -176,8 +191,8 @@ def similar_titles(rows: DataFrame, threshold: int = THRESHOLD, method: str = "t
     ``rows`` carry the block columns, ``ord`` and ``form``.  For reports; the
     clustering below never needs every pair.
     """
-    filed = _file(_distinct_forms(rows), threshold, method)
-    return _similar(_candidates(filed, filed, method, threshold, ["file"]), method, threshold)
+    filed, forms = _file(_distinct_forms(rows), threshold, method)
+    return _similar(_candidates(filed, filed, forms, method, threshold), method, threshold)
 
 
 # --- leader clusters ----------------------------------------------------------
@@ -189,13 +204,15 @@ def _distinct_forms(rows: DataFrame) -> DataFrame:
     return materialise(rows.groupBy(*BLOCK, "form").agg(F.min("ord").alias("ord")))
 
 
-def _file(forms: DataFrame, threshold: int, method: str) -> DataFrame:
+def _file(forms: DataFrame, threshold: int, method: str) -> tuple[DataFrame, DataFrame]:
+    """(file, ord, len, n_files), a row for every file of every form; and the forms with what pairs are tested on."""
     by_ord = {"token_sort": _file_under_grams, "jaccard": _file_under_words}[method](forms, threshold)
-    # A file is one number for block and gram.  Two grams of equal number only
-    # give some more candidates; the block is compared again for each pair.
+    known = materialise(forms.join(by_ord, "ord"))
     numbered = F.transform("files", lambda f: F.xxhash64(*BLOCK, f))
-    filed = forms.join(by_ord, "ord").select(*BLOCK, "form", "ord", numbered.alias("files"))
-    return filed.withColumn("file", F.explode("files"))
+    filed = known.select(
+        F.explode(numbered).alias("file"), "ord", F.length("form").alias("len"), F.size("files").alias("n_files")
+    )
+    return materialise(filed), known.select(*BLOCK, "form", "ord", "grams", "bound")
 
 
 def _decide(heads: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
@@ -205,7 +222,7 @@ def _decide(heads: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
     head with an earlier similar leader is a member.
     """
     nodes = heads.groupBy("ord").agg(
-        (F.count(F.lit(1)) == F.max(F.size("files"))).alias("complete"),
+        (F.count(F.lit(1)) == F.max("n_files")).alias("complete"),
         F.lit(UNDECIDED).alias("status"),
     )
     while True:
@@ -235,18 +252,18 @@ def _decide(heads: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
 
 def _leaders_of_forms(forms: DataFrame, threshold: int, method: str, heads_per_file: int) -> DataFrame:
     """(ord, leader) of every distinct form that is filed anywhere."""
-    filed = materialise(_file(forms, threshold, method))
-    key = ["file"]
+    filed, forms = _file(forms, threshold, method)
     active, others, status = filed, None, None
     leaders: list[DataFrame] = []
     matches: list[DataFrame] = []
-    m = heads_per_file
+    # Up to this limit Spark applies a rank limit before the shuffle, so that a
+    # hot file sends at most so many rows per task.
+    most = int(filed.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    m = min(heads_per_file, most)
     while True:
-        place = F.row_number().over(Window.partitionBy(*key).orderBy("ord"))
-        # The rank limit is applied before the shuffle: a hot file sends at
-        # most m rows per task.
+        place = F.row_number().over(Window.partitionBy("file").orderBy("ord"))
         heads = materialise(active.withColumn("_place", place).filter(F.col("_place") <= m).drop("_place"))
-        edges = materialise(_similar(_candidates(heads, heads, method, threshold, key), method, threshold))
+        edges = materialise(_similar(_candidates(heads, heads, forms, method, threshold), method, threshold))
         nodes, waiting = _decide(heads, edges)
         new = nodes.filter(F.col("status") == LEADER).select("ord")
         leaders.append(new)
@@ -256,18 +273,15 @@ def _leaders_of_forms(forms: DataFrame, threshold: int, method: str, heads_per_f
             matches.append(found)  # every file fitted: the usual end, after one round
             break
 
-        rest = active.join(heads.select(*key, "ord"), [*key, "ord"], "left_anti")
+        rest = active.join(heads.select("file", "ord"), ["file", "ord"], "left_anti")
         if others is not None:
             rest = rest.unionByName(others)
+        # New leaders against the forms that were not heads; both sides are
+        # written tables, so that a join on a hot file can be split.
         rest = materialise(rest)
-        # New leaders against the forms that were not heads, a hot file shared
-        # out over several tasks.
         lead = heads.join(new, "ord", "left_semi")
-        lead = lead.join(rest.select(*key).distinct(), key, "left_semi").withColumn(
-            "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        )
-        rest = rest.withColumn("salt", F.pmod(F.xxhash64("ord"), F.lit(SALTS)).cast("int"))
-        later = _similar(_candidates(lead, rest, method, threshold, [*key, "salt"]), method, threshold)
+        lead = materialise(lead.join(rest.select("file").distinct(), "file", "left_semi"))
+        later = _similar(_candidates(lead, rest, forms, method, threshold), method, threshold)
         found = materialise(found.unionByName(later))
         matches.append(found)
 
@@ -281,7 +295,7 @@ def _leaders_of_forms(forms: DataFrame, threshold: int, method: str, heads_per_f
             break
         # Members stay in their files: a later leader may come before theirs.
         others = filed.join(status.filter(F.col("status") == MEMBER), "ord", "left_semi")
-        m = min(m * 4, MOST_HEADS)
+        m = min(m * 4, most)
 
     own = reduce(DataFrame.unionByName, leaders).select("ord", F.col("ord").alias("leader"))
     first = reduce(DataFrame.unionByName, matches).groupBy(F.col("late").alias("ord")).agg(

@@ -161,3 +161,16 @@ def test_result_does_not_depend_on_partitions(spark):
     )
     assert one == many
     assert sum(row[2] for row in one) == len(rows)
+
+
+def test_few_pairs_of_unlike_titles_are_compared(spark):
+    """The share of a block's pairs that reaches the similarity itself stays small and does not grow with the block."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("etaoinshrdlucmfwypvbgk", k=rng.randint(3, 9))) for _ in range(2000)]
+    for n in (500, 2000):
+        forms = sorted({" ".join(sorted(rng.sample(words, rng.randint(3, 6)))) for _ in range(n)})
+        rows = [("c", 1.0, "u", form, i) for i, form in enumerate(forms)]
+        frame = spark.createDataFrame(rows, "block_category string, block_quantity double, block_unit string, form string, ord long")
+        filed, facts = M._file(frame, 85, "token_sort")
+        met = M._candidates(filed, filed, facts, "token_sort", 85).count()
+        assert met <= 0.003 * len(forms) * (len(forms) - 1) / 2
