@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from shelfscope.session import materialise
 
-SLICE_BYTES = 4 << 20  # text worked on at once by a task; a longer single text makes a slice of its own
+SLICE_BYTES = 2 << 20  # text worked on at once by a task; a longer single text makes a slice of its own
 
 written = materialise
 
@@ -60,19 +60,23 @@ def scan(
     schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in kept], *results.fields])
     arrow = to_arrow_schema(schema)
     last = len(keep)
+    # A text that is kept as it is goes to Python once.
+    at = keep.index(text) if text in keep and kind == "string" and df.schema[text].dataType == T.StringType() else last
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = make()
         for batch in batches:
-            for part in slices(batch, last, size):
-                found = run(part.column(last))
+            for part in slices(batch, at, size):
+                found = run(part.column(at))
                 columns = [part.column(i) for i in range(last)] + [found[f.name] for f in results.fields]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(columns, arrow, strict=True)],
                     schema=arrow,
                 )
 
-    chosen = [F.col(f"`{name}`") for name in keep] + [F.col(f"`{text}`").cast(kind).alias("__text")]
+    chosen = [F.col(f"`{name}`") for name in keep]
+    if at == last:
+        chosen.append(F.col(f"`{text}`").cast(kind).alias("__text"))
     return df.select(*chosen).mapInArrow(work, schema)
 
 

@@ -77,17 +77,16 @@ class Encoder:
         self.ranks = ranks_of(path)
         self.merger = merger(self.ranks)
         self.lengths = lengths_of(self.ranks)
-        self.known = Known(self.encoded)
 
     def encoded(self, pieces: list[str]) -> list[bytes]:
         """Ids of pre-tokens, four bytes each."""
         merged = self.merger.encode_batch_fast([shown(p.encode()) for p in pieces], add_special_tokens=False)
         return [packed(e.ids) for e in merged]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str], known: Known) -> list[bytes]:
         cut = [split(text) for text in texts]
-        self.known.learn(set().union(*cut))
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+        known.learn(set().union(*cut))
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
     def starts(self, ids: bytes, text: str) -> np.ndarray:
         """The character each token begins in; tokens that split a character share it."""
@@ -123,11 +122,12 @@ def encode(
 
     def make():
         codec = kept(f"encoder {path}", lambda: Encoder(path))
+        known = Known(codec.encoded)  # goes with the task; a worker that is idle holds the tokenizer only
         decoder = kept(f"decoder {path}", lambda: Decoder(path)) if back else None
 
         def run(texts: pa.Array) -> dict:
             plain = [x or "" for x in texts.to_pylist()]
-            ids = codec.encode(plain)
+            ids = codec.encode(plain, known)
             starts = [codec.starts(i, x).tobytes() for i, x in zip(ids, plain, strict=True)]
             found = {"ids": ids, "n_tokens": [len(i) // 4 for i in ids], "starts": starts}
             return found | {"bytes": [decoder.decode(i) for i in ids]} if back else found

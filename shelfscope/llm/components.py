@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.llm.base import written
+from shelfscope.session import intermediates
 
 
 def _settled(links: DataFrame) -> bool:
@@ -27,20 +28,22 @@ def _both_ways(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest node) of every node of links (a, b); rows with a null or a = b are passed over."""
-    links = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
-    while not _settled(links):
-        # Large star: the larger neighbours of a node are tied to its smallest neighbour.
-        edges = _both_ways(links)
-        smallest = edges.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = edges.filter("b > a").join(smallest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # Small star: the smaller neighbours of a node, and itself, are tied to the smallest of them.
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(lowest, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .union(lowest.select("a", F.col("m").alias("b")))
-            .distinct()
-        )
-        links = written(small)
+    with intermediates(links.sparkSession):
+        links = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
+        while not _settled(links):
+            # Large star: the larger neighbours of a node are tied to its smallest neighbour.
+            edges = _both_ways(links)
+            smallest = edges.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+            large = edges.filter("b > a").join(smallest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            # Small star: the smaller neighbours of a node, and itself, are tied to the smallest of them.
+            lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = (
+                large.join(lowest, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+                .union(lowest.select("a", F.col("m").alias("b")))
+                .distinct()
+            )
+            links = written(small)
+        links = written(links, outlives=True)
     roots = links.select(F.col("b").alias("node")).distinct()
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         roots.select("node", F.col("node").alias("component"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfscope.llm.base import written
+from shelfscope.session import intermediates
 
 WINDOW = 2  # lines in the rolling hash
 MODULUS = 1_000_003
@@ -85,18 +86,12 @@ def without(lines: Column, removed: Column) -> Column:
     return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), n), between)), "\n")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row with its text less the repeated chunks, all other columns as they were, and ``__removed`` lines.
+def same(a: DataFrame, b: DataFrame) -> Column:
+    return (a["__hash"] == b["__hash"]) & a["__id"].eqNullSafe(b["__id"])
 
-    The occurrence that stays is that of the smallest id (null ids first), then
-    of the smallest text hash, then the earliest in the text; repeats inside one
-    text go as well.  Repeated rows (same id and text) are one document: each
-    keeps what the document keeps.  Null and empty texts stay as they are; a
-    text all of whose chunks stand elsewhere becomes empty.
-    """
-    text = F.col(text_col)
-    keyed = docs.withColumns({"__id": F.col(id_col), "__hash": F.xxhash64(id_col, text_col)})
 
+def repeated_chunks(keyed: DataFrame, text: Column) -> DataFrame:
+    """Per document (``__id``, ``__hash``) its chunks (first, size) that equal an earlier one byte for byte."""
     cut = (
         keyed.select("__id", "__hash", lines_of(text).alias("lines"))
         .filter(F.size("lines") > 0)
@@ -115,9 +110,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .agg(F.sort_array(F.collect_list(F.struct("first", "size", "key"))).alias("chunks"))  # of one text
     )
 
-    def same(a: DataFrame, b: DataFrame) -> Column:
-        return (a["__hash"] == b["__hash"]) & a["__id"].eqNullSafe(b["__id"])
-
     whole = keyed.select("__id", "__hash", text.alias("__text"))
     occurrences = written(
         candidates.join(whole.hint("merge"), same(candidates, whole))  # both sides grow with the corpus
@@ -136,7 +128,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .select("key", F.col("words").alias("first_words"), F.col("__id").alias("first_id"), F.col("__hash").alias("first_hash"), F.col("first").alias("first_first"))
     )
     is_first = F.col("__id").eqNullSafe(F.col("first_id")) & (F.col("__hash") == F.col("first_hash")) & (F.col("first") == F.col("first_first"))
-    removed = written(
+    return (
         occurrences.join(earliest, "key")
         .filter((F.col("words") == F.col("first_words")) & ~is_first)
         .select("__id", "__hash", "first", "size")
@@ -144,6 +136,21 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .groupBy("__id", "__hash")
         .agg(F.sort_array(F.collect_list(F.struct("first", "size"))).alias("__chunks"))
     )
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row with its text less the repeated chunks, all other columns as they were, and ``__removed`` lines.
+
+    The occurrence that stays is that of the smallest id (null ids first), then
+    of the smallest text hash, then the earliest in the text; repeats inside one
+    text go as well.  Repeated rows (same id and text) are one document: each
+    keeps what the document keeps.  Null and empty texts stay as they are; a
+    text all of whose chunks stand elsewhere becomes empty.
+    """
+    keyed = docs.withColumns({"__id": F.col(id_col), "__hash": F.xxhash64(id_col, text_col)})
+    text = F.col(text_col)
+    with intermediates(docs.sparkSession):
+        removed = written(repeated_chunks(keyed, text), outlives=True)
     joined = keyed.join(removed.hint("merge"), same(keyed, removed), "left")
     gone = F.aggregate("__chunks", F.lit(0), lambda total, c: total + c["size"])
     cleaned = F.when(F.col("__chunks").isNull(), text).otherwise(without(lines_of(text), F.col("__chunks")))

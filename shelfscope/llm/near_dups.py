@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from shelfscope.llm.base import scan, slices, struct, written
 from shelfscope.llm.components import components
 from shelfscope.llm.spans import NOT_SPACE, Words, bytes_of, first_of, mixed, rolling
+from shelfscope.session import intermediates
 
 BANDS, ROWS = 48, 6
 HASHES = BANDS * ROWS
@@ -273,26 +274,10 @@ def confirmed(pairs: DataFrame, full: DataFrame, threshold: tuple[int, int]) ->
     return both.mapInArrow(work, PAIRS)
 
 
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    ngram: int = 5,
-    threshold: tuple[int, int] = THRESHOLD,
-    miss: float = MISS,
+def components_of_sets(
+    rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, ngram: int, threshold: tuple[int, int], miss: float
 ) -> DataFrame:
-    """``id``, ``n_shingles``, the digest ``d1``, ``d2`` of the set, ``component_id`` and ``kept`` of every row.
-
-    ``component_id`` is the smallest id reachable over links; ``kept`` is true
-    where that is the row's own id, so repeated rows of an id are all kept.  A
-    text without words (null, empty, white space) is linked with nothing.  A row
-    with a null id takes part in no link: its component is null and it is kept.
-    Where an id stands on different texts, each row has the component of its own
-    text.  Ids are whole numbers.
-    """
-    rows = written(
-        scan(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__words")), ["id"], "__words", SIGNED, lambda: lambda t: signed(t, ngram))
-    )
+    """The component (its smallest id) of every set of shingles, told by its digest; ``rows`` has a signature per row."""
     own = rows.filter("id is not null and n > 0")
     classes = written(own.groupBy("d1", "d2", "n").agg(F.min("id").alias("node")))
     # One row a class: that of its smallest id (repeated rows of it are equal).
@@ -357,7 +342,31 @@ def near_duplicates(
         tried = written(tried.union(pairs))
         turn += 1
 
-    named = written(classes.join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component")))
+    return classes.join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    ngram: int = 5,
+    threshold: tuple[int, int] = THRESHOLD,
+    miss: float = MISS,
+) -> DataFrame:
+    """``id``, ``n_shingles``, the digest ``d1``, ``d2`` of the set, ``component_id`` and ``kept`` of every row.
+
+    ``component_id`` is the smallest id reachable over links; ``kept`` is true
+    where that is the row's own id, so repeated rows of an id are all kept.  A
+    text without words (null, empty, white space) is linked with nothing.  A row
+    with a null id takes part in no link: its component is null and it is kept.
+    Where an id stands on different texts, each row has the component of its own
+    text.  Ids are whole numbers.
+    """
+    rows = written(
+        scan(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__words")), ["id"], "__words", SIGNED, lambda: lambda t: signed(t, ngram))
+    )
+    with intermediates(docs.sparkSession):
+        named = written(components_of_sets(rows, docs, id_col, text_col, ngram, threshold, miss), outlives=True)
     own_rows = rows.select("id", "n", "d1", "d2")
     placed = own_rows.join(named, ["d1", "d2"], "left").withColumn(
         "component_id", F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))

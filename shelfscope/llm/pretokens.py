@@ -1,4 +1,4 @@
-"""Pre-tokens of a text and a worker's memory of what is known about each distinct one."""
+"""Pre-tokens of a text and a task's memory of what is known about each distinct one."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ PATTERN = regex.compile(public_tokenizers.PATTERN)
 split = PATTERN.findall
 
 SLICE_BYTES = 1 << 20  # text cut at once; its pre-tokens take some forty times that
-MOST_KEPT = 200_000  # entries before a worker's memory is emptied; it then counts anew, with the same results
+MOST_KEPT = 200_000  # entries before a task's memory is emptied; it then counts anew, with the same results
 
 
 class Known(dict):

@@ -37,20 +37,30 @@ AGREED = regex.compile(r"[\x00-\u0557\u2000-\u2080\u3000-\ua000\uac00-\ud7a3]*+"
 RESULTS = struct(n_bytes=T.LongType(), n_tokens=T.LongType())
 
 
-def counter(path: str):
-    library = Tokenizer.from_file(path)
-    special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
-    borders = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-    bare = Tokenizer.from_file(path)
-    bare.encode_special_tokens = True
-    cut = library.pre_tokenizer.pre_tokenize_str
-
-    def pieces(text: str) -> list[str]:
+class Library:
+    """The tokenizer, once as its file says and once with the strings of special tokens as ordinary text."""
+
+    def __init__(self, path: str):
+        whole = Tokenizer.from_file(path)
+        special = [t.content for t in whole.get_added_tokens_decoder().values()]
+        self.borders = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.cut = whole.pre_tokenizer.pre_tokenize_str
+        self.bare = Tokenizer.from_file(path)
+        self.bare.encode_special_tokens = True
+
+    def pieces(self, text: str) -> list[str]:
         if AGREED.fullmatch(text):
             return split(text)
-        return [text[a:b] for _, (a, b) in cut(text)]
+        return [text[a:b] for _, (a, b) in self.cut(text)]
+
+    def counts(self, pieces: list[str]) -> list[int]:
+        return [len(e.ids) for e in self.bare.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    known = Known(lambda missing: [len(e.ids) for e in bare.encode_batch_fast(missing, add_special_tokens=False)])
+
+def counter(path: str):
+    library = kept(f"counter {path}", lambda: Library(path))
+    borders, pieces = library.borders, library.pieces
+    known = Known(library.counts)  # goes with the task; a worker that is idle holds the tokenizer only
 
     def run(texts: pa.Array) -> dict:
         frequencies, specials = [], []
@@ -84,4 +94,4 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     must lie there.  No shuffle.
     """
     path = path or public_tokenizers.path(FILE)
-    return scan(docs, [id_col], text_col, RESULTS, lambda: kept(f"counter {path}", lambda: counter(path)), size=SLICE_BYTES)
+    return scan(docs, [id_col], text_col, RESULTS, lambda: counter(path), size=SLICE_BYTES)

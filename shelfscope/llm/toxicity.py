@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from shelfscope.llm.base import emitted, scan, struct, written
 from shelfscope.llm.spans import LETTERS, Words, bytes_of, first_of
+from shelfscope.session import intermediates
 
 BITS = 22
 BINS = 1 << BITS  # numbers words are hashed into: the table sent to tasks has 4 bytes for each, 16 MiB
@@ -153,8 +154,9 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__words")).filter(fold(F.col("__id")) % FOLDS != HELD_OUT)
     # Labels grow with the corpus, so they meet the texts by a shuffle at every size.
     labelled = texts.filter(~for_curve).join(known.filter(~for_curve).hint("merge"), "__id")
-    counts = written(continuation_counts(labelled, "__words"))
-    table = texts.sparkSession.sparkContext.broadcast(log_ratios(counts))
+    with intermediates(docs.sparkSession):
+        counts = written(continuation_counts(labelled, "__words"))
+        table = docs.sparkSession.sparkContext.broadcast(log_ratios(counts))
 
     sample = known.filter(for_curve).orderBy(F.xxhash64("__id"), "__id").limit(calibration_rows)
     rows = scan(
