@@ -10,7 +10,8 @@ most suspicious window; a logistic curve fitted on labelled rows outside the
 counts turns the two into a probability.
 
 Words are hashed into ``BINS`` numbers, which bounds the table that tasks need
-(4 bytes a number) whatever the corpus; counts cover every labelled row.
+(4 bytes a number) whatever the corpus; counts cover every labelled row outside
+the held-out fold but the rows, ``CALIBRATION_ROWS`` at most, the curve is fitted on.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ UNIFORM = 0.5  # added to every shared count
 WINDOW = 5  # words
 THRESHOLD = 0.3
 CALIBRATION_ROWS = 20_000  # most rows the logistic curve is fitted on
-FOLDS, HELD_OUT, CALIBRATION_SHARE = 4, 2, 5  # folds by crc32 of the id; one in five training rows is for calibration
+FOLDS, HELD_OUT, CALIBRATION_SHARE = 4, 2, 5  # folds by crc32 of the id; one in five training rows may be for calibration
 
 FEATURES = struct(whole=T.DoubleType(), window=T.DoubleType(), size=T.DoubleType())
 NAMES = FEATURES.names
@@ -151,14 +152,15 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
         .agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     )
     for_curve = F.floor(fold(F.col("__id")) / FOLDS) % CALIBRATION_SHARE == 0
+    sample = known.filter(for_curve).orderBy(F.xxhash64("__id"), "__id").limit(calibration_rows)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__words")).filter(fold(F.col("__id")) % FOLDS != HELD_OUT)
     # Labels grow with the corpus, so they meet the texts by a shuffle at every size.
-    labelled = texts.filter(~for_curve).join(known.filter(~for_curve).hint("merge"), "__id")
+    counted = known.join(sample.hint("merge"), "__id", "left_anti")
+    labelled = texts.join(counted.hint("merge"), "__id")
     with intermediates(docs.sparkSession):
         counts = written(continuation_counts(labelled, "__words"))
         table = docs.sparkSession.sparkContext.broadcast(log_ratios(counts))
 
-    sample = known.filter(for_curve).orderBy(F.xxhash64("__id"), "__id").limit(calibration_rows)
     rows = scan(
         texts.join(F.broadcast(sample), "__id"),  # calibration_rows rows at most
         ["toxic"],

@@ -197,6 +197,27 @@ def test_toxicity_without_labels(spark, docs_of):
     assert toxicity.toxicity(docs_of([]), none).collect() == []
 
 
+def test_toxicity_counts_rows_the_curve_does_not_use(spark, docs_of):
+    """A toxic word found only in rows that could be for calibration is learnt from those the curve leaves."""
+    crc = [zlib.crc32(str(i).encode()) for i in range(6000)]
+    training = [i for i in range(6000) if crc[i] % 4 != 2]
+    reserved = {i for i in training if crc[i] // 4 % 5 == 0}
+    rng = random.Random(3)
+    common = [f"w{i}" for i in range(40)]
+    pairs, labels = [], []
+    for k, i in enumerate(training):
+        words = rng.choices(common, k=20)
+        toxic = k % 3 == 0
+        if toxic:
+            words[rng.randrange(20)] = "foul" if i in reserved else "vile"
+        pairs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    probe = [(10_001, " ".join(["foul", *common[:19]])), (10_002, " ".join(["fresh", *common[:19]]))]
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    scores = {r.doc_id: r.toxic_score for r in toxicity.toxicity(docs_of(pairs + probe), table, calibration_rows=60).collect()}
+    assert scores[10_001] > scores[10_002], "a word of counted toxic rows weighs more than one never seen"
+
+
 class Walk(HTMLParser):
     """Words outside script, style and title, by the standard library's parser."""
 
