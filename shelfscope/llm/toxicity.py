@@ -9,27 +9,34 @@ compared by its log-likelihood ratio per word, over the whole text and over its
 most suspicious window; a logistic curve fitted on labelled rows outside the
 counts turns the two into a probability.
 
-Words are hashed into ``BINS`` numbers, which bounds the table that tasks need
-(4 bytes a number) whatever the corpus; counts cover every labelled row outside
-the held-out fold but the rows, ``CALIBRATION_ROWS`` at most, the curve is fitted on.
+Words are counted by their 64-bit hash in a table that grows with the corpus;
+counts cover every labelled row outside the held-out fold but the rows,
+``CALIBRATION_ROWS`` at most, the curve is fitted on.  A word that no class has
+more than ``DISCOUNT`` times has the ratio of an unknown one, so only the others
+are needed for scoring: up to ``TABLE_WORDS`` of them are sent to the tasks,
+more are joined to the words of the texts by a shuffle, with the same scores.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from shelfscope.llm.base import emitted, scan, struct, written
+from shelfscope.llm.base import emitted, struct, written
 from shelfscope.llm.spans import LETTERS, Words, bytes_of, first_of
 from shelfscope.session import intermediates
 
-BITS = 22
-BINS = 1 << BITS  # numbers words are hashed into: the table sent to tasks has 4 bytes for each, 16 MiB
+TABLE_WORDS = 1 << 20  # most words sent to the tasks, 12 bytes each; more are joined
+VOCABULARY = 1 << 22  # words the shared backoff reckons with, or all that are counted if they are more
 DISCOUNT = 3.0  # counts up to this are left to the shared backoff
 UNIFORM = 0.5  # added to every shared count
 WINDOW = 5  # words
@@ -46,58 +53,90 @@ def fold(key: Column) -> Column:
 
 
 def word_numbers(texts: pa.Array) -> tuple[Words, np.ndarray]:
+    """The words and their 64-bit hashes, as Spark's signed numbers."""
     data, at = bytes_of(texts)
     words = Words(data, at, LETTERS, lower=True)
-    return words, (words.hashes >> np.uint64(64 - BITS)).astype(np.int64)
+    return words, words.hashes.view(np.int64)
 
 
 def pairs_of(part: pa.RecordBatch):
     """The distinct (previous word, word) pairs of a slice and the classes they occur in; a text begins with word 0."""
     words, number = word_numbers(part.column(1))
-    toxic = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    before = np.concatenate([[0], number[:-1]])[: len(number)]
+    classes = part.column(0).to_numpy(zero_copy_only=False).astype(np.int8)[words.owner] + np.int8(1)
+    before = np.concatenate([[0], number[:-1]])[: len(number)].astype(np.int64)
     begins = first_of(words.owner, words.n_texts)[:-1]
     before[begins[begins < len(number)]] = 0
-    codes = np.unique((before << BITS | number) << 1 | toxic[words.owner])
-    classes = (codes & 1) + 1
-    yield pa.RecordBatch.from_arrays([pa.array(codes >> 1), pa.array(classes.astype(np.int8))], ["pair", "classes"])
+    order = np.lexsort((before, number))
+    before, number, classes = before[order], number[order], classes[order]
+    first = np.ones(len(order), bool)
+    first[1:] = (number[1:] != number[:-1]) | (before[1:] != before[:-1])
+    at = np.flatnonzero(first)
+    both = np.bitwise_or.reduceat(classes, at) if len(at) else classes
+    yield pa.RecordBatch.from_arrays([pa.array(number[at]), pa.array(before[at]), pa.array(both)], ["word", "before", "classes"])
 
 
 def continuation_counts(labelled: DataFrame, text_col: str) -> DataFrame:
-    """Per word number: how many different words it follows in ordinary, in toxic and in all labelled texts."""
-    pairs = emitted(labelled, ["toxic"], text_col, struct(pair=T.LongType(), classes=T.ByteType()), lambda: pairs_of)
-    pairs = pairs.groupBy("pair").agg(F.bit_or("classes").alias("classes"))
-    return pairs.groupBy(F.col("pair").bitwiseAND(BINS - 1).cast("int").alias("word")).agg(
+    """Per word: how many different words it follows in ordinary, in toxic and in all labelled texts."""
+    pairs = emitted(labelled, ["toxic"], text_col, struct(word=T.LongType(), before=T.LongType(), classes=T.ByteType()), lambda: pairs_of)
+    pairs = pairs.groupBy("word", "before").agg(F.bit_or("classes").alias("classes"))
+    return pairs.groupBy("word").agg(
         F.sum(F.col("classes").bitwiseAND(F.lit(1).cast("byte"))).alias("ordinary"),
         F.sum(F.shiftright("classes", 1)).alias("toxic"),
         F.count(F.lit(1)).alias("shared"),
     )
 
 
-def log_ratios(counts: DataFrame) -> np.ndarray:
-    """log P(word | toxic) - log P(word | ordinary) for every number; at most BINS rows reach the driver."""
+@dataclass
+class Ratios:
+    """log P(word | toxic) - log P(word | ordinary): that of an unknown word, and the words with another."""
+
+    unseen: float
+    words: DataFrame | None = None  # word, ratio; where they are joined
+    table: Broadcast | None = None  # sorted words and their ratios; where they are few
+
+    def of(self, number: np.ndarray) -> np.ndarray:
+        ratio = np.full(len(number), self.unseen, np.float32)
+        if self.table is not None and len(self.table.value[0]):
+            known, ratios = self.table.value
+            at = np.minimum(np.searchsorted(known, number), len(known) - 1)
+            found = known[at] == number
+            ratio[found] = ratios[at[found]]
+        return ratio
+
+
+def log_ratios(counts: DataFrame, table_words: int) -> Ratios:
+    """The ratios of the words a class has more than DISCOUNT times; the others' is that of the shared backoff."""
     freed = {c: F.sum(F.least(F.col(c).cast("double"), F.lit(DISCOUNT))).alias(f"freed_{c}") for c in ("ordinary", "toxic")}
-    total = counts.agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.sum("shared").alias("shared"), *freed.values()).first()
+    differs = (F.col("ordinary") > DISCOUNT) | (F.col("toxic") > DISCOUNT)
+    total = counts.agg(
+        F.sum("ordinary").alias("ordinary"),
+        F.sum("toxic").alias("toxic"),
+        F.sum("shared").alias("shared"),
+        F.count(F.lit(1)).alias("words"),
+        F.count_if(differs).alias("differing"),
+        *freed.values(),
+    ).first()
     if not total.ordinary or not total.toxic:
-        return np.zeros(BINS, np.float32)
-    backoff = (F.col("shared") + UNIFORM) / (total.shared + UNIFORM * BINS)
+        return Ratios(0.0)
+    backoff = (F.col("shared") + UNIFORM) / (total.shared + UNIFORM * max(VOCABULARY, total.words))
 
     def log_probability(c: str) -> Column:
         kept = F.col(c) - F.least(F.col(c).cast("double"), F.lit(DISCOUNT))
         return F.log((kept + total[f"freed_{c}"] * backoff) / total[c])
 
-    rows = counts.select("word", (log_probability("toxic") - log_probability("ordinary")).cast("float").alias("ratio")).toArrow()
     unseen = math.log(total.freed_toxic / total.toxic) - math.log(total.freed_ordinary / total.ordinary)
-    table = np.full(BINS, unseen, np.float32)
-    table[rows["word"].to_numpy()] = rows["ratio"].to_numpy()
-    return table
+    words = counts.filter(differs).select("word", (log_probability("toxic") - log_probability("ordinary")).cast("float").alias("ratio"))
+    if total.differing > table_words:
+        return Ratios(unseen, words=written(words, outlives=True))
+    rows = words.toArrow().sort_by("word")
+    table = (rows["word"].to_numpy(), rows["ratio"].to_numpy())
+    return Ratios(unseen, table=counts.sparkSession.sparkContext.broadcast(table))
 
 
-def features_of(texts: pa.Array, table: np.ndarray) -> np.ndarray:
+def features_of(words: Words, ratio: np.ndarray) -> np.ndarray:
     """Mean log ratio of each text, the largest over its windows, and the logarithm of its length."""
-    words, number = word_numbers(texts)
     n = words.n_texts
-    ratio = table[number].astype(np.float64)
+    ratio = ratio.astype(np.float64)
     begins = first_of(words.owner, n)
     sizes = np.diff(begins)
     sums = np.concatenate([[0.0], np.cumsum(ratio)])
@@ -111,6 +150,63 @@ def features_of(texts: pa.Array, table: np.ndarray) -> np.ndarray:
     return np.stack([whole, most, np.log1p(sizes)], axis=1)
 
 
+def places_of(part: pa.RecordBatch):
+    """The distinct words of every text (by its digest) and the numbers of the places where they stand."""
+    words, number = word_numbers(part.column(1))
+    order = np.lexsort((number, words.owner))
+    number, owner = number[order], words.owner[order]
+    place = (order - first_of(words.owner, words.n_texts)[owner]).astype(np.int32)
+    first = np.ones(len(order), bool)
+    first[1:] = (number[1:] != number[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(first)
+    offsets = np.append(at, len(order)).astype(np.int64) * 4
+    places = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(place)])
+    yield pa.RecordBatch.from_arrays(
+        [part.column(0).take(pa.array(owner[at])), pa.array(number[at]), places.cast(pa.binary())], ["digest", "word", "places"]
+    )
+
+
+def with_ratios(docs: DataFrame, text_col: str, ratios: Ratios) -> DataFrame:
+    """``docs`` and ``__found``: the known words of the text, as pairs of places and ratio.
+
+    Texts are told apart by their digests, so a text that stands in many rows is
+    joined once, and the words go through the shuffle one row a word and text.
+    """
+    keyed = docs.withColumn("__digest", F.md5(F.col(f"`{text_col}`").cast("string")))
+    schema = struct(digest=T.StringType(), word=T.LongType(), places=T.BinaryType())
+    words = emitted(keyed, ["__digest"], text_col, schema, lambda: places_of).distinct()
+    found = (
+        words.join(ratios.words.hint("merge"), "word")
+        .groupBy(F.col("digest").alias("__digest"))
+        .agg(F.collect_list(F.struct("places", "ratio")).alias("__found"))
+    )
+    return keyed.join(found.hint("merge"), "__digest", "left").drop("__digest")
+
+
+def measured(docs: DataFrame, keep: list[str], text_col: str, ratios: Ratios, results: T.StructType, of: Callable) -> DataFrame:
+    """``keep`` columns of every row next to ``of`` the features of its text."""
+    joined = ratios.words is not None
+    if joined:
+        docs = with_ratios(docs, text_col, ratios)
+    schema = T.StructType([*(docs.schema[c] for c in keep), *results.fields])
+    arrow = to_arrow_schema(schema)
+    known = Ratios(ratios.unseen, table=ratios.table)  # no DataFrame goes to the tasks
+
+    def run(part: pa.RecordBatch):
+        words, number = word_numbers(part.column(part.num_columns - 1))
+        ratio = known.of(number)
+        if joined:
+            begins = first_of(words.owner, words.n_texts)
+            for begin, found in zip(begins, part.column(len(keep)).to_pylist(), strict=False):
+                for pair in found or ():
+                    ratio[begin + np.frombuffer(pair["places"], np.int32)] = pair["ratio"]
+        found = of(features_of(words, ratio))
+        columns = [part.column(i) for i in range(len(keep))] + [pa.array(found[f.name]) for f in results.fields]
+        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return emitted(docs, [*keep, "__found"] if joined else keep, text_col, schema, lambda: run)
+
+
 class Curve:
     """A logistic curve over standardised features, fitted by Newton's method with a small ridge."""
 
@@ -144,8 +240,8 @@ class Constant:
         return np.full(len(x), self.share)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, calibration_rows: int):
-    """The table of log ratios and the curve, learnt from the labelled rows outside the held-out fold."""
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, calibration_rows: int, table_words: int):
+    """The log ratios and the curve, learnt from the labelled rows outside the held-out fold."""
     known = (
         labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(F.col(id_col)) % FOLDS != HELD_OUT))
         .groupBy(F.col(id_col).alias("__id"))
@@ -159,19 +255,14 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     labelled = texts.join(counted.hint("merge"), "__id")
     with intermediates(docs.sparkSession):
         counts = written(continuation_counts(labelled, "__words"))
-        table = docs.sparkSession.sparkContext.broadcast(log_ratios(counts))
-
-    rows = scan(
-        texts.join(F.broadcast(sample), "__id"),  # calibration_rows rows at most
-        ["toxic"],
-        "__words",
-        FEATURES,
-        lambda: lambda part: dict(zip(NAMES, features_of(part, table.value).T, strict=True)),
-    ).toPandas()
+        ratios = log_ratios(counts, table_words)
+
+    fitting = texts.join(F.broadcast(sample), "__id")  # calibration_rows rows at most
+    rows = measured(fitting, ["toxic"], "__words", ratios, FEATURES, lambda x: dict(zip(NAMES, x.T, strict=True))).toPandas()
     y = rows["toxic"].to_numpy(float)
     if 0 < y.sum() < len(y):
-        return table, Curve(rows[NAMES].to_numpy(float), y)
-    return table, Constant(float(y.mean()) if len(y) else 0.0)
+        return ratios, Curve(rows[NAMES].to_numpy(float), y)
+    return ratios, Constant(float(y.mean()) if len(y) else 0.0)
 
 
 def toxicity(
@@ -183,6 +274,7 @@ def toxicity(
     keep: list[str] | None = None,
     calibration_rows: int = CALIBRATION_ROWS,
     score: str = "toxic_score",
+    table_words: int = TABLE_WORDS,
 ) -> DataFrame:
     """``keep`` columns (the id by default) and the ``score`` of every row, scored on its whole text.
 
@@ -191,10 +283,11 @@ def toxicity(
     empty text is scored as a text of no words.  Without labels of both classes
     every score is the share of toxic ones (0 without labels).  The curve is
     fitted on ``calibration_rows`` rows at most, chosen by a hash of the id.
+    ``table_words`` decides how the ratios reach the texts, not what they are.
     """
-    table, curve = fitted(docs, labels, id_col, text_col, label_col, calibration_rows)
+    ratios, curve = fitted(docs, labels, id_col, text_col, label_col, calibration_rows, table_words)
     result = struct(**{score: T.DoubleType()})
-    return scan(docs, keep or [id_col], text_col, result, lambda: lambda texts: {score: curve(features_of(texts, table.value))})
+    return measured(docs, keep or [id_col], text_col, ratios, result, lambda x: {score: curve(x)})
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:

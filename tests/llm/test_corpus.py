@@ -218,6 +218,36 @@ def test_toxicity_counts_rows_the_curve_does_not_use(spark, docs_of):
     assert scores[10_001] > scores[10_002], "a word of counted toxic rows weighs more than one never seen"
 
 
+def test_toxicity_words_of_one_short_hash(spark, docs_of):
+    """Words that share the first 22 bits of their hash are counted and scored apart, by the table and by the join."""
+    names = [f"n{i}" for i in range(20_000)]
+    hashes = toxicity.word_numbers(pa.array([" ".join(names)]))[0].hashes >> np.uint64(42)
+    slot, twins = {}, None
+    for name, h in zip(names, hashes.tolist(), strict=True):
+        if h in slot:
+            twins = slot[h], name
+            break
+        slot[h] = name
+    vile, mild = twins
+    rng = random.Random(9)
+    common = [f"w{i}" for i in range(40)]
+    pairs, labels = [], []
+    for i in range(2400):
+        words = rng.choices(common, k=12)
+        words[rng.randrange(12)] = vile if i % 3 == 0 else mild
+        pairs.append((i, " ".join(words)))
+        labels.append((i, int(i % 3 == 0)))
+    docs = docs_of([*pairs, *((None, t) for _, t in ODD), (9001, f"w1 {vile} w2"), (9002, f"w1 {mild} w2"), (9002, f"w1 {mild} w2")])
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    frame = spark.createDataFrame([(y, t) for (_, y), (_, t) in zip(labels, pairs, strict=True)], "toxic int, text string")
+    assert toxicity.continuation_counts(frame, "text").count() == len(common) + 2
+    sent = toxicity.toxicity(docs, table, keep=["doc_id", "text"]).collect()
+    joined = toxicity.toxicity(docs, table, keep=["doc_id", "text"], table_words=0).collect()
+    assert Counter((r.doc_id, r.text, round(r.toxic_score, 9)) for r in sent) == Counter((r.doc_id, r.text, round(r.toxic_score, 9)) for r in joined)
+    scores = {r.doc_id: r.toxic_score for r in joined}
+    assert scores[9001] > toxicity.THRESHOLD > scores[9002]
+
+
 class Walk(HTMLParser):
     """Words outside script, style and title, by the standard library's parser."""
 
