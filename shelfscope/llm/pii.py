@@ -24,6 +24,17 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: Characters of an account number by country.
+IBAN_SIZES = {
+    country: size
+    for size, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO FK GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
@@ -61,6 +72,31 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def iban_end(text: str, start: int, end: int) -> int | None:
+    """Where an account number that begins a proposed span ends: after the length of its country, else with the span."""
+    size = IBAN_SIZES.get(text[start : start + 2])
+    at, left = start, size or 0
+    while left and at < end:
+        left -= text[at] != " "
+        at += 1
+    ends = [at] if size and not left and not (at < end and text[at].isalnum()) else []
+    for stop in [*ends, end]:
+        number = text[start:stop].replace(" ", "")
+        if 15 <= len(number) <= 34 and mod97(number):
+            return stop
+    return None
+
+
+def ibans(text: str):
+    """What follows a number (a currency, a year) may look like more of it; the search goes on behind the number itself."""
+    at = 0
+    while m := IBAN.search(text, at):
+        end = iban_end(text, *m.span())
+        if end:
+            yield m.start(), end
+        at = end or m.start() + 1
+
+
 def emails(text: str):
     end, at = 0, text.find("@")
     while at >= 0:
@@ -92,7 +128,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def added_spans(text: str) -> list[tuple[str, int, int]]:
-    spans = [("iban", *m.span()) for m in IBAN.finditer(text) if 15 <= len(m[0].replace(" ", "")) <= 34 and mod97(m[0].replace(" ", ""))]
+    spans = [("iban", a, b) for a, b in ibans(text)]
     for m in SSN.finditer(text):
         if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
             spans.append(("ssn", *m.span()))

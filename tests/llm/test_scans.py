@@ -225,6 +225,22 @@ def test_pii_added_spans_and_context():
     assert near[0]["score"] > far[0]["score"] and far[0]["base"]
 
 
+@pytest.mark.parametrize(
+    ("text", "numbers"),
+    [
+        ("ES9121000418450200051332 EUR 50", ["ES9121000418450200051332"]),
+        ("AT61 1904 3002 3457 3201 BIC X", ["AT61 1904 3002 3457 3201"]),
+        ("BE68 5390 0754 7034 2024", ["BE68 5390 0754 7034"]),
+        ("pay ES91 2100 0418 4502 0005 1332 AT61 1904 3002 3457 3201 TRANSFERS", ["ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201"]),
+        ("ref AB12 CDEF GB82 WEST 1234 5698 7654 32", ["GB82 WEST 1234 5698 7654 32"]),
+        ("ES9121000418450200051333 EUR 50", []),
+        ("ES9121000418450200051332EUR 50", []),
+    ],
+)
+def test_pii_iban_before_capital_words_and_numbers(text, numbers):
+    assert [text[s["start"] : s["end"]] for s in pii.spans_of(text) if s["kind"] == "iban"] == numbers
+
+
 def test_pii_odd_texts(docs_of):
     long = [(30, "a" * 200_000), (31, "1." * 100_000), (32, "a@" * 50_000), (33, "+1" * 50_000), (34, "1 " * 60_000)]
     rows = pii.personal_data(docs_of([*ODD, *long])).collect()
