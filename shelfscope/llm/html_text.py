@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,8 +29,19 @@ ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes textarea title".split())
 HIDDEN = set(
-    "script style template noscript head title meta link iframe noembed noframes object audio video canvas svg math datalist area param".split()
+    "script style template noscript head title meta link iframe noembed noframes object audio video canvas datalist area param".split()
 )
+HIDDEN_IN = {
+    "svg": set("title desc metadata defs symbol clippath mask pattern marker filter lineargradient radialgradient".split()),
+    "math": set("annotation annotation-xml mphantom".split()),
+}
+#: Tags of HTML that end a drawing or formula they stand in.
+BREAKS_OUT = set(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s "
+    "small span strong strike sub sup table tt u ul var".split()
+)
+TOKENS_OF_MATH = set("mi mn mo ms mtext".split())  # hold text, and HTML
+APART = set("mfrac msub msup msubsup munder mover munderover mroot mmultiscripts mtable mtr mtd".split())  # parts that do not run on
 BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li listing main menu nav ol optgroup option p pre search section summary table ul xmp".split()
@@ -62,14 +73,32 @@ STOPS_P = SCOPE | {"button"}
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "space")
 
-    def __init__(self, tag: str, attributes: dict[str, str] | None = None):
+    def __init__(self, tag: str, attributes: dict[str, str] | None = None, space: str = "html"):
         self.tag, self.attributes, self.children = tag, attributes or {}, []
+        self.space = space  # what it holds is html, svg, svg text or math
+
+
+def space_in(parent: str, name: str, attributes: dict[str, str]) -> str:
+    """What an element holds, by what its parent holds."""
+    if name in ("svg", "math") and parent in ("html", name):
+        return name
+    if parent in ("svg", "svg text"):
+        if name in ("foreignobject", "desc", "title"):
+            return "html"
+        return "svg text" if name in (("text",) if parent == "svg" else ("tspan", "textpath", "a")) else "svg"
+    if parent == "math":
+        html_inside = name in TOKENS_OF_MATH or (name == "annotation-xml" and "html" in attributes.get("encoding", "").lower())
+        return "html" if html_inside else "math"
+    return "html"
 
 
-def tokens(source: str) -> Iterator[tuple]:
-    """("text", words), ("open", name, attributes, whether it closes itself), ("close", name)."""
+def tokens(source: str, foreign: Callable[[], bool]) -> Iterator[tuple]:
+    """("text", words), ("open", name, attributes, whether it closes itself), ("close", name).
+
+    ``foreign`` tells whether the reader stands in a drawing or formula, where no tag makes its content raw.
+    """
     at = 0
     while at < len(source):
         m = TAG.search(source, at)
@@ -89,7 +118,9 @@ def tokens(source: str) -> Iterator[tuple]:
         found = {}
         for a in ATTRIBUTE.finditer(m["rest"]):
             found.setdefault(a[1].lower(), html.unescape(a[2] or a[3] or a[4] or ""))
-        yield "open", name, found
+        yield "open", name, found, m["rest"].endswith("/")
+        if foreign():
+            continue
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
             stop = end.start() if end else len(source)
@@ -120,14 +151,30 @@ def built(source: str) -> Node:
         if found is not None:
             del stack[found:]
 
-    for kind, *rest in tokens(source):
+    def foreign() -> bool:
+        return stack[-1].space != "html"
+
+    def leave_foreign() -> None:
+        while foreign():
+            stack.pop()
+
+    for kind, *rest in tokens(source, foreign):
         if kind in ("text", "raw"):
             words = rest[0] if kind == "raw" else html.unescape(rest[0])
             if stack[-1].tag == "head" and words.strip():
                 close({"head"}, set())
-            stack[-1].children.append(words)
+            if stack[-1].space != "svg":  # a drawing shows text in its text elements only
+                stack[-1].children.append(words)
             continue
         name = rest[0]
+        if foreign() and (name in BREAKS_OUT if kind == "open" else name in ("p", "br")):
+            leave_foreign()
+        if kind == "open" and (foreign() or stack[-1].tag in TOKENS_OF_MATH and name in ("mglyph", "malignmark")):
+            node = Node(name, rest[1], space_in(stack[-1].space, name, rest[1]))
+            stack[-1].children.append(node)
+            if not rest[2] and len(stack) < MOST_DEPTH:
+                stack.append(node)
+            continue
         if kind == "close":
             if name == "p" and not any(n.tag == "p" for n in stack):
                 stack[-1].children.append(Node("p"))
@@ -153,8 +200,10 @@ def built(source: str) -> Node:
             stack.append(row)
         if name == "body" and any(n.tag == "body" for n in stack):
             continue
-        node = Node(name, rest[1])
+        node = Node(name, rest[1], space_in("html", name, rest[1]))
         stack[-1].children.append(node)
+        if name in ("svg", "math") and rest[2]:
+            continue
         if name not in VOID and len(stack) < MOST_DEPTH:
             stack.append(node)
     return root
@@ -163,9 +212,14 @@ def built(source: str) -> Node:
 STYLE = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)", re.I)
 
 
-def shown(node: Node, visible: bool) -> tuple[bool, bool]:
+def shown(node: Node, visible: bool, space: str = "html") -> tuple[bool, bool]:
     """Whether the element is laid out at all, and whether its own text is visible (what it holds may differ)."""
     a = node.attributes
+    if space != "html":
+        if node.tag in HIDDEN_IN[space.split()[0]] or a.get("display", "").lower() == "none":
+            return False, False
+        if "visibility" in a:
+            visible = a["visibility"].lower() == "visible"
     if node.tag in HIDDEN or "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
         return False, False
     if node.tag == "dialog" and "open" not in a:
@@ -244,7 +298,7 @@ def rendered(root: Node) -> list[str]:
             if visible and not (node.tag in ("table", "tr", *TABLE_PARTS, "ul", "ol") and not child.strip()):
                 layout.words(child, keep_space)
             continue
-        laid_out, seen = shown(child, visible)
+        laid_out, seen = shown(child, visible, node.space)
         if not laid_out or (node.tag == "details" and "open" not in node.attributes and child.tag != "summary"):
             continue
         if child.tag == "br":
@@ -265,6 +319,8 @@ def rendered(root: Node) -> list[str]:
         else:
             if child.tag in BLOCK:
                 layout.edge(spacing(child, node))
+            if set_apart(child, node):
+                layout.words(" ", False)
             start = int(child.attributes["start"]) - 1 if child.attributes.get("start", "").lstrip("-").isdigit() else 0
             rows = state if child.tag in TABLE_PARTS and isinstance(state, list) else start
             frames.append([child, iter(child.children), layout, seen, keep_space or child.tag in KEPT_SPACE, rows])
@@ -274,6 +330,13 @@ def rendered(root: Node) -> list[str]:
     return lines
 
 
+def set_apart(node: Node, parent: Node) -> bool:
+    """Whether a space parts it from its neighbours: a text of a drawing, a span with a place of its own, a part of a formula."""
+    if parent.space == "svg text":
+        return node.tag == "tspan" and not node.attributes.keys().isdisjoint(("x", "y", "dx", "dy"))
+    return node.space == "svg text" or (parent.space == "math" and parent.tag in APART)
+
+
 def spacing(node: Node, parent: Node) -> int:
     return int(node.tag in SPACED and not (node.tag in ("ul", "ol", "menu", "dir") and parent.tag == "li"))
 
@@ -285,6 +348,8 @@ def finish(node: Node, inside: Layout, parent: list, state) -> None:
     if tag not in ("table", "tr", "td", "th", "li", "dd", "blockquote"):
         if tag in BLOCK:
             layout.edge(spacing(node, holder))
+        if set_apart(node, holder):
+            layout.words(" ", False)
         return
     inside.end_line()
     lines = inside.lines

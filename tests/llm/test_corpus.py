@@ -305,6 +305,23 @@ def test_html_layout(source, text):
     assert html_text.visible_text(source) == text
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("so <math><mi>a</mi><mo>+</mo><mi>b</mi></math> holds", "so a+b holds"),
+        ("<math><semantics><msup><mi>x</mi><mn>2</mn></msup><annotation encoding='tex'>x^2</annotation><annotation-xml>no</annotation-xml></semantics></math>", "x 2"),
+        ("<math><mfrac><mn>1</mn><mn>2</mn></mfrac><mspace/><mtext>of <b>all</b></mtext></math>", "1 2 of all"),
+        ("a <svg><title>no</title><desc>no</desc><metadata>no</metadata><defs><text>no</text></defs>no<g><path d='M0'/><text x=1>one</text><text>two</text></g></svg> b", "a one two b"),
+        ("<svg><style/><text>in<tspan>side</tspan> <textPath href='#p'>along</textPath></text></svg>after", "inside along after"),
+        ("<svg><text><tspan x=0 dy=1>first</tspan><tspan x=0 dy=1>second</tspan></text></svg>", "first second"),
+        ("<svg><foreignObject><div>boxed</div></foreignObject><text display=none>no</text></svg>", "boxed"),
+        ("<svg/>x<svg><rect><p>y", "x\n\ny"),
+    ],
+)
+def test_html_formulas_and_drawings(source, text):
+    assert html_text.visible_text(source) == text
+
+
 def test_html_odd_pages(docs_of):
     pages = [*ODD, (30, "<b>" * 30_000 + "deep"), (31, "<div>" * 5000 + "<p>x" * 5000), (32, '<a href="' * 20_000), (33, "<table>" * 3000 + "y")]
     rows = html_text.html_text(docs_of(pages), "doc_id", "text").collect()
