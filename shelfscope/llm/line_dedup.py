@@ -7,6 +7,11 @@ three on average.  A line of ``LONG`` words or more is a chunk by itself.
 Chunks of two or more lines with text (and long lines) are counted by hash over
 the whole corpus; occurrences of a repeated hash are then held byte for byte
 against its first occurrence, and all but the first are removed.
+
+The lines at the edges of a shared passage fall into chunks with their
+neighbours, so of a passage of few lines much or all stays.  With ``passages``
+the shortest runs of ``LONG`` words from and up to every line are chunks as
+well, which together cover any repeated passage of as many words to its edges.
 """
 
 from __future__ import annotations
@@ -70,6 +75,32 @@ def chunks(lines: Column, ends: Column) -> Column:
     return F.filter(F.transform(ends, chunk), may_go)
 
 
+def word_runs(lines: Column) -> Column:
+    """For every line with words the shortest run of LONG words that begins with it, and the shortest that ends with it."""
+
+    def words(line: Column) -> Column:
+        return F.size(F.filter(F.split(line, r"\s+"), lambda word: word != ""))
+
+    counted = F.filter(F.transform(lines, lambda line, k: F.struct((k + 1).alias("line"), words(line).alias("words"))), lambda x: x.words > 0)
+
+    def runs(order: Column, forward: bool) -> Column:
+        def run(x: Column, k: Column) -> Column:
+            following = F.slice(order, k + 1, LONG)  # a line has a word at least
+            sums = F.aggregate(
+                following,
+                F.struct(F.lit(0).alias("words"), F.lit(0).alias("line")),
+                lambda have, y: F.when(have.words >= LONG, have).otherwise(F.struct((have.words + y.words).alias("words"), y.line.alias("line"))),
+            )
+            first, last = (x.line, sums.line) if forward else (sums.line, x.line)
+            size = last - first + 1
+            key = F.when(sums.words >= LONG, F.xxhash64(F.slice(lines, first, size)))
+            return F.struct(first.alias("first"), size.alias("size"), key.alias("hash"))
+
+        return F.filter(F.transform(order, run), lambda c: c.hash.isNotNull())
+
+    return F.array_union(runs(counted, True), runs(F.reverse(counted), False))
+
+
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -90,15 +121,21 @@ def same(a: DataFrame, b: DataFrame) -> Column:
     return (a["__hash"] == b["__hash"]) & a["__id"].eqNullSafe(b["__id"])
 
 
-def repeated_chunks(keyed: DataFrame, text: Column) -> DataFrame:
-    """Per document (``__id``, ``__hash``) its chunks (first, size) that equal an earlier one byte for byte."""
+def repeated_chunks(keyed: DataFrame, text: Column, passages: bool = False) -> DataFrame:
+    """Per document (``__id``, ``__hash``) its chunks (first, size) that equal an earlier one byte for byte.
+
+    With ``passages`` these may overlap, and their lines are given one by one.
+    """
+    found = chunks(F.col("lines"), F.col("ends"))
+    if passages:
+        found = F.concat(found, word_runs(F.col("lines")))
     cut = (
         keyed.select("__id", "__hash", lines_of(text).alias("lines"))
         .filter(F.size("lines") > 0)
         .withColumn("hashes", F.transform("lines", line_hash))
         .withColumn("rolled", rolling_hashes(F.col("hashes")))
         .withColumn("ends", chunk_ends(F.col("lines"), F.col("rolled")))
-        .select("__id", "__hash", F.explode(chunks(F.col("lines"), F.col("ends"))).alias("chunk"))
+        .select("__id", "__hash", F.explode(found).alias("chunk"))
         .select("__id", "__hash", F.col("chunk.first").alias("first"), F.col("chunk.size").alias("size"), F.col("chunk.hash").alias("key"))
     )
     cut = written(cut)
@@ -128,29 +165,31 @@ def repeated_chunks(keyed: DataFrame, text: Column) -> DataFrame:
         .select("key", F.col("words").alias("first_words"), F.col("__id").alias("first_id"), F.col("__hash").alias("first_hash"), F.col("first").alias("first_first"))
     )
     is_first = F.col("__id").eqNullSafe(F.col("first_id")) & (F.col("__hash") == F.col("first_hash")) & (F.col("first") == F.col("first_first"))
+    repeats = occurrences.join(earliest, "key").filter((F.col("words") == F.col("first_words")) & ~is_first)
+    if passages:
+        repeats = repeats.select("__id", "__hash", F.explode(F.sequence("first", F.col("first") + F.col("size") - 1)).alias("first"), F.lit(1).alias("size"))
     return (
-        occurrences.join(earliest, "key")
-        .filter((F.col("words") == F.col("first_words")) & ~is_first)
-        .select("__id", "__hash", "first", "size")
+        repeats.select("__id", "__hash", "first", "size")
         .distinct()
         .groupBy("__id", "__hash")
         .agg(F.sort_array(F.collect_list(F.struct("first", "size"))).alias("__chunks"))
     )
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passages: bool = False) -> DataFrame:
     """Every row with its text less the repeated chunks, all other columns as they were, and ``__removed`` lines.
 
     The occurrence that stays is that of the smallest id (null ids first), then
     of the smallest text hash, then the earliest in the text; repeats inside one
     text go as well.  Repeated rows (same id and text) are one document: each
     keeps what the document keeps.  Null and empty texts stay as they are; a
-    text all of whose chunks stand elsewhere becomes empty.
+    text all of whose chunks stand elsewhere becomes empty.  ``passages`` also
+    removes every line of repeated passages of LONG words or more.
     """
     keyed = docs.withColumns({"__id": F.col(id_col), "__hash": F.xxhash64(id_col, text_col)})
     text = F.col(text_col)
     with intermediates(docs.sparkSession):
-        removed = written(repeated_chunks(keyed, text), outlives=True)
+        removed = written(repeated_chunks(keyed, text, passages), outlives=True)
     joined = keyed.join(removed.hint("merge"), same(keyed, removed), "left")
     gone = F.aggregate("__chunks", F.lit(0), lambda total, c: total + c["size"])
     cleaned = F.when(F.col("__chunks").isNull(), text).otherwise(without(lines_of(text), F.col("__chunks")))

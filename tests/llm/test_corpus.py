@@ -51,6 +51,28 @@ def test_line_dedup_shifted_passages(docs_of):
     assert all(rows[i].text == text for i, text in alone)
 
 
+def test_line_dedup_whole_passages(docs_of):
+    """Of passages of 2 to 8 lines and over 50 words between different neighbours no line stays a second time."""
+    rng = random.Random(12)
+    pairs, own = [], {}
+    for k, n in enumerate([2, 3, 4, 5, 6, 7, 8] * 3):
+        shared = [passages(rng, 1, rng.randint(1, 49))[0] for _ in range(n)]
+        shared[rng.randrange(n)] = passages(rng, 1, 49)[0]
+        shared[0] += " and more"
+        if k % 2:
+            shared.insert(1, "")
+        for copy in range(3):
+            i = 100 * copy + k
+            before, after = passages(rng, rng.randint(1, 4)), passages(rng, rng.randint(1, 4))
+            own[i] = before + shared * (copy == 0) + after
+            pairs.append((i, "\n".join(before + shared + after)))
+    rows = line_dedup.line_dedup(docs_of([*pairs, (900, None), (901, ""), (902, "\n\n")]), passages=True).collect()
+    left = {r.doc_id: r.text for r in rows}
+    assert {i: left[i].split("\n") for i in own} == own
+    assert left[900] is None and left[901] == "" and left[902] == "\n\n" and len(rows) == len(pairs) + 3
+    assert all(r["__removed"] == len(t.split("\n")) - len(own[i]) for r in rows for i, t in pairs if r.doc_id == i)
+
+
 def test_line_dedup_odd_rows(docs_of):
     long = " ".join(f"w{i}" for i in range(60))
     pairs = [*ODD, (None, f"x\n{long}\ny"), (20, f"a\n{long}"), (21, long), (21, long), (22, "\n\n\n\n"), (23, "a\n\n\n\nb")]
