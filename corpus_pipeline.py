@@ -39,8 +39,8 @@ def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, folder: str) -> Da
 
 
 def encoded(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Token ids of every text that is left, and the character each token begins in."""
-    return byte_bpe.encode(docs)
+    """Token ids of every text that is left, the character each token begins in, and the bytes the ids decode to."""
+    return byte_bpe.encode(docs, back=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -62,6 +62,11 @@ def test_stages(spark, tables):
     assert all(decoder.decode(r.ids).decode() == clean[i].text and r.n_tokens == len(np.frombuffer(r.ids, "<u4")) for i, r in encoded.items())
 
 
+def test_last_stage_decodes(tables):
+    clean, encoded = map(rows_of, tables[-2:])
+    assert {i: bytes(r.bytes).decode() for i, r in encoded.items()} == {i: r.text for i, r in clean.items()}
+
+
 def test_stages_on_odd_rows(spark, docs_of):
     """Every stage takes null ids and texts, repeated rows and columns of other names, and an empty table."""
     extra = [(30, pq.read_table(f"{FOLDER}/benchmark.parquet").to_pydict()["text"][0])]
