@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm import byte_bpe, decontaminate, html_text, license_scan, line_dedup, near_dups, pii, quality, token_counts, toxicity
+from shelfscope.llm import (
+    byte_bpe,
+    conversations,
+    decontaminate,
+    html_text,
+    license_scan,
+    line_dedup,
+    near_dups,
+    piece_bpe,
+    pii,
+    quality,
+    token_counts,
+    toxicity,
+    whitening,
+)
 from shelfscope.llm.base import documents
 
 QUERIES: dict = {}
@@ -106,6 +120,36 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_rules(documents(spark, folder))
 
 
+@query
+def op11_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = piece_bpe.encode(documents(spark, folder), back=True)
+    return encoded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    given = spark.read.parquet(f"{folder}/conversations.parquet")
+    found = conversations.repair_report(conversations.damaged(given)).alias("r")
+    every = given.select("conv_id").distinct().alias("e")
+    counts = [F.coalesce(f"r.{c}", F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, F.expr("e.conv_id <=> r.conv_id"), "left").select(
+        "e.conv_id",
+        *counts,
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.lit(conversations.EMPTY_HASH)).alias("repaired_sha256"),
+    )
+
+
+@query
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitening(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 ORACLES["op3_line_dedup"] = f"""
 WITH split AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
