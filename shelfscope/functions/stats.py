@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 from shelfscope.session import materialise
 
+MOST_IN_BIN = 1 << 14  # distinct values that are ranked together
+DIGIT = 12  # bits of the order key a histogram looks at
+SHIFTS = [52, 40, 28, 16, 4, 0]
+
 
 def nan_to_null(value: Column) -> Column:
     return F.nanvl(value, F.lit(None).cast("double"))
@@ -42,6 +46,24 @@ def attach(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner")
     return df.join(materialise(table), keys, how)
 
 
+def order_key(value: Column) -> Column:
+    """A double as a whole number of equal order: its IEEE bits, negated for negative numbers.
+
+    Powers of two and quotients by them are exact, so no two doubles share a key.
+    """
+    size = F.abs(value)
+    guess = F.floor(F.log2(size))  # may be one off next to a power of two
+    power = guess + F.when(size >= F.pow(F.lit(2.0), guess + 1), 1).otherwise(0) - F.when(size < F.pow(F.lit(2.0), guess), 1).otherwise(0)
+    whole = F.lit(2.0**52)
+    normal = (power + 1023).cast("long") * (1 << 52) + ((size / F.pow(F.lit(2.0), power) - 1) * whole).cast("long")
+    bits = (
+        F.when(size == float("inf"), F.lit(2047 << 52))
+        .when(size >= 2.0**-1022, normal)
+        .otherwise((size * 2.0**537 * 2.0**537).cast("long"))
+    )
+    return F.when(value < 0, -bits).otherwise(bits)
+
+
 def group_quantiles(
     df: DataFrame,
     keys: list[str],
@@ -53,81 +75,94 @@ def group_quantiles(
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles of ``value`` per group.
 
-    ``weight`` names a column of repeat counts (rows are then distinct values).
-    ``moments`` are further aggregates of the same groups.  The distinct values
-    are sorted across the cluster and picked by rank, whatever the sizes of the
-    groups.
+    ``weight`` names a column of repeat counts; rows are then distinct values,
+    or few rows share one, and are not merged again.  ``moments`` are further
+    aggregates of the same groups.
     """
     moments = moments or {}
     rows = with_keys(df, *keys)
     measured = rows.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    ranked = _ranked_quantiles(measured, keys, value, probs, weight)
+    if weight:
+        counted = measured.select(*keys, F.col(value).alias("_v"), F.col(weight).alias("_n"))
+    else:
+        counted = materialise(measured.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    picked = _quantiles(counted, keys, probs)
     if not moments:
-        return ranked
+        return picked
     sums = rows.groupBy(*keys).agg(*[c.alias(name) for name, c in moments.items()])
-    return sums.join(ranked, keys, "left").select(*keys, *probs, *moments)
+    return sums.join(picked, keys, "left").select(*keys, *probs, *moments)
 
 
-def _ranked_quantiles(
-    rows: DataFrame, keys: list[str], value: str, probs: dict[str, float], weight: str | None
-) -> DataFrame:
-    """Quantiles by rank over a cluster-wide sort of the distinct values.
+def _places(probs: dict[str, float]) -> dict[str, Column]:
+    return {name: F.lit(float(p)) * (F.col("_total") - 1) for name, p in probs.items()}
 
-    Equal values are merged first, so range partitioning by (group, value)
-    leaves no hot partition.  Only the range partitions that contain a wanted
-    rank are looked at again.
-    """
-    copies = F.sum(weight) if weight else F.count(F.lit(1))
-    distinct = rows.groupBy(*keys, value).agg(copies.alias("_n"))
-    placed = materialise(
-        distinct.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id())
-    )
 
-    by_part = placed.groupBy(*keys, "_part").agg(F.sum("_n").alias("_part_n"))
-    in_order = Window.partitionBy(*keys).orderBy("_part")
-    parts = by_part.select(
-        *keys,
-        "_part",
-        "_part_n",
-        (F.sum("_part_n").over(in_order) - F.col("_part_n")).alias("_before"),
-        F.sum("_part_n").over(Window.partitionBy(*keys)).alias("_total"),
-    )
-    places = {name: F.lit(float(p)) * (F.col("_total") - 1) for name, p in probs.items()}
-    ranks = F.array_distinct(
-        F.array(*[f(place).cast("long") for place in places.values() for f in (F.floor, F.ceil)])
-    )
-    wanted = parts.withColumn(
-        "_ranks",
-        F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_part_n"))),
-    ).filter(F.size("_ranks") > 0)
+def _quantiles(counted: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+    """Quantiles of distinct values ``_v`` that stand ``_n`` times each.
 
-    running = Window.partitionBy(*keys, "_part").orderBy(value)
-    upto = F.col("_before") + F.sum("_n").over(running)
-    found = (
-        placed.join(wanted, [*keys, "_part"])
-        .withColumn("_upto", upto)
-        .withColumn(
-            "_rank",
-            F.explode(
-                F.filter("_ranks", lambda r: (r >= F.col("_upto") - F.col("_n")) & (r < F.col("_upto")))
-            ),
-        )
+    A group of up to ``MOST_IN_BIN`` distinct values is ranked as it is.  Of
+    larger ones histograms over the leading bits of the values' order keys tell
+    which bins hold the wanted ranks; only these bins' values are looked at
+    again, over the next bits, until a bin has so few distinct values.  Nothing
+    is sorted across the cluster and no task holds a large group; a histogram
+    has at most ``2**DIGIT`` rows a group.
+    """
+    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_values"), F.sum("_n").alias("_total"))
+    large = sizes.filter(F.col("_values") > MOST_IN_BIN)
+    if large.isEmpty():
+        parts = counted.withColumns({"_bin": F.lit(0), "_before": F.lit(0).cast("long")})
+        whole = F.sum("_n").over(Window.partitionBy(*keys))
+        return _interpolated(_ranked(parts.withColumn("_total", whole), keys), keys, probs)
+    large = materialise(large.drop("_values"))
+    few = counted.join(large, keys, "left_anti").withColumns({"_bin": F.lit(0).cast("long"), "_before": F.lit(0).cast("long")})
+    few = few.withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
+    rows = counted.join(large, keys).withColumn("_key", order_key(F.col("_v")))
+    rows = rows.withColumns({"_bin": F.lit(0).cast("long"), "_before": F.lit(0).cast("long")})
+    found = [_ranked(few, keys)]
+    for shift in SHIFTS:
+        bins = materialise(_wanted_bins(rows, keys, probs, shift))
+        here = rows.drop("_bin", "_before", "_total").withColumn("_bin", F.shiftright("_key", shift)).join(bins, [*keys, "_bin"])
+        found.append(_ranked(here.filter("_ready"), keys))
+        rows = here.filter("not _ready").drop("_ready")
+        if not shift or bins.filter("not _ready").isEmpty():
+            break
+    return _interpolated(reduce(DataFrame.unionByName, found), keys, probs)
+
+
+def _wanted_bins(rows: DataFrame, keys: list[str], probs: dict[str, float], shift: int) -> DataFrame:
+    """The bins of the next bits that hold a wanted rank, how many rows stand before them, and whether they are small."""
+    histogram = rows.groupBy(*keys, "_total", "_before", F.col("_bin").alias("_parent"), F.shiftright("_key", shift).alias("_bin")).agg(
+        F.sum("_n").alias("_here"), F.count(F.lit(1)).alias("_values")
     )
+    running = F.sum("_here").over(Window.partitionBy(*keys, "_parent").orderBy("_bin"))
+    bins = histogram.withColumn("_before", F.col("_before") + running - F.col("_here"))
+    ranks = F.array(*[f(place).cast("long") for place in _places(probs).values() for f in (F.floor, F.ceil)])
+    holds = F.exists(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_here")))
+    ready = (F.col("_values") <= MOST_IN_BIN) | F.lit(shift == 0)
+    return bins.filter(holds).select(*keys, "_bin", "_before", "_total", ready.alias("_ready"))
+
+
+def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Values of a bin with the ranks they take: from ``_from`` up to ``_upto``."""
+    # Row by row: where rows were not merged, equal values stand in several.
+    running = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = F.col("_before") + F.sum("_n").over(running)
+    return rows.withColumn("_upto", upto).select(*keys, "_v", "_total", (F.col("_upto") - F.col("_n")).alias("_from"), "_upto")
 
+
+def _interpolated(ranked: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
     def at(rank: Column) -> Column:
-        return F.max(F.when(F.col("_rank") == rank.cast("long"), F.col(value)))
+        rank = rank.cast("long")
+        return F.max(F.when((rank >= F.col("_from")) & (rank < F.col("_upto")), F.col("_v")))
 
-    picked = found.groupBy(*keys, "_total").agg(
+    places = _places(probs)
+    picked = ranked.groupBy(*keys).agg(
+        F.max("_total").alias("_total"),
         *[at(F.floor(place)).alias(f"_lo_{name}") for name, place in places.items()],
         *[at(F.ceil(place)).alias(f"_hi_{name}") for name, place in places.items()],
     )
-    return picked.select(
-        *keys,
-        *[
-            (
-                F.col(f"_lo_{name}")
-                + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (place - F.floor(place))
-            ).alias(name)
-            for name, place in places.items()
-        ],
-    )
+    between = {
+        name: F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (place - F.floor(place))
+        for name, place in places.items()
+    }
+    return picked.select(*keys, *[column.alias(name) for name, column in between.items()])

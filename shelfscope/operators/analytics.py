@@ -176,7 +176,7 @@ def median_price_deviation(offers: DataFrame) -> DataFrame:
     # at most as many distinct gaps as prices.
     counted = materialise(with_keys(prices, *keys, "price").groupBy(*keys, "price").count())
     centre = group_quantiles(counted, keys, "price", {"_median": 0.5}, weight="count")
-    gaps = counted.join(centre, keys).select(*keys, F.abs(F.col("price") - F.col("_median")).alias("gap"), "count")
+    gaps = materialise(counted.join(centre, keys).select(*keys, F.abs(F.col("price") - F.col("_median")).alias("gap"), "count"))
     return group_quantiles(gaps, keys, "gap", {"median_price_deviation": 0.5}, weight="count")
 
 

@@ -8,16 +8,17 @@ no sequential pass, and it is computed without pairing up whole blocks:
 
 * titles are reduced to their distinct compared forms per block, so copies of
   a listing cost nothing;
-* each form is filed under pairs of its rarest character grams (or under its
-  rarest words): two similar forms always share at least one file, by the
-  prefix-filter argument, and unlike ones rarely do;
+* each form is filed under pairs of its rarest character grams, with the places
+  they stand in (or under its rarest words): two similar forms always share at
+  least one file, by the prefix-filter argument, and there the edits that the
+  places of both grams call for stay within the budget of the two lengths;
 * a round looks at the earliest undecided forms of each file, decides those
   whose earlier rivals are all known, and compares the new leaders with the
   rest of the file.  A file full of near copies collapses onto its first leader
   in the first round instead of being paired up.
 
-A file has a row of three numbers per form; titles are fetched once for each
-pair that meets in any file and has fitting lengths.
+A file has a row of six numbers per form; titles are fetched once for each
+pair that meets in any file with fitting lengths and places.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ from shelfscope.session import materialise
 THRESHOLD = 85  # fixed value: similarity from which two titles are one product
 
 BLOCK = ["block_category", "block_quantity", "block_unit"]
+TOGETHER = 4  # grams of the alignment of two similar forms that both are filed under in pairs
 FIRST_HEADS = 64  # undecided forms per file looked at in the first round; results do not depend on it
 
 
@@ -91,43 +93,65 @@ def _shared_grams_at_least(length: Column, threshold: int, q: int) -> Column:
 
 
 def _file_under_grams(forms: DataFrame, threshold: int) -> DataFrame:
-    """Forms under pairs of their rarest grams.
-
-    Two similar forms share at least c grams, c the larger of their bounds.  If
-    c >= 2 the first two of the shared ones stand among the first n - bound + 2
-    of either form in the global order, so the forms share that pair.  If both
-    bounds are 1 they may share a single gram, under which such forms are filed
-    as well.
+    """Forms under pairs of their rarest grams, with the places of both.
+
+    Under the best alignment of two similar forms at least c grams stay whole,
+    c the larger of their bounds.  The first m <= c of those stand among the
+    first n - bound + m of either form in the global order, so the forms share
+    all pairs of these, at places that the alignment puts on each other.  Forms
+    with a bound of 1 may share a single gram and are filed under each as well.
+    A gram that stands several times is filed with each of its places.
     """
     q = gram_length(threshold)
     pad = F.lit("_" * (q - 1))
     padded = F.concat(pad, F.col("form"), pad)
     gram = F.expr(f"transform(sequence(1, length(padded) - {q - 1}), i -> substr(padded, i, {q}))")
     spread = forms.filter(F.col("form") != "").withColumn("padded", padded)
-    grams = spread.select("ord", F.length("form").alias("len"), F.explode(gram).alias("gram"))
+    grams = spread.select("ord", F.length("form").alias("len"), F.posexplode(gram).alias("at", "gram"))
     rarity = materialise(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")))
-    counted = grams.groupBy("ord", "len", "gram").agg(F.count(F.lit(1)).alias("_copies"))
     ranked = (
-        counted.join(rarity, "gram")
-        .select("ord", "len", "_n", "gram", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
+        grams.join(rarity, "gram")
         .groupBy("ord", "len")
-        .agg(F.array_sort(F.collect_list(F.struct("_n", "gram", "_copy"))).alias("_all"))  # of one title
+        .agg(F.array_sort(F.collect_list(F.struct("_n", "gram", "at"))).alias("_all"))  # of one title
+    )
+    ranked = ranked.withColumn("_grams", F.col("_all.gram"))
+    ranked = ranked.withColumn(
+        "_all",
+        F.transform(
+            "_all",
+            lambda s, i: F.struct(
+                F.xxhash64(s["gram"]).alias("gram"), s["at"].alias("at"), (i - F.array_position("_grams", s["gram"])).alias("copy")
+            ),
+        ),
     )
     bound = _shared_grams_at_least(F.col("len"), threshold, q)
-    first = F.slice("_all", F.lit(1), F.least(F.size("_all"), F.size("_all") - F.greatest(bound, F.lit(2)) + 2).cast("int"))
+    together = F.least(bound, F.lit(TOGETHER))
+    begin = F.size("_all") - bound + F.greatest(together, F.lit(2))
+    first = F.slice("_all", F.lit(1), F.least(F.size("_all"), begin).cast("int"))
     ranked = ranked.select(
         "ord",
         bound.alias("_bound"),
-        F.transform("_all", lambda s: F.xxhash64(s["gram"], s["_copy"])).alias("_every"),
-        F.transform(first, lambda s: F.xxhash64(s["gram"], s["_copy"])).alias("_rare"),
+        together.cast("int").alias("together"),
+        F.transform("_all", lambda s: F.xxhash64(s["gram"], s["copy"])).alias("_every"),
+        "_all",
+        first.alias("_rare"),
     )
+
+    def place(x: Column, y: Column, key: Column) -> Column:
+        return F.struct(key.alias("file"), x["at"].alias("p1"), y["at"].alias("p2"))
+
     rare = F.col("_rare")
     pairs = F.flatten(
-        F.transform(rare, lambda x, i: F.transform(F.slice(rare, i + 2, F.size(rare)), lambda y: F.xxhash64(x, y)))
+        F.transform(
+            rare,
+            lambda x, i: F.transform(
+                F.slice(rare, i + 2, F.size(rare)), lambda y: place(x, y, F.xxhash64(x["gram"], y["gram"]))
+            ),
+        )
     )
-    singles = F.when(F.col("_bound") < 2, F.col("_every")).otherwise(F.array().cast("array<bigint>"))
-    files = F.array_distinct(F.concat(pairs, singles))
-    return ranked.select("ord", files.alias("files"), F.col("_every").alias("grams"), F.col("_bound").alias("bound"))
+    none = F.slice(pairs, 1, 0)
+    singles = F.when(F.col("_bound") < 2, F.transform("_all", lambda x: place(x, x, x["gram"]))).otherwise(none)
+    return ranked.select("ord", F.concat(pairs, singles).alias("files"), "together", F.col("_every").alias("grams"))
 
 
 def _file_under_words(forms: DataFrame, threshold: int) -> DataFrame:
@@ -141,8 +165,14 @@ def _file_under_words(forms: DataFrame, threshold: int) -> DataFrame:
     shared = F.ceil(F.size("_all") * (threshold / 100) - 1e-9)
     kept = F.size("_all") - F.greatest(shared, F.lit(1)) + 1
     rarest = F.slice("_all", F.lit(1), kept.cast("int"))
-    none = [F.array().cast("array<bigint>").alias("grams"), F.lit(0).alias("bound")]
-    return ranked.select("ord", F.transform(rarest, lambda s: F.xxhash64(s["word"])).alias("files"), *none)
+    files = F.transform(
+        rarest,
+        lambda s: F.struct(
+            F.xxhash64(s["word"]).alias("file"), F.lit(0).alias("p1"), F.lit(0).alias("p2")
+        ),
+    )
+    none = F.array().cast("array<bigint>")
+    return ranked.select("ord", files.alias("files"), F.lit(1).alias("together"), none.alias("grams"))
 
 
 # --- similar pairs -----------------------------------------------------------
@@ -159,30 +189,64 @@ def _similar(pairs: DataFrame, method: str, threshold: int) -> DataFrame:
     return scored.filter(ratio_reaches(F.col("_lcs"), a, b, threshold)).select("early", "late")
 
 
+def _edits(a: Column, b: Column, threshold: int) -> tuple[Column, Column]:
+    """The most deletions from forms of lengths ``a`` and insertions up to lengths ``b`` that similar ones can need."""
+    common = F.ceil(threshold * (a + b) / 200 - 1e-9)
+    return a - common, b - common
+
+
+def _fits(threshold: int) -> Column:
+    """Whether lengths and places of two rows of a file allow similar forms.
+
+    What stands before the first gram, between the two and behind the second
+    needs as many edits at least as it differs in length.
+    """
+    a, b = F.col("e.len"), F.col("l.len")
+    deleted, inserted = _edits(a, b, threshold)
+    first, second = (F.col(f"l.{p}") - F.col(f"e.{p}") for p in ("p1", "p2"))
+    in_order = F.col("e.p1") <= F.col("e.p2")
+    before, behind = F.when(in_order, first).otherwise(second), F.when(in_order, second).otherwise(first)
+    needed = F.abs(before) + F.abs(behind - before) + F.abs(b - a - behind)
+    same_order = in_order == (F.col("l.p1") <= F.col("l.p2"))
+    return (200 * F.least(a, b) >= threshold * (a + b)) & same_order & (needed <= deleted + inserted)
+
+
 def _candidates(early: DataFrame, late: DataFrame, forms: DataFrame, method: str, threshold: int) -> DataFrame:
-    """Pairs (early, late) of a block that share a file, have fitting lengths and enough common grams, each once."""
+    """Pairs (early, late) of a block that share a file, have fitting lengths and places and enough common grams, each once."""
     e, l = early.alias("e"), late.alias("l")
     test = (F.col("e.file") == F.col("l.file")) & (F.col("e.ord") < F.col("l.ord"))
     if method == "token_sort":
-        a, b = F.col("e.len"), F.col("l.len")
-        test = test & (200 * F.least(a, b) >= threshold * (a + b))
-    met = e.join(l, test).select(F.col("e.ord").alias("early"), F.col("l.ord").alias("late")).distinct()
+        test = test & _fits(threshold)
+    # Forms that share the first grams of their alignment meet in all pairs of these.
+    together = F.least("e.together", "l.together")
+    files = F.greatest((together * (together - 1) / 2).cast("int"), F.lit(1))
+    met = (
+        e.join(l, test)
+        .groupBy(F.col("e.ord").alias("early"), F.col("l.ord").alias("late"), files.alias("_files"))
+        .count()
+        .filter(F.col("count") >= F.col("_files"))
+    )
 
     def side(name: str) -> DataFrame:
         return forms.select(
             F.col("ord").alias(name), F.col("form").alias(f"{name}_form"), F.struct(*BLOCK).alias(f"{name}_block"),
-            F.col("grams").alias(f"{name}_grams"), F.col("bound").alias(f"{name}_bound"),
+            F.col("grams").alias(f"{name}_grams"),
         )
 
     # A file is a hash of block and grams: the block itself is compared here.
-    common = F.size(F.array_intersect("early_grams", "late_grams"))
-    return (
+    found = (
         met.join(side("early"), "early")
         .join(side("late"), "late")
         .filter(F.col("early_block").eqNullSafe(F.col("late_block")))
-        .filter(common >= F.greatest("early_bound", "late_bound"))
-        .select("early", "early_form", "late", "late_form")
     )
+    if method == "token_sort":
+        # A deletion breaks up to q grams of the form it is made in, an insertion one less.
+        q = gram_length(threshold)
+        a, b = F.length("early_form"), F.length("late_form")
+        deleted, inserted = _edits(a, b, threshold)
+        whole = [a + (q - 1) - q * deleted - (q - 1) * inserted, b + (q - 1) - q * inserted - (q - 1) * deleted]
+        found = found.filter(F.size(F.array_intersect("early_grams", "late_grams")) >= F.greatest(*whole))
+    return found.select("early", "early_form", "late", "late_form")
 
 
 def similar_titles(rows: DataFrame, threshold: int = THRESHOLD, method: str = "token_sort") -> DataFrame:
@@ -205,14 +269,13 @@ def _distinct_forms(rows: DataFrame) -> DataFrame:
 
 
 def _file(forms: DataFrame, threshold: int, method: str) -> tuple[DataFrame, DataFrame]:
-    """(file, ord, len, n_files), a row for every file of every form; and the forms with what pairs are tested on."""
+    """A row for every file of every form, with its length and the places; and the forms with what pairs are tested on."""
     by_ord = {"token_sort": _file_under_grams, "jaccard": _file_under_words}[method](forms, threshold)
     known = materialise(forms.join(by_ord, "ord"))
-    numbered = F.transform("files", lambda f: F.xxhash64(*BLOCK, f))
     filed = known.select(
-        F.explode(numbered).alias("file"), "ord", F.length("form").alias("len"), F.size("files").alias("n_files")
-    )
-    return materialise(filed), known.select(*BLOCK, "form", "ord", "grams", "bound")
+        F.explode("files").alias("_f"), *BLOCK, "ord", F.length("form").alias("len"), "together", F.size("files").alias("n_files")
+    ).select(F.xxhash64(*BLOCK, "_f.file").alias("file"), "ord", "len", "_f.p1", "_f.p2", "together", "n_files")
+    return materialise(filed), known.select(*BLOCK, "form", "ord", "grams")
 
 
 def _decide(heads: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
@@ -273,7 +336,10 @@ def _leaders_of_forms(forms: DataFrame, threshold: int, method: str, heads_per_f
             matches.append(found)  # every file fitted: the usual end, after one round
             break
 
-        rest = active.join(heads.select("file", "ord"), ["file", "ord"], "left_anti")
+        # All rows of every form that is not wholly among the heads: what it
+        # shares with a leader is counted over all its files.
+        outside = active.join(heads.select("file", "ord"), ["file", "ord"], "left_anti").select("ord").distinct()
+        rest = active.join(outside, "ord", "left_semi")
         if others is not None:
             rest = rest.unionByName(others)
         # New leaders against the forms that were not heads; both sides are
