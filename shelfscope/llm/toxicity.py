@@ -25,13 +25,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from shelfscope.llm.base import emitted, struct, written
+from shelfscope.llm.base import SLICE_BYTES, emitted, given_back, scan, slices, struct, written
 from shelfscope.llm.spans import LETTERS, Words, bytes_of, first_of
 from shelfscope.session import intermediates
 
@@ -59,6 +60,36 @@ def word_numbers(texts: pa.Array) -> tuple[Words, np.ndarray]:
     return words, words.hashes.view(np.int64)
 
 
+PACKED = struct(packed=T.BinaryType())
+PAIRS = struct(word=T.LongType(), before=T.LongType(), classes=T.ByteType())
+LEAST_RATIO = 3  # packed texts are unpacked in slices this much smaller than plain ones
+
+
+def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The id and the compressed text of every row: what goes through the shuffle to the labels."""
+
+    def make():
+        pack = zstandard.ZstdCompressor(level=3).compress
+        return lambda texts: {"packed": [None if x is None else pack(x.encode()) for x in texts.to_pylist()]}
+
+    return scan(docs, [id_col], text_col, PACKED, make)
+
+
+def pairs_of_packed(labelled: DataFrame) -> DataFrame:
+    """The pairs of every slice of labelled rows (toxic, packed)."""
+
+    def work(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for part in slices(batch, 1, SLICE_BYTES // LEAST_RATIO):
+                texts = [None if x is None else unpack(x) for x in part.column(1).to_pylist()]
+                both = [part.column(0), pa.array(texts, pa.binary()).cast(pa.string())]
+                yield from pairs_of(pa.RecordBatch.from_arrays(both, ["toxic", "text"]))
+        given_back()
+
+    return labelled.select("toxic", "packed").mapInArrow(work, PAIRS)
+
+
 def pairs_of(part: pa.RecordBatch):
     """The distinct (previous word, word) pairs of a slice and the classes they occur in; a text begins with word 0."""
     words, number = word_numbers(part.column(1))
@@ -75,9 +106,9 @@ def pairs_of(part: pa.RecordBatch):
     yield pa.RecordBatch.from_arrays([pa.array(number[at]), pa.array(before[at]), pa.array(both)], ["word", "before", "classes"])
 
 
-def continuation_counts(labelled: DataFrame, text_col: str) -> DataFrame:
-    """Per word: how many different words it follows in ordinary, in toxic and in all labelled texts."""
-    pairs = emitted(labelled, ["toxic"], text_col, struct(word=T.LongType(), before=T.LongType(), classes=T.ByteType()), lambda: pairs_of)
+def continuation_counts(labelled: DataFrame, text_col: str | None = None) -> DataFrame:
+    """Per word: how many different words it follows in ordinary, in toxic and in all labelled texts, plain or ``packed``."""
+    pairs = emitted(labelled, ["toxic"], text_col, PAIRS, lambda: pairs_of) if text_col else pairs_of_packed(labelled)
     pairs = pairs.groupBy("word", "before").agg(F.bit_or("classes").alias("classes"))
     return pairs.groupBy("word").agg(
         F.sum(F.col("classes").bitwiseAND(F.lit(1).cast("byte"))).alias("ordinary"),
@@ -252,9 +283,9 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__words")).filter(fold(F.col("__id")) % FOLDS != HELD_OUT)
     # Labels grow with the corpus, so they meet the texts by a shuffle at every size.
     counted = known.join(sample.hint("merge"), "__id", "left_anti")
-    labelled = texts.join(counted.hint("merge"), "__id")
+    labelled = packed(texts, "__id", "__words").join(counted.hint("merge"), "__id")
     with intermediates(docs.sparkSession):
-        counts = written(continuation_counts(labelled, "__words"))
+        counts = written(continuation_counts(labelled))
         ratios = log_ratios(counts, table_words)
 
     fitting = texts.join(F.broadcast(sample), "__id")  # calibration_rows rows at most
