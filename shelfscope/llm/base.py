@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -28,6 +29,15 @@ def kept(name: str, build: Callable):
     return memory[name]
 
 
+def given_back() -> None:
+    """Return to the system what a task has freed: a worker that waits for its next task then holds little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # only some C libraries have it
+        pass
+
+
 Scan = Callable[[pa.Array], dict[str, pa.Array | np.ndarray | list]]
 
 
@@ -73,6 +83,8 @@ def scan(
                     [pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(columns, arrow, strict=True)],
                     schema=arrow,
                 )
+                del found, columns
+        given_back()
 
     chosen = [F.col(f"`{name}`") for name in keep]
     if at == last:
@@ -92,6 +104,7 @@ def emitted(df: DataFrame, keep: list[str], text: str, schema: T.StructType, mak
         for batch in batches:
             for part in slices(batch, last):
                 yield from run(part)
+        given_back()
 
     chosen = [F.col(f"`{name}`") for name in keep] + [F.col(f"`{text}`").cast("string").alias("__text")]
     return df.select(*chosen).mapInArrow(work, schema)

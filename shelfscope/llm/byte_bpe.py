@@ -74,9 +74,9 @@ def lengths_of(ranks: dict[bytes, int]) -> np.ndarray:
 
 class Encoder:
     def __init__(self, path: str):
-        self.ranks = ranks_of(path)
-        self.merger = merger(self.ranks)
-        self.lengths = lengths_of(self.ranks)
+        ranks = ranks_of(path)
+        self.merger = merger(ranks)
+        self.lengths = lengths_of(ranks)
 
     def encoded(self, pieces: list[str]) -> list[bytes]:
         """Ids of pre-tokens, four bytes each."""
@@ -102,7 +102,9 @@ class Decoder:
     def __init__(self, path: str):
         ranks = ranks_of(path)
         self.lengths = lengths_of(ranks)
-        self.tokens = {rank: bytes(BYTE_OF[c] for c in shown(token)) for token, rank in ranks.items()}
+        self.tokens: list[bytes | None] = [None] * len(self.lengths)
+        for token, rank in ranks.items():
+            self.tokens[rank] = bytes(BYTE_OF[c] for c in shown(token))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -30,11 +30,16 @@ NOT_NEWLINE = np.ones(256, bool)
 NOT_NEWLINE[10] = False
 
 _powers: dict[str, np.ndarray] = {}
+MOST_POWERS = 1 << 22  # longest table that is kept; longer ones are for one very long text
 
 
 def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
-    """base**0 .. base**(n-1); grown by doubling and kept for the life of the worker."""
+    """base**0 .. base**(n-1); grown by doubling and kept for the life of the worker up to a length."""
     key = str(base)
+    if n > MOST_POWERS:
+        table = np.full(n, base, np.uint64)
+        table[0] = 1
+        return np.cumprod(table, out=table)
     if key not in _powers or len(_powers[key]) < n:
         size = 1 << max(10, int(n - 1).bit_length())
         table = np.full(size, base, np.uint64)
