@@ -33,10 +33,12 @@ def components(links: DataFrame) -> DataFrame:
         while not _settled(links):
             # Large star: the larger neighbours of a node are tied to its smallest neighbour.
             edges = _both_ways(links)
-            smallest = edges.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-            large = edges.filter("b > a").join(smallest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            # Minima are written before they meet the links: both sides of the
+            # join are then plain shuffles, and a hub's links can be split.
+            smallest = written(edges.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+            large = written(edges.filter("b > a").join(smallest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
             # Small star: the smaller neighbours of a node, and itself, are tied to the smallest of them.
-            lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+            lowest = written(large.groupBy("a").agg(F.min("b").alias("m")))
             small = (
                 large.join(lowest, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                 .union(lowest.select("a", F.col("m").alias("b")))

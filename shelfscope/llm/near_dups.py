@@ -17,7 +17,6 @@ above, and full sets decide what is left.
 
 from __future__ import annotations
 
-import functools
 import itertools
 import math
 
@@ -128,7 +127,6 @@ def sets(texts: pa.Array, ngram: int) -> dict:
     return {"shingles": [np.sort(h).tobytes() for h in each], "bins": [np.minimum(p, 255).astype(np.uint8).tobytes() for p in parts]}
 
 
-@functools.cache
 def least_matches(n: int, similarity: float, miss: float) -> int:
     """The fewest of ``n`` equal signature places with which a pair may still reach the similarity.
 
@@ -144,14 +142,20 @@ def least_matches(n: int, similarity: float, miss: float) -> int:
     return n
 
 
-def plausible(signatures_a: np.ndarray, signatures_b: np.ndarray, similarity: float, miss: float) -> np.ndarray:
+def bounds(threshold: tuple[int, int], miss: float) -> list[int]:
+    """The fewest matches after each batch with which a pair goes on; made on the driver, so tasks need no table of their own."""
+    part, whole = threshold
+    return [least_matches(end, part / whole, miss) for end in range(BATCH, HASHES + 1, BATCH)]
+
+
+def plausible(signatures_a: np.ndarray, signatures_b: np.ndarray, least: list[int]) -> np.ndarray:
     """Whether each pair of signatures survives all batches; pairs that have failed are not looked at again."""
     alive = np.arange(len(signatures_a))
     matches = np.zeros(len(signatures_a), np.int64)
-    for end in range(BATCH, HASHES + 1, BATCH):
-        part = slice(end - BATCH, end)
+    for batch, fewest in enumerate(least):
+        part = slice(batch * BATCH, (batch + 1) * BATCH)
         matches[alive] += (signatures_a[alive, part] == signatures_b[alive, part]).sum(1)
-        alive = alive[matches[alive] >= least_matches(end, similarity, miss)]
+        alive = alive[matches[alive] >= fewest]
     found = np.zeros(len(signatures_a), bool)
     found[alive] = True
     return found
@@ -165,12 +169,12 @@ class Facts:
         self.signatures = np.frombuffer(b"".join(signatures), np.uint8).reshape(-1, HASHES)
         self.bins = np.frombuffer(b"".join(bins), np.uint8).reshape(-1, BINS)
 
-    def close(self, i: np.ndarray, other: Facts, j: np.ndarray, threshold: tuple[int, int], miss: float) -> np.ndarray:
+    def close(self, i: np.ndarray, other: Facts, j: np.ndarray, threshold: tuple[int, int], least: list[int]) -> np.ndarray:
         """Which of the pairs (i of these, j of those) may reach the threshold."""
         part, whole = threshold
         n, m = self.n[i], other.n[j]
         left = np.flatnonzero(np.minimum(n, m) * whole >= np.maximum(n, m) * part)
-        left = left[plausible(self.signatures[i[left]], other.signatures[j[left]], part / whole, miss)]
+        left = left[plausible(self.signatures[i[left]], other.signatures[j[left]], least)]
         a, b = self.bins[i[left]], other.bins[j[left]]
         most = np.minimum(a, b).sum(1, dtype=np.int64)  # the intersection is no larger, where no count was cut at 255
         cut = (a.max(1, initial=0) == 255) | (b.max(1, initial=0) == 255)
@@ -190,11 +194,12 @@ def surviving(pairs: DataFrame, facts: DataFrame, threshold: tuple[int, int], mi
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     columns = {name: [f"{c}_{name}" for c in ("n", "signature", "bins")] for name in ("a", "b")}
+    least = bounds(threshold, miss)
 
     def work(batches):
         for batch in batches:
             every = np.arange(batch.num_rows)
-            keep = facts_of(batch, columns["a"]).close(every, facts_of(batch, columns["b"]), every, threshold, miss)
+            keep = facts_of(batch, columns["a"]).close(every, facts_of(batch, columns["b"]), every, threshold, least)
             yield batch.select(["a", "b"]).take(pa.array(keep))
 
     return both.select("a", "b", *columns["a"], *columns["b"]).mapInArrow(work, PAIRS)
@@ -219,6 +224,7 @@ def close_in_buckets(open_members: DataFrame, facts: DataFrame, threshold: tuple
     left = dealt(here.filter("component != major"), "left", "right")
     meeting = right.unionByName(left).repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
     names = ["key", "left", "right", "node", "component", "major", "first", "n", "signature", "bins"]
+    least = bounds(threshold, miss)
 
     def compared(batch: pa.RecordBatch) -> pa.RecordBatch:
         node, component, major, first = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "major", "first"))
@@ -228,7 +234,7 @@ def close_in_buckets(open_members: DataFrame, facts: DataFrame, threshold: tuple
         # Two members outside the largest component meet twice; the one in order counts.
         apart = (component[i] != component[j]) & ((component[j] == major[j]) | (node[i] < node[j]))
         i, j = i[apart], j[apart]
-        keep = own.close(i, own, j, threshold, miss)
+        keep = own.close(i, own, j, threshold, least)
         a, b = np.maximum(node[i[keep]], node[j[keep]]), np.minimum(node[i[keep]], node[j[keep]])
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -286,8 +292,9 @@ def components_of_sets(
     )
     nodes = written(nodes)
     filed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).filter("size > 1")
-    members = written(filed.join(shared.select("key", "pivot"), "key").distinct())
+    # Written, like all that meets a table that may have a hot key: then both sides of the join are plain shuffles.
+    shared = written(filed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).filter("size > 1").select("key", "pivot"))
+    members = written(filed.join(shared, "key").distinct())
 
     # Full sets of the classes that meet another one; only their texts are moved.
     meeting = members.select("node").distinct()
@@ -318,7 +325,7 @@ def components_of_sets(
             F.sum("part").alias("size"),
             (F.sum("part") - F.max("part")).alias("outside"),
         )
-        open_members = written(placed.join(several.filter("outside > 0"), "key"))
+        open_members = written(placed.join(written(several.filter("outside > 0")), "key"))
         n_members, n_possible = open_members.agg(
             F.count(F.lit(1)), F.sum(F.when(F.col("component") != F.col("major"), F.col("size")).otherwise(0))
         ).first()

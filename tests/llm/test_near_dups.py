@@ -110,9 +110,9 @@ def test_miss_probability():
     a = rng.integers(0, 256, (n, near_dups.HASHES)).astype(np.uint8)
     agree = rng.random((n, near_dups.HASHES)) < 0.8
     b = np.where(agree, a, rng.integers(0, 256, a.shape)).astype(np.uint8)
-    assert near_dups.plausible(a, b, 0.8, near_dups.MISS).all()
+    assert near_dups.plausible(a, b, near_dups.bounds((80, 100), near_dups.MISS)).all()
     far = np.where(rng.random(a.shape) < 0.3, a, rng.integers(0, 256, a.shape)).astype(np.uint8)
-    assert near_dups.plausible(a, far, 0.8, near_dups.MISS).mean() < 0.01
+    assert near_dups.plausible(a, far, near_dups.bounds((80, 100), near_dups.MISS)).mean() < 0.01
 
 
 def test_components(spark):
