@@ -380,6 +380,17 @@ def read_raw_in_any_order(spark, folder):
     return listing_io.read_raw_listings(spark, path).select(*RAW_FIELDS)
 
 
+@query(with_ctes(AWKWARD_SQL, select=f"SELECT {RAW_COLUMNS} FROM awkward"))
+def read_raw_with_many_columns(spark, folder):
+    """A file whose hundred other columns come first, next to one without any."""
+    path = scratch(spark)
+    rows = _awkward(spark, folder)
+    others = [F.lit(f"x,{i}").alias(f"other_{i}") for i in range(100)]
+    _write_csv(rows.filter("row_pos % 2 = 0").select(*others, *RAW_FIELDS), f"{path}/a")
+    _write_csv(rows.filter("row_pos % 2 = 1").select(*RAW_FIELDS), f"{path}/b")
+    return listing_io.read_raw_listings(spark, path).select(*RAW_FIELDS)
+
+
 _PARSED_LISTINGS = (LISTINGS, _parsed("listings", "parsed"))
 
 

@@ -18,18 +18,33 @@ from shelfscope.schemas import (
 )
 
 MARKET = ["store", "city"]
-MOST_COLUMNS = 64  # cells of a line that are read; listings have 16 columns at most
 CLEANED_FILES = "{*_cleaned,part-*}.csv"  # single files of a feed, and what :func:`write_cleaned` writes
 
 
+def _widest_header(spark: SparkSession, folder: str, pattern: str) -> int:
+    """The most cells a file's first line can have; a comma inside quotes counts too, which only reads a cell more."""
+    lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(folder)
+    lines = lines.select(
+        "value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    first = lines.filter("_block = 0").groupBy("_path").agg(F.min_by("value", "_at").alias("value"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    widest, split = first.agg(F.max(F.size(F.split("value", ",", -1))), F.max(F.when(quotes % 2 == 1, F.col("_path")))).first()
+    if split:
+        raise ValueError(f"the header of {split} goes over several lines")
+    return widest or 1
+
+
 def _cells(spark: SparkSession, folder: str, pattern: str, multi_line: bool) -> DataFrame:
     """The lines of CSV files as arrays of cells, with their file and a number that grows with the position in it.
 
     Quotes are doubled inside quoted cells; with ``multi_line`` a cell may go
     over several lines.  A file with such cells is read by one task; a feed
     known to have none can be read with ``multi_line=False`` and is then split.
+    As many cells are read as the widest header has.
     """
-    names = [f"_c{i}" for i in range(MOST_COLUMNS)]
+    names = [f"_c{i}" for i in range(_widest_header(spark, folder, pattern))]
     rows = (
         spark.read.schema(", ".join(f"{name} string" for name in names))
         .option("header", False)
@@ -38,6 +53,7 @@ def _cells(spark: SparkSession, folder: str, pattern: str, multi_line: bool) ->
         .option("escape", '"')
         .option("encoding", "UTF-8")
         .option("mode", "PERMISSIVE")
+        .option("maxColumns", max(20_480, 2 * len(names)))
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", True)
         .csv(folder)

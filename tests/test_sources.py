@@ -73,6 +73,22 @@ def test_columns_go_by_name(spark, tmp_path):
     assert landed == {("Rice 1kg", "Rs. 50", "Metro", "Lahore"), ('Tea, "green"\n500g', "Rs. 60", "Metro", "Multan"), ("Salt", "", "Metro", "Multan")}
 
 
+def test_any_number_of_columns(spark, tmp_path):
+    """Known columns behind hundreds of others, some with quoted commas; files of other widths beside it."""
+    folder = tmp_path / "wide"
+    folder.mkdir()
+    others = [f'"o,{i}"' for i in range(300)]
+    wide = [",".join([*others, "store", "name", "price"]), ",".join(["x"] * 300 + ["Metro", '"Tea, green"', "Rs. 5"])]
+    (folder / "wide.csv").write_text("\n".join(wide) + "\n")
+    (folder / "narrow.csv").write_text("name,store\nRice,Metro\n")
+    (folder / "empty.csv").write_text("")
+    rows = L.read_raw_listings(spark, str(folder)).select("store", "name", "price").collect()
+    assert sorted(map(tuple, rows)) == [("Metro", "Rice", ""), ("Metro", "Tea, green", "Rs. 5")]
+    (folder / "split.csv").write_text('name,"a\nb",store\nRice,x,Metro\n')
+    with pytest.raises(ValueError, match="split.csv"):
+        L.read_raw_listings(spark, str(folder))
+
+
 def test_landed_cleaned_listings_keep_their_order(spark, tmp_path):
     lines = [f"Metro,Lahore,,Rice {i} 1kg,Generic,Grocery,,Rs. {i + 10},In Stock,,,2026-01-01T00:00:00" for i in range(12)]
     folder = raw_folder(tmp_path, lines=lines)
