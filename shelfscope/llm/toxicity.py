@@ -62,6 +62,7 @@ def word_numbers(texts: pa.Array) -> tuple[Words, np.ndarray]:
 
 PACKED = struct(packed=T.BinaryType())
 PAIRS = struct(word=T.LongType(), before=T.LongType(), classes=T.ByteType())
+LEVEL = 6  # of compression
 LEAST_RATIO = 3  # packed texts are unpacked in slices this much smaller than plain ones
 
 
@@ -69,7 +70,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The id and the compressed text of every row: what goes through the shuffle to the labels."""
 
     def make():
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=LEVEL).compress
         return lambda texts: {"packed": [None if x is None else pack(x.encode()) for x in texts.to_pylist()]}
 
     return scan(docs, [id_col], text_col, PACKED, make)
