@@ -425,6 +425,34 @@ def write_cleaned(spark, folder):
     return spark.read.parquet(path).select(*_KEPT)
 
 
+# Copies of the listings as one category, each market a feed.
+_MARKET_FEEDS_SQL = (
+    FEEDS_SQL.replace("feeds AS", "copies AS", 1)
+    + """,
+feeds AS (
+  SELECT * REPLACE (store || '_' || city AS file_name, 'all' AS category, "timestamp" AS row_pos) FROM copies
+)"""
+)
+
+
+@query(
+    rounded(
+        "kept", _CLEANED, _NUMBERS, _MARKET_FEEDS_SQL, DEDUP_SQL, _parsed("firsts", "parsed"), CLEAN_SQL,
+        "kept AS (SELECT * FROM reasons WHERE reason IS NULL)",
+    )
+)
+def clean_landed_in_steps(spark, folder):
+    """Two batches landed and cleaned, a third for one market landed, what is new cleaned: as all of it at once."""
+    path = scratch(spark)
+    rows = feeds(spark, folder).withColumn("category", F.lit("all"))
+    late = F.coalesce((F.col("store") == "Brand#11") & (F.col("city") == "City 0") & (F.col("product_id").cast("long") % 2 == 0), F.lit(False))
+    early = F.col("row_pos") < 1000000000
+    for batch in (~late & early, ~late & ~early, late):
+        listing_io.append_raw_listings(rows.filter(batch), f"{path}/raw")
+        jobs.clean_new_files(spark, f"{path}/raw", f"{path}/cleaned", f"{path}/seen")
+    return listing_io.read_landed_cleaned(spark, f"{path}/cleaned").select(*_KEPT)
+
+
 _GOLD_SQL = with_ctes(
     OFFERS,
     GOLD,

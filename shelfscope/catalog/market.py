@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.catalog.common import BEST, GOLD, OFFERS, long_form, long_sql, r, tidied, with_ctes
+from shelfscope.catalog.common import BEST, GOLD, OFFERS, long_form, long_sql, r, scratch, tidied, with_ctes
 from shelfscope.operators import analytics as A
 from shelfscope.operators import explore as X
-from shelfscope.operators import report
+from shelfscope.operators import report, search
 from shelfscope.plans.views import gold_view, offers_view
 from shelfscope.session import materialise
 
@@ -559,6 +559,24 @@ def product_search(spark, folder):
     )
 
 
+@query(
+    with_ctes(
+        OFFERS,
+        GOLD,
+        select="""SELECT CAST(product_id AS VARCHAR) AS product_id, title, brand, min_price, max_price, match_count FROM gold
+                  WHERE contains(lower(title), 'hot anvil') OR contains(lower(brand), 'hot anvil')
+                  ORDER BY 1 LIMIT 15""",
+    )
+)
+def indexed_search(spark, folder):
+    """The search over products that were landed with their index."""
+    path = scratch(spark)
+    search.write_index(gold_view(spark, folder).withColumn("product_id", F.col("product_id").cast("string")), path)
+    return search.indexed_search(spark, path, "Hot Anvil").select(
+        "product_id", "title", "brand", "min_price", "max_price", "match_count"
+    )
+
+
 @query(
     with_ctes(
         OFFERS,

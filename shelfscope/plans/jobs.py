@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.operators import analytics, cleaning, matching, report
+from shelfscope.operators import analytics, cleaning, matching, report, search
 from shelfscope.session import intermediates, materialise
 from shelfscope.sources import gold as gold_io
 from shelfscope.sources import listings as listing_io
@@ -82,6 +82,31 @@ def clean_folder(spark: SparkSession, raw_folder: str, cleaned_folder: str, fmt:
         listing_io.write_cleaned(clean_listings(listing_io.read_raw_listings(spark, raw_folder)), cleaned_folder, fmt)
 
 
+def clean_new_files(spark: SparkSession, landed_folder: str, cleaned_folder: str, state_folder: str) -> None:
+    """Clean the markets of a landed raw feed that got files since the last call; leave the files of the others alone.
+
+    Copies and outliers are judged over a whole feed, so a market with a new
+    file is read and judged anew and its folder replaced.  A market never loses
+    its last row by more data (no price is far from the median of its own
+    category), so replacing what has rows is enough.  The names of the files
+    seen are kept in ``state_folder``, added after the cleaned rows are in
+    place: a call that fails is made good by the next one.
+    """
+    with intermediates(spark):
+        files = materialise(listing_io.landed_files(spark, landed_folder))
+        seen = listing_io.seen_files(spark, state_folder)
+        new = materialise(files.join(seen, "path", "left_anti"))
+        if new.isEmpty():
+            return
+        raw = listing_io.read_landed_listings(spark, landed_folder)
+        # Markets whose names run together to the same feed are judged together, so they are replaced together.
+        feeds = materialise(new.select("file_name").distinct())
+        changed = materialise(files.join(feeds, "file_name", "left_semi").select(*listing_io.MARKET).distinct())
+        here = [raw[c].eqNullSafe(changed[c]) for c in listing_io.MARKET]
+        listing_io.replace_cleaned(clean_listings(raw.join(changed, here, "left_semi")), cleaned_folder)
+        new.select("path").write.mode("append").parquet(state_folder)
+
+
 def match_folder(
     spark: SparkSession,
     cleaned_folder: str,
@@ -90,13 +115,16 @@ def match_folder(
     legacy_folder: str | None = None,
     threshold: int = matching.THRESHOLD,
     method: str = "token_sort",
+    index_folder: str | None = None,
 ) -> None:
-    """Landed cleaned listings, older files in ``legacy_folder`` included, to gold products."""
+    """Landed cleaned listings, older files in ``legacy_folder`` included, to gold products; their search index if wanted."""
     with intermediates(spark):
         cleaned = listing_io.read_landed_cleaned(spark, cleaned_folder, fmt)
         if legacy_folder:
             cleaned = listing_io.union_listings(cleaned, listing_io.read_legacy_cleaned(spark, legacy_folder))
         gold_io.write_gold(match_listings(cleaned, threshold, method), gold_folder)
+        if index_folder:
+            search.write_index(gold_io.read_gold(spark, gold_folder, "parquet"), index_folder)
 
 
 def analyze_folder(spark: SparkSession, gold_folder: str, report_folder: str, fmt: str = "parquet") -> None:

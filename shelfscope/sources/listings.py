@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -266,13 +267,39 @@ def read_landed_listings(spark: SparkSession, folder: str) -> DataFrame:
     rows = spark.read.schema(RAW_LISTING).parquet(folder)
     return rows.select(
         *RAW_FIELDS,
-        F.concat_ws("_", *MARKET).alias("file_name"),
+        _feed(),
         F.concat_ws(
             "|", F.coalesce("timestamp", F.lit("")), F.col("_metadata.file_path"), _sortable(F.col("_metadata.row_index"))
         ).alias("row_pos"),
     )
 
 
+def _feed() -> Column:
+    return F.concat_ws("_", *MARKET).alias("file_name")
+
+
+def landed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of a landed feed with their market and feed; no column of the data is read."""
+    rows = spark.read.schema(RAW_LISTING).parquet(folder)
+    return rows.select(F.col("_metadata.file_path").alias("path"), *MARKET, _feed()).distinct()
+
+
+def seen_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The files an earlier call has noted; none where there is no note yet."""
+    try:
+        return spark.read.schema("path string").parquet(folder)
+    except AnalysisException as problem:
+        if problem.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], "path string")
+        raise
+
+
+def replace_cleaned(cleaned: DataFrame, folder: str) -> None:
+    """Replace the folders of the stores and cities in ``cleaned`` and no others; row positions are text already."""
+    rows = cleaned.select(*CLEANED_FIELDS, "file_name", "row_pos").hint("rebalance", *MARKET)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*MARKET).parquet(folder)
+
+
 def write_cleaned(cleaned: DataFrame, folder: str, fmt: str = "parquet") -> None:
     """Replace the cleaned listings, one folder per store and city; nothing when empty.
 

@@ -13,7 +13,7 @@ from shelfscope.plans import jobs
 from shelfscope.sources import catalogue
 from shelfscope.sources import gold as G
 from shelfscope.sources import listings as L
-from shelfscope.schemas import GOLD, RAW_FIELDS
+from shelfscope.schemas import CLEANED_FIELDS, GOLD, RAW_FIELDS
 from shelfscope.streaming import feed
 
 HEADER = ",".join(RAW_FIELDS)
@@ -252,3 +252,34 @@ def test_folders_in_folders_out(spark, tmp_path):
     jobs.run_on_folders(spark, raw_folder(tmp_path), str(tmp_path / "out"))
     assert G.read_gold(spark, str(tmp_path / "out/matched/products"), "parquet").count() == 2
     assert G.read_metrics(spark, str(tmp_path / "out/reports/store_market_metrics")).count() == 1
+
+
+def test_only_changed_markets_are_cleaned_again(spark, tmp_path):
+    raw, cleaned, seen = (str(tmp_path / name) for name in ("raw", "cleaned", "seen"))
+
+    def land(city, prices):
+        rows = [("Metro", city, "", f"Rice of {city}, {p}, 1kg", "Generic", "Grocery", "", f"Rs. {p}", "In Stock", "", "", "2026-01-01T00:00:00") for p in prices]
+        by_name = dict(zip(HEADER.split(","), range(len(RAW_FIELDS))))
+        L.append_raw_listings(spark.createDataFrame([[r[by_name[f]] for f in RAW_FIELDS] for r in rows], ", ".join(f"`{f}` string" for f in RAW_FIELDS)), raw)
+        jobs.clean_new_files(spark, raw, cleaned, seen)
+
+    def files(city):
+        return {p.name for p in (tmp_path / "cleaned" / "store=Metro" / f"city={city}").glob("*.parquet")}
+
+    def same_as_at_once():
+        names = [f for f in CLEANED_FIELDS if f != "processed_timestamp"]
+        want = jobs.clean_listings(L.read_landed_listings(spark, raw)).select(*names).collect()
+        got = L.read_landed_cleaned(spark, cleaned).select(*names).collect()
+        assert sorted(map(str, got)) == sorted(map(str, want))
+
+    land("Lahore", [50, 51, 52, 53, 900])
+    land("Multan", [50, 51, 52, 53, 54])
+    before = files("Lahore"), files("Multan")
+    same_as_at_once()
+    assert L.read_landed_cleaned(spark, cleaned).count() == 9
+    land("Lahore", [800, 850, 950, 990])  # the dear price is no outlier any more
+    assert files("Multan") == before[1] and not files("Lahore") & before[0]
+    same_as_at_once()
+    assert L.read_landed_cleaned(spark, cleaned).count() == 14
+    jobs.clean_new_files(spark, raw, cleaned, seen)
+    assert files("Multan") == before[1]
