@@ -1,12 +1,14 @@
 """License scans by an exact set-similarity join.
 
-Every text block (a run of lines without an empty line between them) that holds
+Every text block (a run of lines without a blank line between them) that holds
 at least ``threshold`` of a template's distinct words is found.  A template's
 words are ordered by how many blocks of the whole corpus hold them, rarest
 first.  A block that reaches the threshold must hold one of the first
 ``n - need + 1`` of them (prefix), must have ``need`` words (length), and with
 its first hit at place p only ``n - p`` words can still agree (position).
-Only what passes all three is counted out.
+Only what passes all three is counted out.  The few words of a short template
+stand somewhere in any long block; they must stand together, in a window a
+quarter longer than the template.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
 }
 THRESHOLD = 0.8  # share of a template's distinct words that a block must hold
+SHORT = 16  # templates with fewer distinct words are sought in windows a quarter longer than they are
+BLANKS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 RESULTS = struct(
     n_words=T.LongType(),
@@ -74,9 +78,11 @@ class Blocks:
     def __init__(self, texts: pa.Array, vocabulary: list[bytes]):
         data, at = bytes_of(texts)
         self.words = words = Words(data, at, LETTERS, lower=True)
-        # A block begins with a text and after each empty line.
+        # A block begins with a text and after each line of nothing but white space.
         line_ends = np.flatnonzero(data == 10)
-        empty = line_ends[1:][line_ends[1:] == line_ends[:-1] + 1] if len(line_ends) else line_ends
+        empty = line_ends[1:]
+        if len(line_ends):
+            empty = empty[~np.logical_or.reduceat(~BLANKS[data], line_ends)[:-1]]
         self.borders = np.unique(np.concatenate([at[:-1], empty])) if len(at) > 1 else np.zeros(0, np.int64)
         self.block = owners(words.starts, self.borders) if len(self.borders) else np.zeros(0, np.int64)
         known = word_hash(vocabulary)
@@ -93,6 +99,22 @@ class Blocks:
         self.hits, self.tokens = self.hits[right], tokens[right]
 
 
+def densest(places: np.ndarray, tokens: np.ndarray, width: int) -> tuple[int, int, int]:
+    """The most distinct tokens whose places fit into ``width``, with the first and last place of the earliest such window."""
+    best, inside, distinct, left = (0, 0, 0), defaultdict(int), 0, 0
+    places, tokens = places.tolist(), tokens.tolist()
+    for place, token in zip(places, tokens, strict=True):
+        inside[token] += 1
+        distinct += inside[token] == 1
+        while place - places[left] >= width:
+            inside[tokens[left]] -= 1
+            distinct -= not inside[tokens[left]]
+            left += 1
+        if distinct > best[0]:
+            best = (distinct, places[left], place)
+    return best
+
+
 def vocabulary_of(*texts: str) -> list[bytes]:
     return sorted({w for text in texts for w in word_bytes(text)})
 
@@ -116,13 +138,15 @@ class Index:
     """Templates with their words in global order, filed under the words of their prefixes."""
 
     def __init__(self, templates: dict[str, str], threshold: float, frequency: dict[bytes, int], place: dict[bytes, int]):
-        self.sizes, self.needs, self.filed, self.position = {}, {}, defaultdict(list), {}
+        self.sizes, self.needs, self.filed, self.position, self.width = {}, {}, defaultdict(list), {}, {}
         for name, text in templates.items():
             ordered = sorted(set(word_bytes(text)), key=lambda w: (frequency.get(w, 0), w))
             if not ordered:
                 continue
             need = max(1, math.ceil(threshold * len(ordered) - 1e-9))
             self.sizes[name], self.needs[name] = len(ordered), need
+            if len(ordered) < SHORT:
+                self.width[name] = len(word_bytes(text)) * 5 // 4
             self.position[name] = {place[w]: i for i, w in enumerate(ordered)}
             for w in ordered[: len(ordered) - need + 1]:
                 self.filed[place[w]].append(name)
@@ -154,8 +178,9 @@ def license_scan(
 
     One row per input row, repeated rows and null ids included; other columns
     are left out.  A null or empty text has no words, empty lists and null
-    places.  ``matches`` has the best block per template: its containment and
-    its first and last word (end exclusive).  Templates and phrases are
+    places.  ``matches`` has the best block per template (the best window of a
+    short one; the earliest of equals): its containment and its first and last
+    word (end exclusive).  Templates and phrases are
     parameters of the caller, so what is sent to the tasks has their size; the
     texts are scanned twice and never shuffled.
     """
@@ -201,8 +226,15 @@ def license_scan(
             begin, end = np.searchsorted(found.block, [block, block + 1])
             i = words.owner[begin]
             for name, share in index.matches(set(found.tokens[a:b].tolist()), end - begin):
+                first_word, past = int(begin), int(end)
+                if name in index.width:
+                    own = np.isin(found.tokens[a:b], list(index.position[name]))
+                    held, first_word, last_word = densest(found.hits[a:b][own], found.tokens[a:b][own], index.width[name])
+                    if held < index.needs[name]:
+                        continue
+                    share, past = held / index.sizes[name], last_word + 1
                 if share > best[i].get(name, (0,))[0]:
-                    best[i][name] = (share, int(begin - begins[i]), int(end - begins[i]))
+                    best[i][name] = (share, first_word - int(begins[i]), past - int(begins[i]))
         return {
             "n_words": per_text(words.owner, n),
             "n_base": n_base,

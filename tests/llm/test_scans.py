@@ -138,10 +138,14 @@ def brute_license(text):
                 starts.append(i)
                 labels.add(label)
     found = set()
-    for block in re.split(r"(?<=\n)(?=\n)", text or ""):
-        have = set(LETTERS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), block)))
+    for block in re.split(r"\n[ \t\r\v\f]*(?=\n)", text or ""):
+        block = LETTERS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), block))
         for name, template in license_scan.TEMPLATES.items():
-            want = set(LETTERS.findall(template.lower()))
+            every = LETTERS.findall(template.lower())
+            have, want = set(block), set(every)
+            if len(want) < license_scan.SHORT and len(have & want) >= license_scan.THRESHOLD * len(want) - 1e-9:
+                windows = [set(block[i : i + len(every) * 5 // 4]) for i in range(len(block))]
+                have = max(windows, key=lambda w: len(w & want))
             if len(have & want) >= license_scan.THRESHOLD * len(want) - 1e-9:
                 found.add((name, len(have & want) / len(want)))
     names = {n for n, _ in found}
@@ -166,6 +170,9 @@ def test_license(spark, docs_of, texts):
         (20, "MIT LICENSE mit license\nmit\n\nlicense"),
         (21, "All\nrights\n\n\nreserved. All rights, Reserved!"),
         (22, "the mit"),
+        (25, "The reserve of all birds was visited by the minister for Human rights and reserved by the chairman"),
+        (26, "The MIT campus: students licensed and released under the same roof hold a license"),
+        (27, "All rights\r\n \t\r\nreserved. x All rights\r\nreserved"),
         (23, "license"),
         (24, license_scan.TEMPLATES["mit-grant"].replace(" ", "\n")),
     ]
@@ -174,6 +181,8 @@ def test_license(spark, docs_of, texts):
         want = brute_license(t)
         assert (r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, ",".join(r.base_labels)) == (i, *want[:5])
         assert ",".join(sorted({*r.base_labels, *(m.template for m in r.matches)})) == want[5]
+    labels = {r.doc_id: [(m.template, m.start, m.end) for m in r.matches] for r in rows if r.doc_id}
+    assert labels[25] == labels[26] == [] and labels[27] == [("all-rights-reserved", 4, 7)]
 
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
