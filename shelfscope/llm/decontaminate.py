@@ -23,6 +23,8 @@ from shelfscope.llm.base import scan, struct
 ERROR_RATE = 0.05  # edits allowed per character of an item
 BLOCK_CHARS = 2_000_000  # characters of items that are sought in one pass over the texts
 
+UNSPACED = "\u2e80"  # scripts from here on are written without spaces
+
 #: Case and the kind of white space are not compared; offsets stay those of the text.
 FOLDED = {**{c: c + 32 for c in range(65, 91)}, **{c: 32 for c in (9, 10, 11, 12, 13, 0xA0)}}
 
@@ -31,6 +33,11 @@ MATCHES = struct(
 )
 
 
+def within_word(text: str, at: int) -> bool:
+    """Whether a place lies between two letters or digits of one word; scripts that set no spaces have no such places."""
+    return 0 < at < len(text) and all(c.isalnum() and c < UNSPACED for c in text[at - 1 : at + 1])
+
+
 class Match(NamedTuple):
     item_id: int
     distance: int
@@ -79,7 +86,10 @@ class Item:
         """The best occurrence that begins within the budget of ``start``."""
         m, k = len(self.text), self.budget
         if text.startswith(self.text, start):
-            return Match(self.id, 0, start, start + m)
+            inside = not k and (within_word(text, start) or within_word(text, start + m))
+            return None if inside else Match(self.id, 0, start, start + m)
+        if not k:
+            return None
         low = max(0, start - k)
         window = text[low : start + m + k]
         scores = list(columns(self.masks, m, window, anchored=False))
@@ -147,7 +157,9 @@ def benchmark_matches(
     """``id``, ``item_id``, ``distance``, ``start``, ``end`` (code points, end exclusive) of every occurrence of an item.
 
     An item of n characters may have floor(error_rate * n) insertions, deletions
-    and substitutions; case and the kind of white space do not count.  Items
+    and substitutions; case and the kind of white space do not count.  An item
+    too short for any edit must begin and end where words do ("yes" is not in
+    "eyesight").  Items
     without an id or text are passed over, as are null and empty texts; repeated
     rows give repeated results, repeated items do not.  Items go to the tasks in
     blocks of bounded size, with a pass over the texts for each; texts are never

@@ -145,6 +145,15 @@ def test_benchmark_matches_with_edits(docs_of, spark):
     assert decontaminate.benchmark_matches(docs_of([]), table).count() == 0
 
 
+def test_short_benchmark_items_are_words(spark, docs_of):
+    """An item without an edit to spare is not sought inside words, at either end; where no spaces are set it is."""
+    pairs = [(1, "eyesight"), (2, "He said: YES."), (3, "yes"), (4, "yesterday"), (5, "eyes yes"), (6, "\u6211\u662f\u4eba"), (7, "a-yes\u6211"), (8, "2yes")]
+    table = spark.createDataFrame([(1, "yes"), (2, "\u662f")], "item_id long, text string")
+    rows = decontaminate.benchmark_matches(docs_of(pairs), table).collect()
+    assert {(r.doc_id, r.item_id, r.start) for r in rows} == {(2, 1, 9), (3, 1, 0), (5, 1, 5), (6, 2, 1), (7, 1, 2)}
+    assert {r.doc_id for r in decontaminate.without_benchmarks(docs_of(pairs), table).collect()} == {1, 4, 8}
+
+
 def test_benchmark_small_table(spark):
     docs = pq.read_table(f"{FOLDER}/documents.parquet").to_pydict()
     items = pq.read_table(f"{FOLDER}/benchmark.parquet").to_pydict()
