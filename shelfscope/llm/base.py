@@ -38,6 +38,14 @@ def given_back() -> None:
         pass
 
 
+def free(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores behind it as it takes to be none of ``columns`` (the case of letters does not count)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 Scan = Callable[[pa.Array], dict[str, pa.Array | np.ndarray | list]]
 
 
@@ -88,7 +96,7 @@ def scan(
 
     chosen = [F.col(f"`{name}`") for name in keep]
     if at == last:
-        chosen.append(F.col(f"`{text}`").cast(kind).alias("__text"))
+        chosen.append(F.col(f"`{text}`").cast(kind).alias(free("__text", keep)))
     return df.select(*chosen).mapInArrow(work, schema)
 
 
@@ -106,7 +114,7 @@ def emitted(df: DataFrame, keep: list[str], text: str, schema: T.StructType, mak
                 yield from run(part)
         given_back()
 
-    chosen = [F.col(f"`{name}`") for name in keep] + [F.col(f"`{text}`").cast("string").alias("__text")]
+    chosen = [F.col(f"`{name}`") for name in keep] + [F.col(f"`{text}`").cast("string").alias(free("__text", keep))]
     return df.select(*chosen).mapInArrow(work, schema)
 
 

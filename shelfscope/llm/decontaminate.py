@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfscope.llm.base import scan, struct
+from shelfscope.llm.base import free, scan, struct
 
 ERROR_RATE = 0.05  # edits allowed per character of an item
 BLOCK_CHARS = 2_000_000  # characters of items that are sought in one pass over the texts
@@ -28,9 +28,7 @@ UNSPACED = "\u2e80"  # scripts from here on are written without spaces
 #: Case and the kind of white space are not compared; offsets stay those of the text.
 FOLDED = {**{c: c + 32 for c in range(65, 91)}, **{c: 32 for c in (9, 10, 11, 12, 13, 0xA0)}}
 
-MATCHES = struct(
-    __matches=T.ArrayType(struct(item_id=T.LongType(), distance=T.IntegerType(), start=T.LongType(), end=T.LongType()))
-)
+MATCHES = T.ArrayType(struct(item_id=T.LongType(), distance=T.IntegerType(), start=T.LongType(), end=T.LongType()))
 
 
 def within_word(text: str, at: int) -> bool:
@@ -176,7 +174,7 @@ def benchmark_matches(
     return found
 
 
-def _scanned(docs: DataFrame, keep: list[str], text_col: str, rows: list[tuple[int, str]], error_rate: float) -> DataFrame:
+def _scanned(docs: DataFrame, keep: list[str], text_col: str, rows: list[tuple[int, str]], error_rate: float, name: str = "__matches") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(rows)
 
     def make():
@@ -185,18 +183,18 @@ def _scanned(docs: DataFrame, keep: list[str], text_col: str, rows: list[tuple[i
         finder = Finder(sent.value, error_rate)
 
         def run(texts: pa.Array) -> dict:
-            return {"__matches": [[m._asdict() for m in finder.matches(t)] if t else [] for t in texts.to_pylist()]}
+            return {name: [[m._asdict() for m in finder.matches(t)] if t else [] for t in texts.to_pylist()]}
 
         return run
 
-    return scan(docs, keep, text_col, MATCHES, make)
+    return scan(docs, keep, text_col, struct(**{name: MATCHES}), make)
 
 
 def without_benchmarks(
     docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE
 ) -> DataFrame:
     """The rows whose texts hold no item, all columns as they were; null and empty texts stay."""
-    kept = docs
+    kept, matches = docs, free("__matches", docs.columns)
     for rows in blocks(items, item_id, item_text, BLOCK_CHARS):
-        kept = _scanned(kept, docs.columns, text_col, rows, error_rate).filter(F.size("__matches") == 0).drop("__matches")
+        kept = _scanned(kept, docs.columns, text_col, rows, error_rate, matches).filter(F.size(matches) == 0).drop(matches)
     return kept

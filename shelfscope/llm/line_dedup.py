@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfscope.llm.base import written
+from shelfscope.llm.base import free, written
 from shelfscope.session import intermediates
 
 WINDOW = 2  # lines in the rolling hash
@@ -177,7 +177,7 @@ def repeated_chunks(keyed: DataFrame, text: Column, passages: bool = False) -> D
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passages: bool = False) -> DataFrame:
-    """Every row with its text less the repeated chunks, all other columns as they were, and ``__removed`` lines.
+    """Every row with its text less the repeated chunks, all other columns as they were, and ``__removed`` lines (``__removed_`` where a column has that name).
 
     The occurrence that stays is that of the smallest id (null ids first), then
     of the smallest text hash, then the earliest in the text; repeats inside one
@@ -186,14 +186,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text all of whose chunks stand elsewhere becomes empty.  ``passages`` also
     removes every line of repeated passages of LONG words or more.
     """
-    keyed = docs.withColumns({"__id": F.col(id_col), "__hash": F.xxhash64(id_col, text_col)})
-    text = F.col(text_col)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column can clash with a helper
+    key, text = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
+    keyed = docs.toDF(*names).withColumns({"__id": key, "__hash": F.xxhash64(key, text)})
     with intermediates(docs.sparkSession):
         removed = written(repeated_chunks(keyed, text, passages), outlives=True)
     joined = keyed.join(removed.hint("merge"), same(keyed, removed), "left")
     gone = F.aggregate("__chunks", F.lit(0), lambda total, c: total + c["size"])
     cleaned = F.when(F.col("__chunks").isNull(), text).otherwise(without(lines_of(text), F.col("__chunks")))
     return joined.select(
-        *[(cleaned.alias(c) if c == text_col else keyed[c]) for c in docs.columns],
-        F.coalesce(gone, F.lit(0)).cast("long").alias("__removed"),
+        *[(cleaned if c == text_col else keyed[name]).alias(c) for name, c in zip(names, docs.columns, strict=True)],
+        F.coalesce(gone, F.lit(0)).cast("long").alias(free("__removed", docs.columns)),
     )

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfscope.llm.base import scan, slices, struct, written
+from shelfscope.llm.base import free, scan, slices, struct, written
 from shelfscope.llm.components import components
 from shelfscope.llm.spans import NOT_SPACE, Words, bytes_of, first_of, mixed, rolling
 from shelfscope.session import intermediates
@@ -386,12 +386,13 @@ def near_duplicates(
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, **options) -> DataFrame:
     """One document of each group (that of the smallest id), all columns as they were; what is linked with nothing stays."""
     found = near_duplicates(docs, id_col, text_col, ngram, **options)
-    dropped = found.filter(~F.col("kept")).select(F.col("id").alias("__id"), F.col("d1").alias("__e1"), F.col("d2").alias("__e2")).distinct()
-    marks = struct(__n=T.LongType(), __d1=T.LongType(), __d2=T.LongType())
+    dropped = found.filter(~F.col("kept")).select("id", "d1", "d2").distinct()
+    names = {name: free(f"__{name}", docs.columns) for name in ("n", "d1", "d2")}
+    marks = struct(**dict.fromkeys(names.values(), T.LongType()))
 
     def run(texts: pa.Array) -> dict:
-        return {f"__{name}": values for name, values in shingled(texts, ngram).items()}
+        return {names[name]: values for name, values in shingled(texts, ngram).items()}
 
     marked = scan(docs, docs.columns, text_col, marks, lambda: run)
-    copies = (marked[id_col].cast("long") == dropped["__id"]) & (marked["__d1"] == dropped["__e1"]) & (marked["__d2"] == dropped["__e2"])
-    return marked.join(dropped, copies, "left_anti").drop("__n", "__d1", "__d2")
+    same = (marked[id_col].cast("long") == dropped["id"]) & (marked[names["d1"]] == dropped["d1"]) & (marked[names["d2"]] == dropped["d2"])
+    return marked.join(dropped, same, "left_anti").drop(*names.values())

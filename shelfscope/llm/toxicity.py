@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from shelfscope.llm.base import SLICE_BYTES, emitted, given_back, scan, slices, struct, written
+from shelfscope.llm.base import SLICE_BYTES, emitted, free, given_back, scan, slices, struct, written
 from shelfscope.llm.spans import LETTERS, Words, bytes_of, first_of
 from shelfscope.session import intermediates
 
@@ -198,28 +198,30 @@ def places_of(part: pa.RecordBatch):
     )
 
 
-def with_ratios(docs: DataFrame, text_col: str, ratios: Ratios) -> DataFrame:
+def with_ratios(docs: DataFrame, text_col: str, ratios: Ratios, found_col: str) -> DataFrame:
     """``docs`` and ``__found``: the known words of the text, as pairs of places and ratio.
 
     Texts are told apart by their digests, so a text that stands in many rows is
     joined once, and the words go through the shuffle one row a word and text.
     """
-    keyed = docs.withColumn("__digest", F.md5(F.col(f"`{text_col}`").cast("string")))
+    digest = free("__digest", docs.columns)
+    keyed = docs.withColumn(digest, F.md5(F.col(f"`{text_col}`").cast("string")))
     schema = struct(digest=T.StringType(), word=T.LongType(), places=T.BinaryType())
-    words = emitted(keyed, ["__digest"], text_col, schema, lambda: places_of).distinct()
+    words = emitted(keyed, [digest], text_col, schema, lambda: places_of).distinct()
     found = (
         words.join(ratios.words.hint("merge"), "word")
-        .groupBy(F.col("digest").alias("__digest"))
-        .agg(F.collect_list(F.struct("places", "ratio")).alias("__found"))
+        .groupBy(F.col("digest").alias(digest))
+        .agg(F.collect_list(F.struct("places", "ratio")).alias(found_col))
     )
-    return keyed.join(found.hint("merge"), "__digest", "left").drop("__digest")
+    return keyed.join(found.hint("merge"), digest, "left").drop(digest)
 
 
 def measured(docs: DataFrame, keep: list[str], text_col: str, ratios: Ratios, results: T.StructType, of: Callable) -> DataFrame:
     """``keep`` columns of every row next to ``of`` the features of its text."""
     joined = ratios.words is not None
     if joined:
-        docs = with_ratios(docs, text_col, ratios)
+        found_col = free("__found", docs.columns)
+        docs = with_ratios(docs, text_col, ratios, found_col)
     schema = T.StructType([*(docs.schema[c] for c in keep), *results.fields])
     arrow = to_arrow_schema(schema)
     known = Ratios(ratios.unseen, table=ratios.table)  # no DataFrame goes to the tasks
@@ -236,7 +238,7 @@ def measured(docs: DataFrame, keep: list[str], text_col: str, ratios: Ratios, re
         columns = [part.column(i) for i in range(len(keep))] + [pa.array(found[f.name]) for f in results.fields]
         yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return emitted(docs, [*keep, "__found"] if joined else keep, text_col, schema, lambda: run)
+    return emitted(docs, [*keep, found_col] if joined else keep, text_col, schema, lambda: run)
 
 
 class Curve:
@@ -324,7 +326,8 @@ def toxicity(
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """The rows scored below ``threshold``, all columns as they were."""
-    return toxicity(docs, labels, keep=docs.columns, score="__toxic", **options).filter(F.col("__toxic") < threshold).drop("__toxic")
+    score = free("__toxic", docs.columns)
+    return toxicity(docs, labels, keep=docs.columns, score=score, **options).filter(F.col(score) < threshold).drop(score)
 
 
 def held_out(key: Column) -> Column:

@@ -82,5 +82,5 @@ def test_stages_on_odd_rows(spark, docs_of):
 
 def test_registered():
     assert entry.queries()["pipeline"] is corpus_pipeline.run
-    assert sorted(int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op") and n[2].isdigit()) == list(range(1, 14))
     assert decontaminate.ERROR_RATE == 0.05
