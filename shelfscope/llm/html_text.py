@@ -10,6 +10,7 @@ cells in aligned columns.
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -67,6 +68,8 @@ CLOSED_BY = {
     **{f"h{i}": ({f"h{j}" for j in range(1, 7)}, {"div", "section", "article", "td", "th", "li", "body"}) for i in range(1, 7)},
 }
 IN_TABLE = {"td", "th", "tr", "caption", "colgroup", "col", *TABLE_PARTS}  # means nothing outside a table
+WIDEST = 60  # characters of a cell that may set the width of a column
+MOST_PADDING = 240  # spaces that align the cells of one line
 MOST_DEPTH = 512  # open elements; a tag below that is a neighbour of the last, as in browsers
 SCOPE = {"td", "th", "caption", "table", "html", "template"}  # an end tag inside does not reach elements outside
 STOPS_P = SCOPE | {"button"}
@@ -354,15 +357,15 @@ def finish(node: Node, inside: Layout, parent: list, state) -> None:
     inside.end_line()
     lines = inside.lines
     if tag in ("td", "th"):
-        span = node.attributes.get("colspan", "")
-        cell = (lines, min(int(span), 100) if span.isdigit() and int(span) else 1)
+        across = number_of(node.attributes.get("colspan", ""), 100) or 1
+        cell = (lines, across, number_of(node.attributes.get("rowspan", ""), 65534))
         if holder.tag == "tr":
             above.append(cell)
             return
         state, tag = [cell], "tr"
     if tag == "tr":
         if isinstance(above, list):  # rows of a table, with what else the row held
-            above.append(([], 0) if not state else state)
+            above.append(state)
             if inside.lines and node.tag == "tr":
                 layout.take(inside.lines)
         else:
@@ -372,7 +375,7 @@ def finish(node: Node, inside: Layout, parent: list, state) -> None:
         return
     if tag == "table":
         layout.edge(1)
-        layout.take(lines + aligned([row for row in state if isinstance(row, list)]))
+        layout.take(lines + aligned(state))
         layout.edge(1)
         return
     if tag == "li":
@@ -388,24 +391,58 @@ def finish(node: Node, inside: Layout, parent: list, state) -> None:
     layout.edge(int(tag == "blockquote"))
 
 
-def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of cells as lines: columns as wide as their widest cell of one column, two spaces between."""
-    widths: dict[int, int] = {}
-    for row in rows:
-        column = 0
-        for lines, span in row:
-            if span == 1:
-                widths[column] = max(widths.get(column, 0), max(map(len, lines), default=0))
+def number_of(text: str, most: int, otherwise: int = 1) -> int:
+    """The whole number a span attribute gives, ``most`` at most."""
+    digits = text.strip()
+    return min(int(digits[:9]), most) if digits.isascii() and digits.isdigit() else otherwise
+
+
+def placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[int, int, list[str]]]]:
+    """Per row its cells with the columns they take (first, number), beside cells that reach down from rows above."""
+    taken: dict[int, int] = {}  # column -> the row it is free in again
+    out = []
+    for r, row in enumerate(rows):
+        column, cells = 0, []
+        for lines, span, down in row:
+            while taken.get(column, 0) > r:
+                column += 1
+            cells.append((column, span, lines))
+            if down != 1:
+                taken.update(dict.fromkeys(range(column, column + span), r + down if down else len(rows)))
             column += span
+        out.append(cells)
+    return out
+
+
+def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of cells as lines: columns as wide as their widest cell of one column, two spaces between.
+
+    Cells wider than WIDEST set no width: what follows them in their line comes
+    two spaces behind.  A line is padded with MOST_PADDING spaces at most, so
+    that what comes out grows with what goes in; no text is left out.
+    """
+    grid = placed(rows)
+    widths: dict[int, int] = {}
+    for row in grid:
+        for column, span, lines in row:
+            width = max(map(len, lines), default=0)
+            if span == 1 and width <= WIDEST:
+                widths[column] = max(widths.get(column, 0), width)
+    last = max(widths, default=-1) + 1
+    begins = list(itertools.accumulate((widths.get(c, 0) + 2 for c in range(last)), initial=0))
     out = []
-    for row in rows:
-        for i in range(max((len(lines) for lines, _ in row), default=0)):
-            line, column = "", 0
-            for lines, span in row:
-                width = sum(widths.get(c, 0) for c in range(column, column + span)) + 2 * (span - 1)
-                line += (lines[i] if i < len(lines) else "").ljust(width) + "  "
-                column += span
-            out.append(line.rstrip())
+    for row in grid:
+        for i in range(max((len(lines) for _, _, lines in row), default=0)):
+            line, size, padding = [], 0, MOST_PADDING
+            for column, _, lines in row:
+                if i >= len(lines) or not lines[i]:
+                    continue
+                begin = begins[column] if column <= last else begins[-1] + 2 * (column - last)
+                gap = min(max(begin - size, 2 if size else 0), max(padding, 2))
+                padding -= gap
+                line.append(" " * gap + lines[i])
+                size += gap + len(lines[i])
+            out.append("".join(line).rstrip())
     return out
 
 
@@ -418,7 +455,8 @@ def html_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
     """``id``, ``keep`` columns, and the ``text`` of every page.
 
     One row per input row, repeated rows and null ids included; other columns
-    are left out.  A null or empty page has an empty text.  Each page is parsed
+    are left out.  A null or empty page has an empty text.  Style sheets are not
+    applied, only attributes are: what a rule of a sheet hides is shown.  Each page is parsed
     and laid out whole, by one task.  No shuffle.
     """
 
