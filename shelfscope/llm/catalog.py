@@ -106,6 +106,7 @@ def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
         *map(counted, pii.BASE_KINDS),
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda s: s.score.cast("string")), ",").alias("scores"),
     )
 
 

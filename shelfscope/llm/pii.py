@@ -8,6 +8,7 @@ looked for around each ``@``, and a run of digits is tried from its start only
 from __future__ import annotations
 
 import bisect
+import ipaddress
 import itertools
 import re
 
@@ -36,12 +37,17 @@ IBAN_SIZES = {
     for country in countries.split()
 }
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+#: Access key ids, access tokens and the heads of private keys, by their fixed beginnings and lengths.
+SECRET = re.compile(
+    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|-----BEGIN (?:[A-Z]+ ){0,2}PRIVATE KEY-----)(?![A-Za-z0-9])"
+)
+IPV6 = re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![0-9A-Za-z:])")
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
-KINDS = [*BASE_KINDS, "iban", "ssn", "short_card"]
+KINDS = [*BASE_KINDS, "iban", "ssn", "short_card", "secret", "ipv6"]
 
 #: Score of a confirmed span without context, and the words that raise or lower it when they stand near.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn": 0.4, "short_card": 0.3}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn": 0.4, "short_card": 0.3, "secret": 0.9, "ipv6": 0.6}
 SUPPORT = {
     "email": {"mail", "email", "contact", "write"},
     "ip": {"ip", "address", "host", "server", "client"},
@@ -50,6 +56,8 @@ SUPPORT = {
     "iban": {"iban", "account", "bank", "transfer"},
     "ssn": {"ssn", "social", "security"},
     "short_card": {"card", "credit", "amex", "american", "diners", "payment"},
+    "secret": {"key", "token", "secret", "password", "credentials"},
+    "ipv6": {"ip", "address", "host", "server", "client"},
 }
 AGAINST = {"version", "release", "example", "sample", "isbn", "order", "build", "test"}
 RAISED, LOWERED = 0.3, -0.3
@@ -97,6 +105,17 @@ def ibans(text: str):
         at = end or m.start() + 1
 
 
+def is_ipv6(address: str) -> bool:
+    """Whether it reads as an address with three groups that are written and a digit, which names of code such as a::b lack."""
+    if sum(map(bool, address.split(":"))) < 3 or not any(map(str.isdigit, address)):
+        return False
+    try:
+        ipaddress.IPv6Address(address)
+    except ValueError:
+        return False
+    return True
+
+
 def emails(text: str):
     end, at = 0, text.find("@")
     while at >= 0:
@@ -137,6 +156,8 @@ def added_spans(text: str) -> list[tuple[str, int, int]]:
             digits = m[0].replace(" ", "").replace("-", "")
             if 13 <= len(digits) <= 15 and digits[0] in "3456" and luhn(digits):
                 spans.append(("short_card", *m.span()))
+    spans += [("secret", *m.span()) for m in SECRET.finditer(text)]
+    spans += [("ipv6", *m.span()) for m in IPV6.finditer(text) if is_ipv6(m[0])]
     return spans
 
 
