@@ -370,6 +370,32 @@ def _leaders_of_forms(forms: DataFrame, threshold: int, method: str, heads_per_f
     return own.unionByName(first)
 
 
+def _fold_by_shared_words(forms: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Forms of which only the first is clustered for all that differ in words of their own; and (ord, first) of every form.
+
+    A word that stands in one form of its block is common to no pair, so forms
+    with equal other words, as many in all, are equally similar to any third
+    form and all to each other.  Where they reach the threshold, whatever leads
+    the first of them (itself included) is the earliest leader of them all.
+    """
+    words = forms.select(*BLOCK, "ord", F.explode(tokens(F.col("form"))).alias("word"))
+    own = words.groupBy(*BLOCK, "word").agg(F.count(F.lit(1)).alias("_n"), F.min("ord").alias("ord")).filter(F.col("_n") == 1)
+    own = own.groupBy("ord").agg(F.collect_set("word").alias("_own"))  # of one title
+    every, none = F.array_distinct(tokens(F.col("form"))), F.array().cast("array<string>")
+    shared = F.array_except(every, F.coalesce("_own", none))
+    split = forms.join(own, "ord", "left").select(
+        *forms.columns, F.array_join(shared, " ").alias("_shared"), F.size(shared).alias("_s"), F.size(every).alias("_words")
+    )
+    alike = 100 * F.col("_s") >= threshold * (2 * F.col("_words") - F.col("_s"))
+    split = materialise(split.withColumn("_alike", alike))
+    kind = [*BLOCK, "_shared", "_words"]
+    firsts = materialise(split.filter("_alike").groupBy(*kind).agg(F.min(F.struct("ord", "form")).alias("_first")))
+    apart = split.filter("not _alike")
+    kept = firsts.select(*BLOCK, "_first.form", "_first.ord").unionByName(apart.select(*BLOCK, "form", "ord"))
+    placed = split.filter("_alike").join(firsts, kind).select("ord", F.col("_first.ord").alias("first"))
+    return kept, placed.unionByName(apart.select("ord", F.col("ord").alias("first")))
+
+
 def leader_clusters(
     rows: DataFrame,
     threshold: int = THRESHOLD,
@@ -383,8 +409,13 @@ def leader_clusters(
     left out under Jaccard, where an empty title resembles nothing.
     """
     forms = _distinct_forms(rows)
-    led = _leaders_of_forms(forms.filter(F.col("form") != ""), threshold, method, heads_per_file)
-    if method == "token_sort":
+    worded = forms.filter(F.col("form") != "")
+    if method == "jaccard":
+        kept, placed = _fold_by_shared_words(worded, threshold)
+        led = _leaders_of_forms(materialise(kept), threshold, method, heads_per_file)
+        led = attach(placed, led.withColumnRenamed("ord", "first"), ["first"]).select("ord", "leader")
+    else:
+        led = _leaders_of_forms(worded, threshold, method, heads_per_file)
         led = led.unionByName(
             forms.filter(F.col("form") == "").select("ord", F.col("ord").alias("leader"))
         )

@@ -90,6 +90,24 @@ def test_clusters_equal_the_sequential_ones(spark, seed, method, threshold, head
     assert got == want
 
 
+@pytest.mark.parametrize("threshold", [30, 50, 60, 80])
+def test_words_of_one_title_alone_do_not_multiply_the_forms(spark, monkeypatch, threshold):
+    rng = random.Random(threshold)
+    stems = ["rice", "rice red", "rice red old", "tea", "tea old", "tea red old hot", "oil hot old red big"]
+    rows = [
+        (o, rng.choice(["hot", "cold"]), " ".join(sorted([*rng.choice(stems).split(), *[f"w{o}x{i}" for i in range(rng.randint(0, 2))]])))
+        for o in range(400)
+    ]
+    filed = []
+    file = M._file
+    monkeypatch.setattr(M, "_file", lambda forms, *more: filed.append(forms.count()) or file(forms, *more))
+    got, want = clusters(spark, rows, threshold, "jaccard", 8)
+    assert got == want
+    # Seven stems in two blocks with up to two words more; the kinds that are not alike among themselves stay apart.
+    apart = {(o, b, f) for o, b, f in rows if not similar(f, " ".join(w if w[0] != "w" else w + "y" for w in f.split()), threshold, "jaccard")}
+    assert len(filed) == 1 and filed[0] <= len(apart) + 42
+
+
 def test_no_similar_pair_is_missed(spark):
     rows = [(o, "b", f) for o, _, f in random_forms(9, 120)]
     distinct = {}
