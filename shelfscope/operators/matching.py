@@ -445,11 +445,12 @@ def product_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
-def best_offer(rows: DataFrame, product: list[str]) -> DataFrame:
+def best_offer(rows: DataFrame, product: list[str], facts: bool = True) -> DataFrame:
     """Per product, store and city: the cheapest row (first on ties) and the row facts gold needs.
 
     Every aggregate combines before the shuffle, so copies of a hot listing
-    are folded where they lie.
+    are folded where they lie.  Without ``facts`` the rows need no name, brand,
+    quantity, unit and category: :func:`product_facts` gives gold those.
     """
     cheapest = F.struct(
         F.col("price").isNull().alias("missing"), "price", "ord", "unit_price", "timestamp"
@@ -459,10 +460,16 @@ def best_offer(rows: DataFrame, product: list[str]) -> DataFrame:
         F.min(cheapest).alias("best"),
         F.min("ord").alias("first_ord"),
         F.count(F.lit(1)).alias("rows"),
-        F.min(shortest).alias("canonical"),
+        *([F.min(shortest).alias("canonical")] if facts else []),
     )
 
 
+def product_facts(listed: DataFrame, product: list[str]) -> DataFrame:
+    """What gold takes from a list of products, a row for each: the one with the shortest name, and how often it is listed."""
+    shortest = F.struct(F.length("name").alias("len"), "name", "brand", "quantity", "unit", "category")
+    return listed.groupBy(*product).agg(F.min(shortest).alias("_c"), F.count(F.lit(1)).alias("_listed"))
+
+
 def merge_offers(cells: DataFrame, product: list[str]) -> DataFrame:
     """Combine :func:`best_offer` rows of finer groups into coarser ones."""
     return cells.groupBy(*product, "store", "city").agg(
@@ -481,14 +488,16 @@ def canonical_item(rows: DataFrame, product: list[str]) -> DataFrame:
     )
 
 
-def assemble_gold(offers: DataFrame, product: list[str]) -> DataFrame:
+def assemble_gold(offers: DataFrame, product: list[str], facts: DataFrame | None = None) -> DataFrame:
     """Nested products from their best offers, in order of first sight.
 
     A product has at most one offer per store and city by now, so the list
-    is bounded by the number of markets.
+    is bounded by the number of markets.  ``facts`` of :func:`product_facts`
+    stand for the facts the offers do not carry; products without are left out,
+    and the rows of one listed several times count as often.
     """
     gold = offers.groupBy(*product).agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(
                 F.struct("first_ord", "store", "city", "best.price", "best.unit_price", "best.timestamp")
             )
@@ -497,11 +506,14 @@ def assemble_gold(offers: DataFrame, product: list[str]) -> DataFrame:
         F.max("best.price").alias("max_price"),
         F.count(F.lit(1)).alias("match_count"),
         F.sum("rows").alias("cluster_size"),
-        F.min("canonical").alias("_c"),
+        *([F.min("canonical").alias("_c")] if facts is None else []),
     )
+    if facts is not None:
+        gold = gold.join(facts, product).withColumn("cluster_size", F.col("cluster_size") * F.col("_listed"))
 
     def offer(o: Column) -> Column:
-        return F.struct(*[o[f].alias(f) for f in ("store", "city", "price", "unit_price", "timestamp")])
+        kept = [o[f].alias(f) for f in ("store", "city", "price", "unit_price")]
+        return F.struct(*kept, o["timestamp"].cast("string").alias("timestamp"))
 
     return gold.select(
         *product,
