@@ -34,24 +34,29 @@ def _bucket(value: Column, size: int) -> Column:
     return F.pmod(F.xxhash64(value), F.lit(size)).cast("int")
 
 
+def _products(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(T.StructType([*GOLD.fields, T.StructField("part", T.IntegerType())])).parquet(f"{folder}/products")
+
+
 def write_index(gold: DataFrame, folder: str) -> None:
     """Replace the index of gold products: ``postings`` and ``products`` under the folder.
 
     A gram that most products hold is a row per product, in files of equal size,
-    never one list.
+    never one list.  Grams are taken from the landed products, so that the gold
+    is made once.
     """
     products = gold.withColumn("part", _bucket(F.col("product_id"), PARTS))
     products = products.hint("rebalance", "part").sortWithinPartitions("part", "product_id")
     products.write.mode("overwrite").partitionBy("part").parquet(f"{folder}/products")
     found = F.explode(F.array_union(grams(F.col("title")), grams(F.col("brand")))).alias("gram")
-    postings = gold.select("product_id", found).withColumn("bucket", _bucket(F.col("gram"), BUCKETS))
+    landed = _products(gold.sparkSession, folder)
+    postings = landed.select("product_id", found).withColumn("bucket", _bucket(F.col("gram"), BUCKETS))
     postings = postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram", "product_id")
     postings.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
 
 
-def _read(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    products = spark.read.schema(T.StructType([*GOLD.fields, T.StructField("part", T.IntegerType())])).parquet(f"{folder}/products")
-    return products, spark.read.schema("gram string, product_id string, bucket int").parquet(f"{folder}/postings")
+def _postings(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("gram string, product_id string, bucket int").parquet(f"{folder}/postings")
 
 
 def candidates(spark: SparkSession, folder: str, query: str) -> DataFrame | None:
@@ -60,9 +65,8 @@ def candidates(spark: SparkSession, folder: str, query: str) -> DataFrame | None
     wanted = spark.range(1).select(grams(F.lit(query))).first()[0]
     if not wanted:
         return None
-    _, postings = _read(spark, folder)
     buckets = [_bucket(F.lit(gram), BUCKETS) for gram in wanted]
-    hits = postings.filter(F.col("bucket").isin(*buckets) & F.col("gram").isin(*wanted)).groupBy("product_id")
+    hits = _postings(spark, folder).filter(F.col("bucket").isin(*buckets) & F.col("gram").isin(*wanted)).groupBy("product_id")
     full = hits.agg(F.countDistinct("gram").alias("_grams")).filter(F.col("_grams") == len(wanted))
     return full.select("product_id", _bucket(F.col("product_id"), PARTS).alias("part"))
 
@@ -72,7 +76,7 @@ def matching_products(spark: SparkSession, folder: str, query: str) -> DataFrame
 
     A query of fewer than three characters reads all products.
     """
-    products, _ = _read(spark, folder)
+    products = _products(spark, folder)
     found = candidates(spark, folder, query)
     if found is None:
         return products.drop("part")
