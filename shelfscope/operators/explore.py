@@ -44,8 +44,15 @@ def category_values(gold: DataFrame, preselected: int = DEFAULT_CATEGORIES) -> D
 
 def filter_values(gold: DataFrame) -> DataFrame:
     """Values of both filters as (filter, value, selected); every city is preselected."""
-    cities = city_values(gold).select(F.lit("city").alias("filter"), F.col("city").alias("value"), F.lit(True).alias("selected"))
-    categories = category_values(gold).select(
+    # The gold is read once, down to the distinct offers' cities of each category.
+    seen = materialise(
+        gold.select("category", F.posexplode_outer("offers.city").alias("_at", "city"))
+        .select("category", "city", F.col("_at").isNotNull().alias("_offered"))
+        .distinct()
+    )
+    cities = seen.filter("_offered").select("city").distinct()
+    cities = cities.select(F.lit("city").alias("filter"), F.col("city").alias("value"), F.lit(True).alias("selected"))
+    categories = category_values(seen).select(
         F.lit("category").alias("filter"), F.col("category").alias("value"), "selected"
     )
     return cities.unionByName(categories)
