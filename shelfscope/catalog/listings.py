@@ -11,7 +11,7 @@ from shelfscope.catalog.market import CAT_LDI, FLAGGED, SCORECARD, _SCORE, round
 from shelfscope.functions import text
 from shelfscope.operators import analytics, cleaning
 from shelfscope.plans import jobs
-from shelfscope.plans.views import gold_view, listing_view, offers_view, table
+from shelfscope.plans.views import gold_view, listing_view, table
 from shelfscope.schemas import RAW_FIELDS
 from shelfscope.session import materialise
 from shelfscope.sources import gold as gold_io
@@ -517,14 +517,14 @@ def flatten_gold(spark, folder):
 @query(rounded("scorecard", "store, city, wins", _SCORE, OFFERS, SCORECARD))
 def read_metrics(spark, folder):
     path = scratch(spark)
-    gold_io.write_metric_tables({"store_market_metrics": analytics.store_scorecard(offers_view(spark, folder))}, path)
+    gold_io.write_metric_tables({"store_market_metrics": analytics.store_scorecard(market._offers(spark, folder, *market._FLAGGABLE))}, path)
     return gold_io.read_metrics(spark, f"{path}/store_market_metrics")
 
 
 @query(with_ctes(OFFERS, market.DISPERSION, SCORECARD, CAT_LDI, select=market.METRICS_IN_LONG_FORM))
 def write_metric_tables(spark, folder):
     path = scratch(spark)
-    offers = materialise(offers_view(spark, folder))
+    offers = market._offers(spark, folder, *market._FLAGGABLE)
     flagged = analytics.flag_lowest_once(offers)
     gold_io.write_metric_tables(
         {

@@ -139,6 +139,9 @@ def _offers(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return materialise(offers.select(*columns) if columns else offers)
 
 
+_FLAGGABLE = [c for c in A.FLAGGED if c != "is_lowest"]
+
+
 def _profile(spark: SparkSession, folder: str) -> DataFrame:
     return A.product_profile(_offers(spark, folder, "product_id", "price", "quantity", "brand", "category", "city", "ord"))
 
@@ -178,19 +181,21 @@ unpriced AS (
 )
 
 
-def _priceless(spark: SparkSession, folder: str) -> DataFrame:
+def _priceless(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """These offers, written once: flagging the lowest reads them twice."""
+
     def offer(o):
         price = {name: F.when(o["store"] != _PRICELESS, o[name]) for name in ("price", "unit_price")}
         return F.struct(*[price.get(name, o[name]).alias(name) for name in ("store", "city", "price", "unit_price", "timestamp")])
 
-    return A.explode_offers(gold_view(spark, folder).withColumn("offers", F.transform("offers", offer)))
+    offers = A.explode_offers(gold_view(spark, folder).withColumn("offers", F.transform("offers", offer)))
+    return materialise(offers.select(*columns))
 
 
 @query(with_ctes(*_PRICELESS_SQL, select="SELECT product_id, title, store, city, price, unit_price, is_lowest FROM flagged"))
 def is_lowest_without_prices(spark, folder):
-    return A.is_lowest(_priceless(spark, folder)).select(
-        "product_id", "title", "store", "city", "price", "unit_price", "is_lowest"
-    )
+    columns = ["product_id", "title", "store", "city", "price", "unit_price"]
+    return A.is_lowest(_priceless(spark, folder, *columns)).select(*columns, "is_lowest")
 
 
 @query(
@@ -203,7 +208,7 @@ def is_lowest_without_prices(spark, folder):
     )
 )
 def dominance_without_prices(spark, folder):
-    return A.dominance_index(A.flag_lowest_once(_priceless(spark, folder)))
+    return A.dominance_index(A.flag_lowest_once(_priceless(spark, folder, *_FLAGGABLE)))
 
 
 @query(rounded("dispersion", "product_id", _DISPERSION_COLUMNS, OFFERS, DISPERSION))
@@ -288,17 +293,17 @@ def metrics_in_long_form(tables: dict[str, DataFrame]) -> DataFrame:
 
 @query(rounded("dominance", "store, city, wins", _LDI, OFFERS, FLAGGED, DOMINANCE))
 def dominance_index(spark, folder):
-    return A.dominance_index(A.flag_lowest_once(offers_view(spark, folder)))
+    return A.dominance_index(A.flag_lowest_once(_offers(spark, folder, *_FLAGGABLE)))
 
 
 @query(rounded("cat_ldi", "category, store", ["cat_ldi"], OFFERS, FLAGGED, CAT_LDI))
 def category_dominance(spark, folder):
-    return A.category_dominance(A.is_lowest(offers_view(spark, folder)))
+    return A.category_dominance(A.is_lowest(_offers(spark, folder, *_FLAGGABLE)))
 
 
 @query(rounded("scorecard", "store, city, wins", _SCORE, OFFERS, SCORECARD))
 def store_scorecard(spark, folder):
-    return A.store_scorecard(offers_view(spark, folder))
+    return A.store_scorecard(_offers(spark, folder, *_FLAGGABLE))
 
 
 @query(with_ctes(OFFERS, FIRST_ROWS, select="SELECT * FROM first_rows"))
@@ -376,7 +381,7 @@ top AS (
 
 @query(rounded("top", "category", ["cat_ldi"], OFFERS, FLAGGED, CAT_LDI, TOP))
 def top_categories(spark, folder):
-    return A.top_categories(A.category_dominance(A.is_lowest(offers_view(spark, folder))))
+    return A.top_categories(A.category_dominance(A.is_lowest(_offers(spark, folder, *_FLAGGABLE))))
 
 
 OVERVIEW = """
@@ -421,7 +426,7 @@ REPORT_SECTIONS = " UNION ALL ".join(
     )
 )
 def report_tables(spark, folder):
-    offers = _offers(spark, folder)
+    offers = _offers(spark, folder, *_FLAGGABLE, "brand", "quantity", "ord")
     flagged = A.flag_lowest_once(offers)
     profile = materialise(A.product_profile(offers))
     correlations = [
@@ -457,7 +462,7 @@ PRICES = f"prices AS (SELECT category, offers[1].city AS city, min_price AS p FR
     )
 )
 def filter_values(spark, folder):
-    return X.filter_values(materialise(gold_view(spark, folder)))
+    return X.filter_values(gold_view(spark, folder))
 
 
 def _kpi_sql(where: str) -> str:
@@ -489,7 +494,7 @@ def region_filter(spark, folder):
 
 @query(rounded("scorecard", "store, city, wins", _SCORE, OFFERS, SCORECARD) + " ORDER BY scorecard.ldi DESC, store, city")
 def dominance_ranking(spark, folder):
-    return X.dominance_ranking(A.store_scorecard(offers_view(spark, folder)))
+    return X.dominance_ranking(A.store_scorecard(_offers(spark, folder, *_FLAGGABLE)))
 
 
 _IN_CITIES_ROWS = f"city IN ({', '.join(repr(c) for c in CITIES)})"
@@ -500,7 +505,7 @@ _IN_CITIES_ROWS = f"city IN ({', '.join(repr(c) for c in CITIES)})"
     + " ORDER BY ldi DESC, store, city"
 )
 def dominance_ranking_in_region(spark, folder):
-    return X.dominance_ranking(A.store_scorecard(offers_view(spark, folder)), CITIES)
+    return X.dominance_ranking(A.store_scorecard(_offers(spark, folder, *_FLAGGABLE)), CITIES)
 
 
 @query(

@@ -43,11 +43,11 @@ def offers_of(gold: DataFrame) -> DataFrame:
 def analyze_market(gold: DataFrame) -> dict[str, DataFrame]:
     """All metric tables of gold products.
 
-    The flagged offers hold all columns of the exploded ones, so they are the
-    one full copy that is written; it and the per-product table are read by
-    everything downstream.
+    The flagged offers hold all columns the metrics read, so they are the one
+    copy that is written; it and the per-product table are read by everything
+    downstream.
     """
-    offers = flagged = materialise(analytics.is_lowest(offers_of(gold)))
+    offers = flagged = materialise(analytics.is_lowest(offers_of(gold).drop("title", "unit", "offer_pos")))
     dispersion = materialise(analytics.price_dispersion(offers))
     profile = materialise(analytics.product_profile(offers, dispersion))
     scorecard = materialise(analytics.store_scorecard(offers, flagged))
