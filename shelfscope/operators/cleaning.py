@@ -27,10 +27,15 @@ POSITION = "row_pos"
 
 def dedup_first(raw: DataFrame) -> DataFrame:
     """First row of each (name, raw price, store, city) of a feed."""
-    copies = Window.partitionBy(FEED, "name", "price", "store", "city").orderBy(POSITION)
+    # Spark moves filters on columns a window is partitioned by in front of it.
+    # Under its own name the price would take its parsing along, for every copy.
+    # The hash decides most comparisons of the sort.
+    keys = {"_copy_hash": F.xxhash64(FEED, "name", "price", "store", "city"), "_copy_price": F.col("price")}
+    copies = Window.partitionBy(*keys, FEED, "name", "store", "city").orderBy(POSITION)
     # The rank limit of one is applied before the shuffle, so a listing that
     # fills a third of the feed sends one row per task.
-    return raw.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") == 1).drop("_copy")
+    ranked = raw.withColumns(keys).withColumn("_copy", F.row_number().over(copies))
+    return ranked.filter(F.col("_copy") == 1).drop("_copy", *keys)
 
 
 def normalize_listing(raw: DataFrame) -> DataFrame:

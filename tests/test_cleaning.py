@@ -21,6 +21,20 @@ def test_first_copy_stays(spark):
     assert sorted(map(tuple, kept)) == [("f", 1), ("f", 2), ("g", 9)]
 
 
+def test_prices_are_parsed_after_copies_are_dropped(spark):
+    """No parsing of prices in the part of the plan that reads every copy; copies with missing fields are copies too."""
+    rows = [("f", 3, "a 2kg", "Rs. 50", "S"), ("f", 1, "a 2kg", "Rs. 50", "S"), ("f", 2, "a 2kg", None, "S"), ("f", 0, "a 2kg", None, "S")]
+    rows += [(None, 8, None, "Rs. 7", "S"), (None, 7, None, "Rs. 7", "S"), ("f", 4, "a 2kg", "", "S"), ("f", 5, "", "Rs. 50", "S")]
+    firsts = C.dedup_first(raw(spark, rows))
+    assert sorted(r["row_pos"] for r in firsts.collect()) == [0, 1, 4, 5, 7]
+    parsed = C.sane_unit_price(C.require_fields(C.normalize_listing(firsts)))
+    assert [r["row_pos"] for r in parsed.collect()] == [1]
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    behind, before = plan.rsplit("Window [", 1)
+    assert "regexp" in behind
+    assert "regexp" not in before
+
+
 def test_columns_and_defaults(spark):
     out = C.normalize_listing(raw(spark, [("f", 1, "Lux Soap 100g", "Rs. 50", "S")]).drop("availability").withColumn("availability", F.lit(None).cast("string")))
     assert out.columns == ["file_name", "row_pos", *CLEANED_FIELDS]
