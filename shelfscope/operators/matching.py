@@ -12,6 +12,7 @@ no sequential pass, and it is computed without pairing up whole blocks:
   they stand in (or under its rarest words): two similar forms always share at
   least one file, by the prefix-filter argument, and there the edits that the
   places of both grams call for stay within the budget of the two lengths;
+  a block with fewer forms than a form has pairs of grams is one file;
 * a round looks at the earliest undecided forms of each file, decides those
   whose earlier rivals are all known, and compares the new leaders with the
   rest of the file.  A file full of near copies collapses onto its first leader
@@ -44,6 +45,7 @@ THRESHOLD = 85  # fixed value: similarity from which two titles are one product
 BLOCK = ["block_category", "block_quantity", "block_unit"]
 TOGETHER = 4  # grams of the alignment of two similar forms that both are filed under in pairs
 FIRST_HEADS = 64  # undecided forms per file looked at in the first round; results do not depend on it
+SMALL_BLOCK = 64  # forms of a block up to which they are one file: fewer pairs a form than it has pairs of grams
 
 
 def block_key(listings: DataFrame) -> DataFrame:
@@ -92,6 +94,23 @@ def _shared_grams_at_least(length: Column, threshold: int, q: int) -> Column:
     return F.greatest(F.ceil(bound - 1e-9), F.lit(1))
 
 
+def _padded_grams(form: Column, q: int) -> Column:
+    """The grams of a form with ``q - 1`` fill characters on both sides, in order."""
+    pad = F.lit("_" * (q - 1))
+    padded = F.concat(pad, form, pad)
+    return F.transform(F.sequence(F.lit(1), F.length(padded) - (q - 1)), lambda i: F.substr(padded, i, F.lit(q)))
+
+
+def _file_together(forms: DataFrame, threshold: int) -> DataFrame:
+    """Forms of small blocks with one file for the whole block, and the grams that pairs are tested on."""
+    spread = forms.filter(F.col("form") != "").withColumn(
+        "_grams", F.array_sort(_padded_grams(F.col("form"), gram_length(threshold)))
+    )
+    every = F.transform("_grams", lambda g, i: F.xxhash64(g, i - F.array_position("_grams", g)))
+    block = F.struct(F.lit(0).cast("long").alias("file"), F.lit(0).alias("p1"), F.lit(0).alias("p2"))
+    return spread.select(*forms.columns, F.array(block).alias("files"), F.lit(1).alias("together"), every.alias("grams"))
+
+
 def _file_under_grams(forms: DataFrame, threshold: int) -> DataFrame:
     """Forms under pairs of their rarest grams, with the places of both.
 
@@ -103,10 +122,8 @@ def _file_under_grams(forms: DataFrame, threshold: int) -> DataFrame:
     A gram that stands several times is filed with each of its places.
     """
     q = gram_length(threshold)
-    pad = F.lit("_" * (q - 1))
-    padded = F.concat(pad, F.col("form"), pad)
-    gram = F.expr(f"transform(sequence(1, length(padded) - {q - 1}), i -> substr(padded, i, {q}))")
-    spread = forms.filter(F.col("form") != "").withColumn("padded", padded)
+    gram = _padded_grams(F.col("form"), q)
+    spread = forms.filter(F.col("form") != "")
     grams = spread.select("ord", F.length("form").alias("len"), F.posexplode(gram).alias("at", "gram"))
     rarity = materialise(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")))
     ranked = (
@@ -270,8 +287,16 @@ def _distinct_forms(rows: DataFrame) -> DataFrame:
 
 def _file(forms: DataFrame, threshold: int, method: str) -> tuple[DataFrame, DataFrame]:
     """A row for every file of every form, with its length and the places; and the forms with what pairs are tested on."""
-    by_ord = {"token_sort": _file_under_grams, "jaccard": _file_under_words}[method](forms, threshold)
-    known = materialise(forms.join(by_ord, "ord"))
+    if method == "token_sort":
+        block = F.xxhash64(*BLOCK)  # holds for missing values too; blocks of one hash count as one
+        placed = forms.withColumn("_block", block)
+        sizes = placed.groupBy("_block").agg((F.count(F.lit(1)) <= SMALL_BLOCK).alias("_small"))
+        placed = materialise(attach(placed, sizes, ["_block"]))
+        small, large = (placed.filter(which).select(*forms.columns) for which in ("_small", "not _small"))
+        known = _file_together(small, threshold).unionByName(large.join(_file_under_grams(large, threshold), "ord"))
+    else:
+        known = forms.join(_file_under_words(forms, threshold), "ord")
+    known = materialise(known)
     filed = known.select(
         F.explode("files").alias("_f"), *BLOCK, "ord", F.length("form").alias("len"), "together", F.size("files").alias("n_files")
     ).select(F.xxhash64(*BLOCK, "_f.file").alias("file"), "ord", "len", "_f.p1", "_f.p2", "together", "n_files")

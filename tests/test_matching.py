@@ -108,6 +108,26 @@ def test_words_of_one_title_alone_do_not_multiply_the_forms(spark, monkeypatch,
     assert len(filed) == 1 and filed[0] <= len(apart) + 42
 
 
+def test_a_small_block_is_one_file(spark):
+    forms = [(o, b, q, f) for o, (b, q, f) in enumerate((b, q, f) for b in ("rice", None) for q in (1.0, None) for f in ("red rice super", "red rice supr", "tea"))]
+    frame = spark.createDataFrame(forms, "ord long, block_category string, block_quantity double, form string").withColumn("block_unit", F.lit("kg"))
+    filed, _ = M._file(frame, 85, "token_sort")
+    assert filed.count() == len(forms)
+    assert filed.select("file").distinct().count() <= 4
+    found = {(p["early"], p["late"]) for p in M.similar_titles(frame, 85).collect()}
+    assert found == {(o, o + 1) for o in (0, 3, 6, 9)}
+
+
+@pytest.mark.parametrize("small", [0, 6, 64])
+@pytest.mark.parametrize(("threshold", "heads"), [(85, 2), (60, 256)])
+def test_small_and_large_blocks_side_by_side(spark, monkeypatch, small, threshold, heads):
+    monkeypatch.setattr(M, "SMALL_BLOCK", small)
+    rows = random_forms(21, 120)
+    rows += [(1000 + i, f"b{i % 9}", f) for i, (_, _, f) in enumerate(random_forms(22, 60))]
+    got, want = clusters(spark, rows, threshold, "token_sort", heads)
+    assert got == want
+
+
 def test_no_similar_pair_is_missed(spark):
     rows = [(o, "b", f) for o, _, f in random_forms(9, 120)]
     distinct = {}
